@@ -129,7 +129,7 @@ def is_role(text: str) -> bool:
         return False
     if all(w.lower() in ROLES for w in words):
         return True
-    return text == text.lower() and not any(w in PARTICLES for w in words) and not any(c.isdigit() for c in text) and text.isascii()
+    return text[:1].isalpha() and text == text.lower() and not any(w in PARTICLES for w in words) and not any(c.isdigit() for c in text) and text.isascii()
 
 
 class _Piece:
@@ -168,7 +168,7 @@ def _joins(item: list[_Piece], p: _Piece, following: _Piece | None) -> bool:
     if p.delim in (AMP, AND):
         return len(prev.words) == 1 and _is_part(prev.words[0]) and bool(p.words) and _is_part(p.words[0])
     if p.delim == SLASH:
-        comma_follows = following is not None and following.delim == COMMA and len(following.words) == 1 and _given_like(following) and not is_role(following.raw)
+        comma_follows = following is not None and following.delim == COMMA and len(following.words) == 1 and "-" not in following.name and _given_like(following) and not is_role(following.raw)
         return len(prev.words) == 2 and _near(prev.words[0].lower(), LEADING) and len(p.words) == 1 and not p.noted and not comma_follows
     return False
 
