@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aubade.llm import looks, nearest, topn
+from aubade.llm import looks, mixing, nearest, packing, spam, topn
 from aubade.sources.tables import load
 
 
@@ -25,7 +25,38 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.found_unclean({t: load(spark, sf_dir, t) for t in ("tracks", "segment_events")})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the containers of every spec."""
+    return packing.pack_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_specs"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each spec are."""
+    return packing.pack_report(p8_packing(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    return mixing.mix_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each mix reaches."""
+    return mixing.mix_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of each mix in global random order."""
+    return mixing.shuffled_copies(p9_mix(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stuffed pages."""
+    return spam.found_spam(load(spark, sf_dir, "documents"))
+
+
+_NAMED = (p1_found, p4_found, p5_found, p8_packing, p8_report, p9_mix, p9_shares, p9_shuffled, p10_found)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {query.__name__: query for query in _NAMED}
 
 ORACLES: dict[str, str] = {
     "p4_found": """
