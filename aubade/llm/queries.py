@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aubade.llm import looks, mixing, nearest, packing, spam, topn
+from aubade.llm import looks, mixing, nearest, packing, spam, topn, variants
 from aubade.sources.tables import load
 
 
@@ -25,6 +25,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.found_unclean({t: load(spark, sf_dir, t) for t in ("tracks", "segment_events")})
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or body."""
+    return variants.found_variants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "segment_events"))
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in the containers of every spec."""
     return packing.pack_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_specs"))
@@ -55,7 +60,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.found_spam(load(spark, sf_dir, "documents"))
 
 
-_NAMED = (p1_found, p4_found, p5_found, p8_packing, p8_report, p9_mix, p9_shares, p9_shuffled, p10_found)
+_NAMED = (p1_found, p4_found, p5_found, p6_found, p8_packing, p8_report, p9_mix, p9_shares, p9_shuffled, p10_found)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {query.__name__: query for query in _NAMED}
 
 ORACLES: dict[str, str] = {
