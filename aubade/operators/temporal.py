@@ -146,6 +146,6 @@ def opening_runs(air: DataFrame) -> DataFrame:
 
 
 def texture(air: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``yr, nights, tracks_a_night, median_length``: how a year sounds."""
+    """``yr, nights, tracks_a_night, mean_length``: how a year sounds."""
     rows = air.where("yr is not null").join(lengths, "id")
     return rows.groupBy("yr").agg(F.countDistinct("pid").alias("nights"), F.round(F.count("*") / F.countDistinct("pid"), 6).alias("tracks_a_night"), F.round(F.avg("length_s"), 6).alias("mean_length"))
