@@ -52,10 +52,10 @@ air AS (SELECT t.id, t.episode_pid AS pid, t.position, t.time_str, t.composer,
   t.title, t.performers, n.bdate, year(n.bdate) AS yr, coalesce({sql_key(COMPOSER)}, '') AS ck,
   coalesce(array_to_string(list_sort(string_split({sql_key('t.title')}, ' ')), ' '), '') AS wk
   FROM tracks t JOIN nights n ON t.episode_pid = n.pid)"""
-SEG = rf"""nights AS (SELECT pid, {sql_day('broadcast_date')} AS bdate FROM episodes),
-seg AS (SELECT s.*, n.bdate, {sql_key('s.composer_name')} AS ck FROM segment_events s JOIN nights n ON s.episode_pid = n.pid
+SEG_ONLY = rf"""seg AS (SELECT s.*, n.bdate, {sql_key('s.composer_name')} AS ck FROM segment_events s JOIN nights n ON s.episode_pid = n.pid
   WHERE s.id = (SELECT min(x.id) FROM segment_events x WHERE x.event_pid = s.event_pid))"""
+SEG = f"nights AS (SELECT pid, {sql_day('broadcast_date')} AS bdate FROM episodes), {SEG_ONLY}"
 CLOCK = r"""CASE WHEN regexp_matches(time_str, '(?i)^\s*(\d{1,2})[:.](\d{2})\s*(am|pm)?\s*:?\s*$') THEN
   (SELECT CASE WHEN h <= 23 AND m <= 59 THEN (CASE WHEN p = 'pm' THEN h % 12 + 12 WHEN p = 'am' OR h = 12 THEN h % 12 ELSE h END) * 3600 + m * 60 END FROM (SELECT
-   CAST(regexp_extract(time_str, '^\s*(\d{1,2})', 1) AS INTEGER) AS h, CAST(regexp_extract(time_str, '[:.](\d{2})', 1) AS INTEGER) AS m,
+   try_cast(regexp_extract(time_str, '^\s*(\d{1,2})', 1) AS INTEGER) AS h, try_cast(regexp_extract(time_str, '[:.](\d{2})', 1) AS INTEGER) AS m,
    lower(regexp_extract(time_str, '(?i)(am|pm)', 1)) AS p)) END"""
