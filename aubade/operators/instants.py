@@ -191,10 +191,11 @@ class _Clock:
             bound, i = end, i + 1
 
 
+_SUMMARY = "part int, first_group string, last_group string, segments bigint, first_t bigint, first_value bigint, first_offset bigint, head_reset boolean, head_home boolean, start_s bigint, last_t bigint"
 _SCAN_OUT = "rec_id bigint, scan_group string, utc_s bigint, start_s bigint"
 
 
-def clock_instants(readings: DataFrame, zone: str = HOME, max_rows_per_partition: int = 200_000) -> DataFrame:
+def clock_instants(readings: DataFrame, zone: str = HOME) -> DataFrame:
     """Instants of clock texts in sequence.
 
     ``readings``: ``scan_group, scan_pos, rec_id, start_s, value, offset_s, is_full`` - readable rows only. In each
@@ -210,7 +211,7 @@ def clock_instants(readings: DataFrame, zone: str = HOME, max_rows_per_partition
     order = ["scan_group", "scan_pos", "rec_id"]
     laid = pinned(readings.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("scan_part", F.spark_partition_id()))
 
-    def scan(carries: dict[int, int] | None, only: int | None = None):
+    def scan(carries: dict[int, int], summarise: bool, only: int | None = None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             clock, group, last = _Clock(spans), None, None
             context = TaskContext.get()
@@ -225,7 +226,7 @@ def clock_instants(readings: DataFrame, zone: str = HOME, max_rows_per_partition
                         last = s
                         if segments == 1:
                             first_group = g
-                            if carries is not None and part in carries:
+                            if part in carries:
                                 last = carries[part]
                     if full:
                         last = int(v)
@@ -239,14 +240,14 @@ def clock_instants(readings: DataFrame, zone: str = HOME, max_rows_per_partition
                         if first is None:
                             first = (last, int(v), offset)
                     out.append(last)
-                if carries is not None:
+                if not summarise:
                     yield pd.DataFrame({"rec_id": pdf.rec_id, "scan_group": pdf.scan_group, "utc_s": out, "start_s": pdf.start_s})
-            if carries is None and segments:
+            if summarise and segments:
                 yield pd.DataFrame([{"part": part, "first_group": first_group, "last_group": group, "segments": segments, "first_t": first[0], "first_value": first[1], "first_offset": first[2], "head_reset": head_reset, "head_home": head_home, "start_s": start, "last_t": last}])
 
         return run
 
-    summary = laid.mapInPandas(scan(None), "part int, first_group string, last_group string, segments bigint, first_t bigint, first_value bigint, first_offset bigint, head_reset boolean, head_home boolean, start_s bigint, last_t bigint")
+    summary = laid.mapInPandas(scan({}, True), _SUMMARY)
     clock, carries, before, carry = _Clock(spans), {}, None, None
     for row in sorted(summary.collect(), key=lambda r: r["part"]):  # one row a partition
         out = row["last_t"]
@@ -258,12 +259,11 @@ def clock_instants(readings: DataFrame, zone: str = HOME, max_rows_per_partition
                 if shift and row["head_home"] and len({clock.span(t) for t in (row["first_t"], out, shifted, out + shift)}) > 1:
                     # A change of the clocks within the partition: scan it alone with its carry.
                     one = laid.where(F.col("scan_part") == row["part"]).coalesce(1).sortWithinPartitions(*order)
-                    exact = one.mapInPandas(scan({row["part"]: carry}, row["part"]), _SCAN_OUT)
-                    out = exact.agg(F.max_by("utc_s", F.monotonically_increasing_id())).first()[0]
+                    out = one.mapInPandas(scan({row["part"]: carry}, True, row["part"]), _SUMMARY).first()["last_t"]
                 else:
                     out += shift
         before, carry = row["last_group"], out
-    return laid.mapInPandas(scan(carries), _SCAN_OUT)
+    return laid.mapInPandas(scan(carries, False), _SCAN_OUT)
 
 
 def track_instants(tracks: DataFrame, episodes: DataFrame, zone: str = HOME) -> DataFrame:

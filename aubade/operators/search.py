@@ -65,8 +65,8 @@ def search(docs: DataFrame, query: str, top: int = 20) -> DataFrame:
     kept = scored.crossJoin(enough).where(~F.col("strict") | (F.col("matched") == len(words)))
     prior = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("k")], F.lit(1.0)) * (1 + F.log10(1 + F.coalesce("w", F.lit(0))))
     named = kept.join(docs.select("k", "key", "n", "w"), ["k", "key"])
-    pinned = F.concat(F.lit(" "), plain_key(F.col("n")), F.lit(" ")).contains(f" {' '.join(re.sub('[^a-z0-9 ]', '', query.lower()).split())} ")
-    out = named.select("k", "key", "n", F.round(F.col("base") * prior, 6).alias("score"), pinned.alias("pinned"))
+    whole = F.concat(F.lit(" "), plain_key(F.col("n")), F.lit(" ")).contains(f" {' '.join(re.sub('[^a-z0-9 ]', '', query.lower()).split())} ")
+    out = named.select("k", "key", "n", F.round(F.col("base") * prior, 6).alias("score"), whole.alias("pinned"))
     return R.numbered(out, F.col("pinned").desc(), F.col("score").desc(), F.col("k"), F.col("key"), top=top).withColumnRenamed("rank", "place")
 
 

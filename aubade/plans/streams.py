@@ -7,16 +7,15 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aubade.streaming import ingest
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if os.path.isfile(path) else "*.parquet").parquet(sf_dir if os.path.isfile(path) else path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if os.path.isfile(path) else "*.parquet").parquet(sf_dir if os.path.isfile(path) else path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
