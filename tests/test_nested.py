@@ -22,7 +22,7 @@ def test_events_at_any_depth(spark):
 
 def test_programme(spark):
     text = json.dumps({"programme": {"versions": {"pid": "v"}, "categories": [{"id": "x"}, {"key": "no id"}], "parent": {"programme": {"pid": "p1", "parent": {"programme": {"pid": "p2", "parent": None}}}}}})
-    assert links(spark, [("e", text, None)]) == [("ancestor", "e", 1, "p1"), ("ancestor", "e", 2, "p2"), ("category", "e", 2, None), ("category", "e", 1, "x"), ("version", "e", 1, "v")]
+    assert links(spark, [("e", text, None)]) == [("ancestor", "e", 1, "p1"), ("ancestor", "e", 2, "p2"), ("category", "e", 1, "x"), ("category", "e", 2, None), ("version", "e", 1, "v")]
 
 
 def test_broken_texts_give_nothing(spark):
