@@ -32,7 +32,7 @@ class LearnedIndex:
         numbers = keys // piece
         self.low = int(numbers[0]) if len(keys) else 0
         first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(keys) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(keys)) - 1
+        last = np.append(first[1:], len(keys))[: len(first)] - 1
         run = keys[last] - keys[first]
         self.first, self.last, self.base = first, last, keys[first]
         self.slope = (last - first) / np.maximum(run, 1)

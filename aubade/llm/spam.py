@@ -48,6 +48,8 @@ _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _CLOSING = frozenset(".!?…")
 
 BLOCK_CHARS = 400
+#: A language's norm is at least this share of the norm of all languages.
+LEAST_NORM = 0.95
 BLOCK_SCHEMA = "doc_id bigint, lang_key string, style string, bucket int, chars bigint, ratio double, signs double, weight double, lines double"
 
 
@@ -119,14 +121,20 @@ def block_measures(documents: DataFrame) -> DataFrame:
 def spam_shares(documents: DataFrame) -> DataFrame:
     """``doc_id, spam_share``: the share of each text held by flagged blocks."""
     blocks = pinned(block_measures(documents))
-    norms = blocks.groupBy("lang_key", "style", "bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("norm"))
-    # At most languages x styles x buckets = 5 x 2 x 12 rows, whatever the data.
-    z = F.col("ratio") / F.col("norm")
+    # Each text counts once in a norm, however many blocks it has.
+    means = blocks.groupBy("doc_id", "lang_key", "style", "bucket").agg(F.avg("ratio").alias("ratio"))
+    own = means.where("lang_key <> 'other'").groupBy("lang_key", "style", "bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("own"))
+    pooled = means.groupBy("style", "bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("pooled"))
+    # At most languages x styles x buckets = 5 x 2 x 12 rows, whatever the data. A language full of stuffing is held to
+    # nearly the norm of all languages.
+    norm = F.greatest(F.coalesce("own", F.lit(0.0)), F.when(F.col("own").isNull(), 1.0).otherwise(LEAST_NORM) * F.col("pooled"))
+    blocks = blocks.join(F.broadcast(own), ["lang_key", "style", "bucket"], "left").join(F.broadcast(pooled), ["style", "bucket"])
+    z = F.col("ratio") / norm
     sentences = (F.col("style") == "S") & (((z < 0.81) & (F.col("weight") > 0.46)) | ((z < 0.72) & (F.col("weight") > 0.35)))
     keywords = (F.col("style") == "K") & (((z < 0.8) & (F.col("weight") > 0.48)) | ((z < 0.9) & (F.col("weight") > 0.6)) | ((F.col("lines") > 3) & (F.col("weight") > 0.9)))
     flagged = (F.col("signs") > 0.5) | sentences | keywords
     spam = F.when(flagged, F.col("chars")).otherwise(0)
-    return blocks.join(F.broadcast(norms), ["lang_key", "style", "bucket"]).groupBy("doc_id").agg((F.sum(spam) / F.sum("chars")).alias("spam_share"))
+    return blocks.groupBy("doc_id").agg((F.sum(spam) / F.sum("chars")).alias("spam_share"))
 
 
 def found_spam(documents: DataFrame, share: float = 0.75) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aubade.llm.looks import clean
+from aubade.operators.graph import components
 from aubade.operators.packed import KINDS, NOBODY, PARTICLES, unpacked
 from aubade.session import pinned
 
@@ -241,20 +242,6 @@ def scored_links(pairs: DataFrame, names: DataFrame, link: float = LINK) -> Data
     return named.select("a", "b", "name_a", "name_b").mapInArrow(run, "a bigint, b bigint, score double")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``id, root``: the smallest id of each connected component; labels also jump to their own label's label."""
-    edges = pinned(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = pinned(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
-    while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("root").alias("low"))
-        stepped = labels.join(near, labels.id == near.a).select("id", "root", F.least("root", "low").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("root").alias("far"))
-        after = pinned(stepped.join(jump, "new", "left").select("id", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")))
-        if after.where("old <> root").isEmpty():
-            return after.select("id", "root")
-        labels = after.drop("old")
-
-
 def average_linkage(n: int, links: list[tuple[int, int, float]], least: float = LINKAGE) -> list[int]:
     """The group of each of n items: clusters are merged, best average first, while the average over all pairs reaches ``least``."""
     total: list[dict[int, float]] = [{} for _ in range(n)]
