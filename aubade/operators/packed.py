@@ -65,19 +65,22 @@ def scan_pieces(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return (inside > 0) & sound[row]
 
     masked = depth((data == ord('"')).astype(np.int64), parity=True)
-    curly = (pad[:size] == 0xE2) & (pad[1 : size + 1] == 0x80)
+    curly = (pad[:size] == 0xE2) & (pad[1 : size + 1] == 0x80)  # three bytes of one sign, so of one row
     masked |= depth((curly & (pad[2 : size + 2] == 0x9C)).astype(np.int64) - (curly & (pad[2 : size + 2] == 0x9D)))
     for left, right in ("()", "[]"):
         masked |= depth((data == ord(left)).astype(np.int64) - (data == ord(right)))
 
     blank = np.isin(pad, np.frombuffer(b" \t\n", np.uint8)) | (pad == 0)
-    after, before = blank[1 : size + 1], np.concatenate([[True], blank[: max(size - 1, 0)]])[:size]
+    rows_padded = np.concatenate([row, np.full(8, -1)])
+    # The edges of a row count as blanks.
+    ends_after = lambda k: blank[k : size + k] | (rows_padded[k : size + k] != row)
+    after, before = ends_after(1), np.concatenate([[True], blank[: max(size - 1, 0)] | (row[1:] != row[:-1])])[:size]
     kind = np.zeros(size, np.int8)
     kind[np.isin(data, np.frombuffer(b"\n|;", np.uint8))] = STRONG
     kind[data == ord(",")] = COMMA
     kind[(data == ord("/")) & (after | before)] = SLASH
     kind[(data == ord("&")) & after & before] = AMP
-    word = (pad[:size] == ord("a")) & (pad[1 : size + 1] == ord("n")) & (pad[2 : size + 2] == ord("d")) & before & blank[3 : size + 3]
+    word = (pad[:size] == ord("a")) & (pad[1 : size + 1] == ord("n")) & (pad[2 : size + 2] == ord("d")) & before & ends_after(3) & (rows_padded[2 : size + 2] == row)
     kind[word] = AND
     kind[masked] = 0
     at = np.flatnonzero(kind)
@@ -164,12 +167,11 @@ def _joins(item: list[_Piece], p: _Piece, following: _Piece | None) -> bool:
             return True
         if len(item) == 1 and all(is_kind(w) for w in prev.words) and 1 <= len(p.words) <= 2 and not any(is_kind(w) for w in p.words) and not p.prefixed:
             return True
-        return len(item) == 1 and _surname_like(prev) and _given_like(p)
+        return len(item) == 1 and _surname_like(prev) and _given_like(p) and not ("-" in prev.name and len(p.words) > 2)
     if p.delim in (AMP, AND):
         return len(prev.words) == 1 and _is_part(prev.words[0]) and bool(p.words) and _is_part(p.words[0])
     if p.delim == SLASH:
-        comma_follows = following is not None and following.delim == COMMA and len(following.words) == 1 and "-" not in following.name and _given_like(following) and not is_role(following.raw)
-        return len(prev.words) == 2 and _near(prev.words[0].lower(), LEADING) and len(p.words) == 1 and not p.noted and not comma_follows
+        return len(prev.words) == 2 and _near(prev.words[0].lower(), LEADING) and len(p.words) == 1 and not p.noted
     return False
 
 

@@ -18,6 +18,7 @@ def names(text):
     [
         ("A B (tenor), C D (soprano) | E F", ["A B", "C D", "E F"]), ("A B, violin & viola; C D, organ", ["A B", "C D"]), ("conductor: A B; flute/piccolo: C D", ["A B", "C D"]),
         ("Trio Zininurin / Nova, A B (conductor)", ["Trio Zininurin / Nova", "A B"]), ("X Philharmonic / Ribukorin, Rebecca (conductor)", ["X Philharmonic", "Ribukorin, Rebecca"]),
+        ("Trio Bitoletti / Nova,  Befolidrez (conductor)", ["Trio Bitoletti / Nova", "Befolidrez"]), ("Dora-Nenifard, Dmitri Rebecca Suspasky (arr.)", ["Dora-Nenifard", "Dmitri Rebecca Suspasky"]),
         ("Vusomesky, Voices & Viols and A B (conductor)", ["Vusomesky, Voices & Viols", "A B"]), ("Chorus and Orchestra of X Opera, A B [conductor],", ["Chorus and Orchestra of X Opera", "A B"]),
         ('"de Begosurin, Thomas" (violin) & “Radio Choir, Rusivatti”', ["de Begosurin, Thomas", "Radio Choir, Rusivatti"]), ("Baroque Ensemble, Rusivatti / A B", ["Baroque Ensemble, Rusivatti", "A B"]),
         ("Sonumizik, Katharina Nikolaus (1855-1923); arr. Q R (c.1700–1750)", ["Sonumizik, Katharina Nikolaus", "Q R"]), ("Traditional, A B (1900-1950)", ["Traditional", "A B"]), ("A B\nC D (text)", ["A B", "C D"]), ("A;; B;", ["A", "B"]),
