@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="aubade-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 
