@@ -24,6 +24,10 @@ from aubade.session import pinned
 LENGTHS = (1.0, 0.75, 0.5, 0.25, 0.125)
 CONTAINER_COST = 1.0
 
+#: Specs are settings, read to the driver; more are an error.
+MAX_SPECS = 1000
+
+ITEM_SCHEMA = "spec_name string, pack_group string, container bigint, container_length bigint, container_fill bigint, doc_id bigint, part_no bigint, tokens bigint"
 PLAN_SCHEMA = "spec_name string, pack_group string, size bigint, segments array<struct<first_rank:bigint,end_rank:bigint,each:bigint,first_bin:bigint,bin_length:bigint,bin_fill:bigint>>"
 
 
@@ -111,10 +115,14 @@ def packed_items(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     numbered from 1 within a spec and group; the group is the source where sources are kept apart, else '*'.
     """
     base = pinned(sizes.withColumn("pack_part", F.spark_partition_id()))
-    usable = specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").alias("capacity"), F.coalesce("keep_sources_apart", F.lit(False)).alias("apart")).dropDuplicates(["spec_name"])
+    usable = specs.where("capacity_tokens > 0").dropDuplicates(["spec_name"]).limit(MAX_SPECS + 1).collect()
+    if len(usable) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specs")
+    if not usable:
+        return base.sparkSession.createDataFrame([], ITEM_SCHEMA)
     room = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(1))
-    # Each spec is applied to each row: the specs are a small table of settings.
-    items = base.crossJoin(F.broadcast(usable)).withColumn("part_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(room / F.col("capacity")))))
+    spec = F.explode(F.array(*(F.struct(F.lit(s["spec_name"]).alias("spec_name"), F.lit(s["capacity_tokens"]).cast("bigint").alias("capacity"), F.lit(bool(s["keep_sources_apart"])).alias("apart")) for s in usable)))
+    items = base.select("*", spec.alias("spec")).select("*", "spec.*").withColumn("part_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(room / F.col("capacity")))))
     items = items.select(
         "spec_name", "capacity", F.when(F.col("apart"), F.coalesce("source", F.lit(""))).otherwise("*").alias("pack_group"), "doc_id", "part_no", "pack_part",
         F.least(F.col("capacity"), room - (F.col("part_no") - 1) * F.col("capacity")).alias("size"), F.coalesce("tokens", F.lit(0)).alias("doc_tokens"),
