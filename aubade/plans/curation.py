@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from aubade.operators import curation as C
 from aubade.operators import instants
 from aubade.operators import matching as M
-from aubade.plans.common import AIR, SEG, air, segments
-from aubade.plans.matching import sql_tokens
+from aubade.plans.common import AIR, SEG, air, segments, sql_fold
+from aubade.plans.matching import CREDIT_PARTS, SOLO_ROLES, sql_tokens
 from aubade.plans.segments import _BRC, _ROLES
 from aubade.sources import landed
 from aubade.sources.tables import load
@@ -120,7 +120,13 @@ _NAMED = (cur_performer, cur_broadcaster, cur_interstitials, cur_resolve, cur_wo
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMED}
 
 _TITLES = "ti AS (SELECT ck, wk, min(title) AS title FROM air WHERE ck <> '' AND wk <> '' AND title IS NOT NULL GROUP BY ALL)"
+_REFS = rf"""list_transform(regexp_extract_all({sql_fold('lower(title)')}, '\b((?:bwv|hwv|rv|kv|k|d|twv|wq|woo|hob|s|bb|op) ?\.? ?0*\d+)', 1), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[ .]', '', 'g'), '^kv', 'k'), '^([a-z]+?)0*(\d+)$', '\1\2'))"""
 ORACLES: dict[str, str] = {
+    "cur_families": rf"""WITH {AIR}, {_TITLES}, f AS (SELECT ck, wk, unnest(list_distinct(list_concat({_REFS}, list_transform(regexp_extract_all(lower(title), '\bop\.? ?(\d+)', 1), lambda x: concat('op', x))))) AS family FROM ti)
+SELECT ck, family, count(*) AS members FROM f GROUP BY ALL""",
+    "cur_ensembles": f"WITH {AIR}, {CREDIT_PARTS} SELECT nk AS name, count(DISTINCT id) AS tracks FROM cp WHERE nk <> '' AND NOT regexp_matches(role, 'conductor|director|{SOLO_ROLES}') GROUP BY nk HAVING count(DISTINCT id) >= 3",
+    "cur_name_sets": f"""WITH {AIR}, {CREDIT_PARTS}, k AS (SELECT pid, nk, regexp_matches(role, 'conductor|director') AS c, NOT regexp_matches(role, 'conductor|director|{SOLO_ROLES}') AS e FROM cp WHERE nk <> '')
+SELECT pid, count(DISTINCT CASE WHEN c THEN nk END) AS conductors, count(DISTINCT CASE WHEN e THEN nk END) AS ensembles FROM k WHERE c OR e GROUP BY pid""",
     "cur_performer": f"""WITH {SEG}, {_ROLES}, h AS (SELECT DISTINCT identity FROM ident WHERE nk LIKE '%ribukorin%')
 SELECT id, recording_pid FROM seg WHERE recording_pid IN (SELECT recording_pid FROM ident WHERE identity IN (SELECT identity FROM h) AND recording_pid IS NOT NULL)""",
     "cur_broadcaster": f"WITH {SEG}, b AS (SELECT *, {_BRC} AS brc FROM seg) SELECT id, brc FROM b WHERE brc IN (SELECT brc FROM b WHERE upper(record_label) LIKE '%QXD%')",

@@ -150,7 +150,15 @@ rw AS (SELECT ck, wk, list(word) AS rare FROM tk JOIN df USING (ck, word) WHERE
 _LISTS = {"opus": r"\bop\.? ?(\d+)", "numbers": r"\bno\.? ?(\d+)"}
 _DIFFER = " OR ".join(f"({_found('a.title', p)} <> '' AND {_found('b.title', p)} <> '' AND {_found('a.title', p)} <> {_found('b.title', p)})" for p in _LISTS.values())
 
+_NAME = sql_key(r"trim(regexp_extract(p, '^([^(\[]*)', 1))")
+#: Credits of performers texts as rows, as credit_sets.
+CREDIT_PARTS = rf"""cs AS (SELECT id, pid, ck, wk, bdate, unnest(string_split_regex(performers, '[,;|\n]| and ')) AS p FROM air WHERE performers <> ''),
+cp AS (SELECT id, pid, ck, wk, bdate, {_NAME} AS nk, lower(regexp_extract(p, '[(\[]([^)\]]*)[)\]]', 1)) AS role FROM cs)"""
+SOLO_ROLES = M._SOLO
+
 ORACLES: dict[str, str] = {
+    "match_text_recordings": f"""WITH {AIR}, {CREDIT_PARTS}, k AS (SELECT id, ck, wk, bdate, coalesce(array_to_string(list_sort(list(DISTINCT nk) FILTER (nk <> '')), ';'), '') AS credit_key FROM cp WHERE ck <> '' AND wk <> '' GROUP BY ALL)
+SELECT ck, wk, credit_key, count(*) AS airings, count(DISTINCT bdate) AS dates, min(bdate) AS first_aired FROM k GROUP BY ALL HAVING count(DISTINCT bdate) >= 1""",
     "match_positional": f"""WITH {AIR}, {SEG_ONLY},
 atp AS (SELECT episode_pid AS pid, position - 1 AS position, list(recording_pid ORDER BY id)[1] AS rp, list(ck ORDER BY id)[1] AS sck FROM seg WHERE position IS NOT NULL AND recording_pid IS NOT NULL GROUP BY ALL),
 sole AS (SELECT episode_pid AS pid, ck, min(recording_pid) AS only_rp FROM seg WHERE recording_pid IS NOT NULL AND ck <> '' GROUP BY ALL HAVING count(*) = 1)

@@ -106,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q fo
 
 _SEGW = f"segw AS (SELECT *, coalesce(array_to_string(list_sort(string_split({sql_key('track_title')}, ' ')), ' '), '') AS wk FROM seg)"
 ORACLES: dict[str, str] = {
+    "site_episodes": f"""WITH {AIR}, {SEG_ONLY}, prints AS (SELECT episode_pid AS pid, sha1(string_agg(recording_pid, '|' ORDER BY coalesce(position, 1099511627776), id)) AS print FROM seg WHERE recording_pid IS NOT NULL GROUP BY 1),
+d AS (SELECT p.pid, print, bdate FROM prints p JOIN nights n ON p.pid = n.pid WHERE bdate IS NOT NULL), r AS (SELECT pid, (SELECT count(DISTINCT e.bdate) FROM d e WHERE e.print = d.print AND e.bdate < d.bdate) AS earlier FROM d),
+c AS (SELECT pid, bdate, count(*) AS tracks, count(DISTINCT CASE WHEN ck <> '' THEN ck END) AS composers FROM air GROUP BY ALL) SELECT c.*, coalesce(earlier, 0) AS earlier FROM c LEFT JOIN r USING (pid)""",
     "site_works": f"""WITH {AIR}, {SEG_ONLY}, {_SEGW}, r AS (SELECT ck, wk, count(DISTINCT recording_pid) AS n_recordings, count(*) AS n_segments FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ALL),
 t AS (SELECT ck, wk, count(*) AS airings, min(bdate) AS first_aired, max(bdate) AS last_aired, count(DISTINCT pid) AS nights FROM air WHERE ck <> '' AND wk <> '' GROUP BY ALL)
 SELECT ck, wk, airings, coalesce(n_recordings, 0) AS n_recordings, greatest(airings - coalesce(n_segments, 0), 0) AS n_text_only, first_aired, last_aired, nights FROM t LEFT JOIN r USING (ck, wk)""",
