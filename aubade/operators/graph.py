@@ -26,21 +26,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def resolved(aliases: DataFrame) -> DataFrame:
-    """``variant, preferred`` with every chain followed to its end (C33). Members of a cycle resolve to its smallest member."""
-    pairs = aliases.where("variant is not null and preferred is not null and variant <> preferred").groupBy("variant").agg(F.min("preferred").alias("preferred"))
-    now = pinned(pairs)
-    for _ in range(64):  # doubling: chains of any length a table can hold
-        hop = now.select(F.col("variant").alias("preferred"), F.col("preferred").alias("far"))
-        after = pinned(now.join(hop, "preferred", "left").select("variant", F.col("preferred").alias("old"), F.coalesce("far", "preferred").alias("preferred")))
-        if after.where("old <> preferred").isEmpty() or not after.where("variant = preferred").isEmpty():
+    """``variant, preferred`` with every chain followed to its end.
+
+    Pointers double each round; names still pointing at a variant once no more reach an end lead into a cycle and
+    resolve to the smallest name of their component.
+    """
+    pairs = pinned(aliases.where("variant is not null and preferred is not null and variant <> preferred").groupBy("variant").agg(F.min("preferred").alias("preferred")))
+    variants = pairs.select(F.col("variant").alias("preferred"))
+    now, open_before = pairs, None
+    while True:
+        still_open = now.join(variants, "preferred", "left_semi").count()
+        if still_open == 0 or still_open == open_before:
             break
-        now = after.drop("old")
-    loops = now.join(now.select(F.col("variant").alias("preferred")), "preferred", "left_semi")
-    if loops.isEmpty():
-        return now
-    roots = components(pairs.select(F.col("variant").alias("a"), F.col("preferred").alias("b"))).select(F.col("id").alias("variant"), "root")
-    in_loop = loops.join(roots, "variant").select("variant", F.col("root").alias("preferred")).where("variant <> preferred")
-    return now.join(loops, "variant", "left_anti").unionByName(in_loop)
+        hop = now.select(F.col("variant").alias("preferred"), F.col("preferred").alias("far"))
+        now, open_before = pinned(now.join(hop, "preferred", "left").select("variant", F.coalesce("far", "preferred").alias("preferred"))), still_open
+    if still_open == 0:
+        return now.select("variant", "preferred")
+    ends = now.join(variants, "preferred", "left_anti").select("variant", "preferred")
+    looping = pairs.join(now.join(variants, "preferred", "left_semi").select("variant"), "variant", "left_semi")
+    roots = components(looping.select(F.col("variant").alias("a"), F.col("preferred").alias("b"))).select(F.col("id").alias("variant"), F.col("root").alias("preferred"))
+    return ends.unionByName(roots.join(looping.select("variant"), "variant", "left_semi").where("variant <> preferred"))
 
 
 def alias_health(aliases: DataFrame, used: DataFrame) -> DataFrame:
