@@ -15,8 +15,8 @@ from aubade.operators.segments import contributions
 
 #: Weights and costs of the alignment.
 TOLERANCE_S, W_TIME, W_CONTENT, GAP = 90.0, 0.6, 0.4, 0.85
-#: Rows of one night and lineage that are aligned together; a longer night is cut there.
-CHUNK = 1500
+#: Columns of the alignment table that are worked at once; of no effect on results.
+TILE = 1024
 
 MATCH_SCHEMA = "episode_pid string, track_id bigint, segment_id bigint, cost double, tier string"
 
@@ -37,52 +37,113 @@ def tier_of(cost: float, same_surname: bool, timed: bool) -> str:
     return "medium" if cost < 0.7 and timed or cost < 0.6 else "low"
 
 
+class _Costs:
+    """pair_cost of stretches of tracks and segments; a pair's words meet through an index of the segments' words."""
+
+    def __init__(self, tracks: pd.DataFrame, segs: pd.DataFrame):
+        codes: dict[str, int] = {}
+        code = lambda names, none: np.array([codes.setdefault(x, len(codes)) if isinstance(x, str) and x else none for x in names], np.int64)
+        self.t_sur, self.s_sur = code(tracks.sur, -1), code(segs.sur, -2)
+        self.t_s, self.s_s = tracks.offset_s.to_numpy(np.float64, na_value=np.nan), segs.offset_s.to_numpy(np.float64, na_value=np.nan)
+        self.t_words, s_words = [frozenset(w) for w in tracks.words], [frozenset(w) for w in segs.words]
+        self.s_words, self.s_size = s_words, np.array([len(w) for w in s_words], np.int64)
+        at: dict[str, list[int]] = {}
+        for j, words in enumerate(s_words):
+            for word in words:
+                at.setdefault(word, []).append(j)
+        self.at = {word: np.array(js, np.int64) for word, js in at.items()}
+
+    def block(self, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
+        shared = np.zeros((i1 - i0, j1 - j0))
+        sizes = np.array([len(w) for w in self.t_words[i0:i1]], np.int64)
+        for i, words in enumerate(self.t_words[i0:i1]):
+            for word in words:
+                if (js := self.at.get(word)) is not None:
+                    shared[i, js if len(self.s_size) == j1 - j0 else js[np.searchsorted(js, j0) : np.searchsorted(js, j1)] - j0] += 1
+        union = sizes[:, None] + self.s_size[None, j0:j1] - shared
+        share = np.where(union == 0, 1.0, shared / np.maximum(union, 1))
+        content = 1.0 - (0.7 * (self.t_sur[i0:i1, None] == self.s_sur[None, j0:j1]) + 0.3 * share)
+        apart = np.abs(self.t_s[i0:i1, None] - self.s_s[None, j0:j1])
+        return np.where(np.isnan(apart), np.minimum(1.0, 0.15 + content), W_TIME * apart / (TOLERANCE_S + apart) + W_CONTENT * content)
+
+    def pair(self, i: int, j: int) -> tuple[float, str]:
+        """Cost and tier of one pair."""
+        t_s, s_s, same, union = self.t_s[i], self.s_s[j], bool(self.t_sur[i] == self.s_sur[j]), len(self.t_words[i] | self.s_words[j])
+        timed = t_s == t_s and s_s == s_s
+        cost = float(pair_cost(*((t_s, s_s) if timed else (None, None)), same, len(self.t_words[i] & self.s_words[j]) / union if union else 1.0))
+        return cost, tier_of(cost, same, bool(timed and abs(t_s - s_s) <= TOLERANCE_S))
+
+
+def _tile(cost: np.ndarray, top: np.ndarray, left: np.ndarray, steps: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest row and last column of a tile of the table from its upper row and first column, by anti-diagonals."""
+    h, w = cost.shape
+    best, padded = np.empty((h + 1, w + 1)), np.empty((h + 1, w + 1))
+    best[0], best[:, 0], padded[1:, 1:] = top, left, cost
+    flat, costs = best.reshape(-1), padded.reshape(-1)
+    for d in range(h + w - 1):
+        lo, hi = max(0, d - w + 1), min(h - 1, d)
+        first = (lo + 1) * (w + 1) + d - lo + 1
+        end = first + (hi - lo) * w + 1
+        skip = np.minimum(flat[first - w - 1 : end - w - 1 : w], flat[first - 1 : end - 1 : w])
+        skip += GAP
+        np.minimum(flat[first - w - 2 : end - w - 2 : w] + costs[first:end:w], skip, out=flat[first:end:w])
+    if steps is not None:
+        match, up, back = best[:-1, :-1] + cost, best[:-1, 1:] + GAP, best[1:, :-1] + GAP
+        steps[:, :] = np.where(match <= np.minimum(up, back), 0, np.where(up <= back, 1, 2))
+    return best[-1], best[:, -1]
+
+
 def _align(key: tuple, tracks: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
-    """Cheapest order-keeping pairing; equal costs prefer a match, then skipping the track."""
+    """Cheapest order-keeping pairing; equal costs prefer a match, then skipping the track.
+
+    The whole table of the night is worked. Of its costs only every ``high``-th row is kept; the way back works the rows
+    between two of these again, so that memory grows with the segments and the root of the tracks.
+    """
     tracks, segs = tracks.sort_values(["position", "rid"]), segs.sort_values(["position", "rid"])
-    none = lambda v: None if pd.isna(v) else float(v)
-    left = [(none(o), s, frozenset(w), r) for o, s, w, r in zip(tracks.offset_s, tracks.sur, tracks.words, tracks.rid, strict=True)]
-    right = [(none(o), s, frozenset(w), r) for o, s, w, r in zip(segs.offset_s, segs.sur, segs.words, segs.rid, strict=True)]
-    n, m = len(left), len(right)
-    cost = np.zeros((n, m))
-    for i, (to, ts, tw, _) in enumerate(left):
-        for j, (so, ss, sw, _) in enumerate(right):
-            union = len(tw | sw)
-            cost[i, j] = pair_cost(to, so, bool(ts) and ts == ss, 1.0 if not union else len(tw & sw) / union)
-    best = np.zeros((n + 1, m + 1))
-    best[:, 0], best[0, :] = np.arange(n + 1) * GAP, np.arange(m + 1) * GAP
-    step = np.zeros((n + 1, m + 1), np.int8)
-    step[1:, 0], step[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = (best[i - 1, j - 1] + cost[i - 1, j - 1], best[i - 1, j] + GAP, best[i, j - 1] + GAP)
-            step[i, j] = min(range(3), key=lambda k: (options[k], k))
-            best[i, j] = options[step[i, j]]
+    columns = ["episode_pid", "track_id", "segment_id", "cost", "tier"]
+    n, m = len(tracks), len(segs)
+    if not n or not m:
+        return pd.DataFrame([], columns=columns)
+    costs, high = _Costs(tracks, segs), max(64, int((8 * n) ** 0.5))
+
+    def rows(i0: int, top: np.ndarray, steps: np.ndarray | None) -> np.ndarray:
+        i1, low = min(n, i0 + high), np.empty(m + 1)
+        left = np.arange(i0, i1 + 1) * GAP
+        low[0] = left[-1]
+        for j0 in range(0, m, TILE):
+            j1 = min(m, j0 + TILE)
+            lowest, left = _tile(costs.block(i0, i1, j0, j1), top[j0 : j1 + 1], left, None if steps is None else steps[:, j0:j1])
+            low[j0 + 1 : j1 + 1] = lowest[1:]
+        return low
+
+    tops = [np.arange(m + 1) * GAP]
+    for i0 in range(0, n - high, high):
+        tops.append(rows(i0, tops[-1], None))
     out, i, j = [], n, m
-    while i or j:
-        if step[i, j] == 0 and i and j:
-            i, j = i - 1, j - 1
-            (to, ts, _, rid), (so, ss, _, sid) = left[i], right[j]
-            same, timed = bool(ts) and ts == ss, to is not None and so is not None and abs(to - so) <= TOLERANCE_S
-            out.append((key[0], rid, sid, float(cost[i, j]), tier_of(cost[i, j], same, timed)))
-        elif step[i, j] == 1:
-            i -= 1
-        else:
-            j -= 1
-    return pd.DataFrame(out, columns=["episode_pid", "track_id", "segment_id", "cost", "tier"])
+    t_ids, s_ids = tracks.rid.tolist(), segs.rid.tolist()
+    for i0 in range((len(tops) - 1) * high, -1, -high):
+        steps = np.empty((min(n, i0 + high) - i0, m), np.int8)
+        rows(i0, tops.pop(), steps)
+        while i > i0 and j:
+            step = steps[i - 1 - i0, j - 1]
+            if step == 0:
+                i, j = i - 1, j - 1
+                out.append((key[0], t_ids[i], s_ids[j], *costs.pair(i, j)))
+            elif step == 1:
+                i -= 1
+            else:
+                j -= 1
+    return pd.DataFrame(out, columns=columns)
 
 
 def aligned(air: DataFrame, offsets: DataFrame, segments: DataFrame) -> DataFrame:
     """``episode_pid, track_id, segment_id, cost, tier`` of every pair in the nights' cheapest alignments.
 
-    A night is at most a few dozen rows. One of more than CHUNK is cut into chunks by position and aligned chunk by
-    chunk, so that no task holds an unbounded night.
+    A night is aligned whole in one task, whatever its length; its time grows with tracks x segments.
     """
-    order = Window.partitionBy("episode_pid").orderBy("position", "rid")
     tracks = air.join(offsets, "id", "left").select(F.col("pid").alias("episode_pid"), F.col("id").alias("rid"), "position", "offset_s", surname(F.col("composer")).alias("sur"), significant_tokens(F.coalesce("title", F.lit(""))).alias("words"))
     segs = segments.select("episode_pid", F.col("id").alias("rid"), F.coalesce("position", "version_offset").alias("position"), F.col("version_offset").alias("offset_s"), surname(F.col("composer_name")).alias("sur"), significant_tokens(F.coalesce("track_title", F.lit(""))).alias("words"))
-    cut = lambda df: df.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / CHUNK))
-    return cut(tracks).groupBy("episode_pid", "chunk").cogroup(cut(segs).groupBy("episode_pid", "chunk")).applyInPandas(_align, MATCH_SCHEMA)
+    return tracks.groupBy("episode_pid").cogroup(segs.groupBy("episode_pid")).applyInPandas(_align, MATCH_SCHEMA)
 
 
 def projection(matches: DataFrame, segments: DataFrame, tiers: tuple[str, ...] = ("high",)) -> DataFrame:

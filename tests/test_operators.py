@@ -1,6 +1,7 @@
 """Reference operators on small fixtures: alignment, graphs, registry, parsers, keys, interface."""
 
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -36,6 +37,23 @@ def test_alignment_is_the_cheapest():
     assert got.tier.tolist() == ["high"] * 3 and len(M._align(("e",), side([]), side(segs))) == 0
 
 
+def test_alignment_of_long_nights(spark):
+    air = spark.range(1700).selectExpr("'e' AS pid", "id", "id AS position", "concat('N Lund', chr(CAST(97 + id % 26 AS INT))) AS composer", "concat('w', id) AS title")
+    segs = spark.range(850).selectExpr("'e' AS episode_pid", "id", "id AS position", "CAST(NULL AS BIGINT) AS version_offset", "concat('N Lund', chr(CAST(97 + (2 * id) % 26 AS INT))) AS composer_name", "concat('w', 2 * id) AS track_title")
+    offsets = spark.createDataFrame([], "id bigint, offset_s bigint")
+    got = M.aligned(air, offsets, segs).collect()
+    assert {(r.track_id, r.segment_id) for r in got} == {(2 * k, k) for k in range(850)} and {r.tier for r in got} == {"high"}
+
+
+def test_alignment_by_tiles_is_the_same(monkeypatch):
+    some = random.Random(4)
+    pick = lambda n: side([(some.choice([None, 90 * i]), some.choice([None, "lund", "oster", "weil"]), some.sample(["op", "trio", "mass"], some.randint(0, 3))) for i in range(n)])
+    tracks, segs = pick(150), pick(70)
+    whole = M._align(("e",), tracks, segs)
+    monkeypatch.setattr(M, "TILE", 11)
+    assert whole.equals(M._align(("e",), tracks, segs)) and len(whole) > 0
+
+
 def test_components_and_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.root for r in G.components(links).collect()} == {0, 100}
