@@ -20,7 +20,7 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from aubade.session import pinned
 
 DAY = 86_400
 HOME = "Europe/London"
+#: Where the clocks of a night without a readable start or timestamp begin; only differences are taken from it.
+UNDATED_S = 946_684_800
 
 #: Zone names in texts and their offsets in seconds.
 NAMED_OFFSETS = {"z": 0, "utc": 0, "gmt": 0, "bst": 3600, "cet": 3600, "cest": 7200}
@@ -266,15 +268,22 @@ def clock_instants(readings: DataFrame, zone: str = HOME) -> DataFrame:
     return laid.mapInPandas(scan(carries, False), _SCAN_OUT)
 
 
-def track_instants(tracks: DataFrame, episodes: DataFrame, zone: str = HOME) -> DataFrame:
-    """``rec_id, scan_group, utc_s, start_s``: one row per readable track of an episode with a readable start."""
+def track_instants(tracks: DataFrame, episodes: DataFrame, zone: str = HOME, undated: bool = False) -> DataFrame:
+    """``rec_id, scan_group, utc_s, start_s``: one row per readable track of an episode with a readable start.
+
+    With ``undated``, also of the other episodes: their clocks begin a day before the first full timestamp, else anywhere.
+    """
     starts = start_instants(episodes.select("pid", "broadcast_date"), zone=zone)
     parsed = parse_instant_texts(tracks.select("id", "episode_pid", "position", "time_str"), "time_str").where("ts_kind is not null and episode_pid is not null")
     flat = parsed.select(F.col("id").alias("rec_id"), F.col("episode_pid").alias("scan_group"), F.col("position").alias("scan_pos"), F.col("ts_kind").alias("kind"), F.col("ts_value").alias("value"), F.col("ts_offset_s").alias("offset_s"))
-    joined = flat.join(starts.withColumnRenamed("pid", "scan_group"), "scan_group")
+    joined = flat.join(starts.withColumnRenamed("pid", "scan_group"), "scan_group", "left" if undated else "inner")
     placed = resolve_local(joined.withColumn("home_zone", F.lit(zone)), "value", "home_zone", "home_utc", [zone])
     readings = placed.select("scan_group", "scan_pos", "rec_id", "start_s", F.when(F.col("kind") == "local", F.col("home_utc")).otherwise(F.col("value")).alias("value"), "offset_s", (F.col("kind") != "clock").alias("is_full"))
-    return clock_instants(readings.where("value is not null"), zone)
+    readings = readings.where("value is not null")
+    if undated:
+        full = F.min(F.when(F.col("is_full"), F.col("value"))).over(Window.partitionBy("scan_group"))
+        readings = readings.withColumn("start_s", F.coalesce("start_s", full - DAY, F.lit(UNDATED_S)))
+    return clock_instants(readings, zone)
 
 
 def found_instants(episodes: DataFrame, tracks: DataFrame) -> DataFrame:

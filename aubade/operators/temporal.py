@@ -36,6 +36,13 @@ def episode_offsets(air: DataFrame) -> DataFrame:
     return rows.select("id", (F.col("s") + F.col("days") * DAY - F.col("first_s")).cast("bigint").alias("offset_s"))
 
 
+def instant_offsets(air: DataFrame, instants: DataFrame) -> DataFrame:
+    """``id, offset_s``: as episode_offsets, for every clock text that ``instants.track_instants`` reads."""
+    night = Window.partitionBy("pid").orderBy("position", "id")
+    rows = air.join(instants.select(F.col("rec_id").alias("id"), "utc_s"), "id")
+    return rows.select("id", (F.col("utc_s") - F.first("utc_s").over(night)).cast("bigint").alias("offset_s"))
+
+
 def fingerprints(segments: DataFrame) -> DataFrame:
     """``pid, print``: the recordings of a night in order, joined (F28). A night of unnamed recordings has none.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aubade.functions import text as X
 from aubade.operators import graph as G
+from aubade.operators import instants as I
 from aubade.operators import matching as M
 from aubade.operators import ranking as R
 from aubade.operators import temporal as T
@@ -19,7 +20,8 @@ from aubade.sources.tables import load
 def match_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-keeping alignment of all nights."""
     rows = air(spark, sf_dir)
-    return M.aligned(rows, T.episode_offsets(rows), segments(spark, sf_dir))
+    clocks = I.track_instants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "episodes"), undated=True)
+    return M.aligned(rows, T.instant_offsets(rows, clocks), segments(spark, sf_dir))
 
 
 def match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:

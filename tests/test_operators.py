@@ -11,10 +11,13 @@ from aubade.api import Archive, OptionError
 from aubade.functions import text as X
 from aubade.functions.titlekey import demojibake, work_title_key
 from aubade.operators import graph as G
+from aubade.operators import instants as I
 from aubade.operators import matching as M
 from aubade.operators import parse as P
 from aubade.operators import search as Q
+from aubade.operators import temporal as T
 from aubade.operators import warehouse as W
+from aubade.plans.matching import match_aligned
 from aubade.sources import landed
 from aubade.sources.tables import load
 from tests.conftest import rows
@@ -54,6 +57,27 @@ def test_alignment_by_tiles_is_the_same(monkeypatch):
     assert whole.equals(M._align(("e",), tracks, segs)) and len(whole) > 0
 
 
+def test_offsets_of_all_clock_forms(spark):
+    episodes = spark.createDataFrame([("a", "14/01/2008 00:30"), ("b", None)], "pid string, broadcast_date string")
+    clocks = ["12:31 AM", "00:39 GMT", "00:45:30", "1:02 AM GMT", "?", "23:50 UTC", "12:10 AM"]
+    tracks = spark.createDataFrame([(10 * k + i, e, i, c) for k, e in enumerate("ab") for i, c in enumerate(clocks)], "id bigint, episode_pid string, position bigint, time_str string")
+    air = tracks.withColumnRenamed("episode_pid", "pid")
+    got = dict(rows(T.instant_offsets(air, I.track_instants(tracks, episodes, undated=True))))
+    want = [0, 480, 870, 1860, None, 83940, 85140]
+    assert got == {10 * k + i: o for k in range(2) for i, o in enumerate(want) if o is not None}
+
+
+def test_aligned_tracks_are_timed_by_all_clock_forms(spark, sf):
+    read = I.parse_instant_texts(load(spark, sf, "tracks"), "time_str").where("ts_kind is not null").select("id", "episode_pid")
+    kept = read.join(load(spark, sf, "episodes").select(F.col("pid").alias("episode_pid")), "episode_pid").count()
+    seen = []
+    whole = M.aligned
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(M, "aligned", lambda air, offsets, segments: seen.append(offsets) or whole(air, offsets, segments))
+        match_aligned(spark, sf)
+    assert seen[0].where("offset_s is not null").count() == kept > 0
+
+
 def test_components_and_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.root for r in G.components(links).collect()} == {0, 100}
