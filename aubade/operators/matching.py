@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aubade.functions.text import candidate_id, canonical_key, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_numbers
+from aubade.functions.text import candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_numbers
 from aubade.operators.segments import contributions
 
 #: Weights and costs of the alignment.
@@ -263,16 +263,39 @@ def bridged(air: DataFrame, segments: DataFrame) -> DataFrame:
     return best.where("n = 1").drop("n")
 
 
-def reairing_pairs(air: DataFrame, top_words: int = 2) -> DataFrame:
-    """``ck, a, b, pair_id``: one-off works of a composer that share their rarest words without conflict."""
-    single = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.count("*").alias("n"), F.min("title").alias("title"), F.min("bdate").alias("bdate")).where("n = 1")
-    tokens = single.select("ck", "wk", F.explode(significant_tokens(F.col("title"))).alias("word"))
+def performer_names(performers: Column) -> Column:
+    """The keys of the names in a performers text, brackets left off, also an unclosed one."""
+    bare = F.regexp_replace(F.regexp_replace(performers, r"\([^)]*\)", ""), r"\([^)]*$", "")
+    return F.array_distinct(F.filter(F.transform(F.split(bare, r"[,;|]| and "), canonical_key), lambda k: k != ""))
+
+
+def reairing_pairs(air: DataFrame, percent: int = 55) -> DataFrame:
+    """``ck, a, b, pair_id``: one-off works of a composer that may be one, by like performers, without conflict (E9, F21, pairs of I10).
+
+    Works of one catalogue number are alike; if not both have one, titles that share ``percent`` of their words. At least
+    half of the names of the side with fewer must be shared. Candidates share their number, or one of the rarest words of
+    both titles - as many as the percentage requires.
+    """
+    single = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.count("*").alias("n"), F.min("title").alias("title"), F.min("performers").alias("performers"), F.min("bdate").alias("bdate"), F.min("pid").alias("pid")).where("n = 1")
+    words = F.array_distinct(F.filter(F.split(canonical_key(F.col("title")), " "), lambda w: w != ""))
+    single = single.select("ck", "wk", "title", "bdate", "pid", catalogue_ref(F.col("title")).alias("cat"), words.alias("words"), performer_names(F.col("performers")).alias("names")).where("size(names) > 0")
+    tokens = single.select("ck", "wk", F.explode("words").alias("word"))
     frequency = tokens.groupBy("ck", "word").agg(F.count("*").alias("df"))
-    ranked = tokens.join(frequency, ["ck", "word"]).where("df > 1").withColumn("r", F.row_number().over(Window.partitionBy("ck", "wk").orderBy("df", "word"))).where(F.col("r") <= top_words)
-    pairs = ranked.select("ck", F.col("wk").alias("a"), "word").join(ranked.select("ck", F.col("wk").alias("b"), "word"), ["ck", "word"]).where("a < b").groupBy("ck", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= top_words)
-    named = pairs.join(single.select("ck", F.col("wk").alias("a"), F.col("title").alias("ta"), F.col("bdate").alias("da")), ["ck", "a"]).join(single.select("ck", F.col("wk").alias("b"), F.col("title").alias("tb"), F.col("bdate").alias("db")), ["ck", "b"])
-    kept = named.where(~title_conflict(F.col("ta"), F.col("tb")) & (F.coalesce(F.col("da") != F.col("db"), F.lit(True))))
-    return kept.select("ck", "a", "b", candidate_id(F.col("ta"), F.col("tb")).alias("pair_id"))
+    listed = tokens.join(frequency, ["ck", "word"]).groupBy("ck", "wk").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("l"))
+    # In whole numbers: n - ceil(percent * n / 100) + 1 words by rarity.
+    listed = listed.withColumn("cut", F.expr(f"cast(size(l) - (size(l) * {percent} + 99) div 100 + 1 as int)"))
+    index = listed.select("ck", "wk", F.explode(F.slice("l", F.lit(1), F.col("cut"))).alias("t")).select("ck", "wk", F.concat(F.lit("w"), "t.word").alias("at"))
+    index = index.unionByName(single.where("cat is not null").select("ck", "wk", F.concat(F.lit("c"), "cat").alias("at")))
+    pairs = index.select("ck", F.col("wk").alias("a"), "at").join(index.select("ck", F.col("wk").alias("b"), "at"), ["ck", "at"]).where("a < b").select("ck", "a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(single.select("ck", F.col("wk").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("title", "bdate", "pid", "cat", "words", "names"))), ["ck", side])
+    alike = F.size(F.array_intersect("words_a", "words_b")) * 100 >= F.size(F.array_union("words_a", "words_b")) * percent
+    same_work = F.when(F.col("cat_a").isNotNull() & F.col("cat_b").isNotNull(), F.col("cat_a") == F.col("cat_b")).otherwise(alike)
+    shared = F.size(F.array_intersect("names_a", "names_b"))
+    same_names = (shared > 0) & (shared * 2 >= F.least(F.size("names_a"), F.size("names_b")))
+    apart = (F.col("pid_a") != F.col("pid_b")) & F.coalesce(F.col("bdate_a") != F.col("bdate_b"), F.lit(True))
+    kept = pairs.where(same_work & same_names & apart).where(~title_conflict(F.col("title_a"), F.col("title_b")))
+    return kept.select("ck", "a", "b", candidate_id(F.col("title_a"), F.col("title_b")).alias("pair_id"))
 
 
 def corroborated(a: Column, b: Column) -> Column:

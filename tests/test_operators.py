@@ -78,6 +78,32 @@ def test_aligned_tracks_are_timed_by_all_clock_forms(spark, sf):
     assert seen[0].where("offset_s is not null").count() == kept > 0
 
 
+def test_reairings_by_words_number_and_performers(spark):
+    works = [("Old grey castle overture alpha", "X Choir, A B (piano)"), ("Old grey castle overture beta", "X Choir"), ("Sea song BWV 12", "Y Trio"), ("Cantata of spring BWV 12", "Y Trio (ensemble)"), ("Old grey castle overture gamma", "Z Band"), ("Sea song BWV 13", "Y Trio"), ("Alpha beta gamma delta", None)]
+    air = spark.createDataFrame([(i, f"p{i}", "c", " ".join(sorted(t.lower().split())), t, p, None) for i, (t, p) in enumerate(works)], "id bigint, pid string, ck string, wk string, title string, performers string, bdate date")
+    key = lambda i: " ".join(sorted(works[i][0].lower().split()))
+    got = {(r.a, r.b) for r in M.reairing_pairs(air).collect()}
+    assert got == {tuple(sorted((key(0), key(1)))), tuple(sorted((key(2), key(3))))}
+    assert M.reairing_pairs(air.withColumn("pid", F.lit("p"))).count() == 0
+
+
+def test_reairings_equal_all_pairs(spark, sf):
+    from aubade.plans.common import air
+
+    rows_ = air(spark, sf).withColumn("ck", F.lit("c")).withColumn("performers", F.when(F.col("id") % 2 == 0, "X Choir, A B (piano)").otherwise("X Choir; C D (cello"))
+    base = rows_.where("wk <> '' and title is not null").groupBy("wk").agg(F.count("*").alias("n"), F.min("title").alias("t"), F.min("performers").alias("p"), F.min("pid").alias("pid"), F.min("bdate").alias("d")).where("n = 1")
+    ones = base.select("wk", "pid", "d", "t", X.catalogue_ref(F.col("t")).alias("cat"), X.canonical_key(F.col("t")).alias("k"), M.performer_names(F.col("p")).alias("names")).collect()
+    want = set()
+    for x, y in itertools.combinations(ones, 2):
+        u, v, m, n = set(x.k.split()), set(y.k.split()), set(x.names or []), set(y.names or [])
+        same = x.cat == y.cat if x.cat and y.cat else len(u | v) > 0 and len(u & v) / len(u | v) >= 0.55
+        if same and m and n and m & n and len(m & n) / min(len(m), len(n)) >= 0.5 and x.pid != y.pid and (x.d is None or y.d is None or x.d != y.d):
+            want.add((*sorted((x.wk, y.wk)), x.t, y.t) if x.wk < y.wk else (*sorted((x.wk, y.wk)), y.t, x.t))
+    pairs = spark.createDataFrame(sorted(want), "a string, b string, ta string, tb string")
+    kept = {(r.a, r.b) for r in pairs.where(~M.title_conflict(F.col("ta"), F.col("tb"))).collect()}
+    assert {(r.a, r.b) for r in M.reairing_pairs(rows_).collect()} == kept and kept
+
+
 def test_components_and_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.root for r in G.components(links).collect()} == {0, 100}
