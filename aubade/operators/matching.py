@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aubade.functions.text import candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_numbers
-from aubade.operators.segments import contributions
+from aubade.operators.segments import contributions, name_maps, role_rows
 
 #: Weights and costs of the alignment.
 TOLERANCE_S, W_TIME, W_CONTENT, GAP = 90.0, 0.6, 0.4, 0.85
@@ -246,20 +246,49 @@ def pid_signatures(segments: DataFrame) -> DataFrame:
     return lengths.join(sets, ["recording_pid", "ck", "wk"], "left")
 
 
-def bridged(air: DataFrame, segments: DataFrame) -> DataFrame:
+#: Names of chamber bodies, and of orchestras, which aren't.
+_CHAMBER, _ORCHESTRA = "quartet|quintet|trio|sextet|octet|duo|consort", "orchestra|philharmon|symphony|sinfoni"
+
+
+def bridged(air: DataFrame, segments: DataFrame, lengths: DataFrame) -> DataFrame:
     """``ck, wk, credit_key, recording_pid, tier``: text recordings met by exactly one recording of the work.
 
-    A shared conductor or soloist makes a link trusted, a shared ensemble a candidate; both sides naming different
-    conductors veto it.
+    Names stand for the id that is theirs alone, else for themselves. Conductors, or soloists, with ids on both sides of
+    which none is shared veto a link. A shared id of a conductor, soloist or chamber body makes it trusted if the lengths
+    agree within the larger of four minutes and a quarter, and the credits name roles or the chamber body is shared; any
+    other shared name makes a candidate. ``lengths``: ``id, length_s`` of tracks.
     """
-    sets = air.where("ck <> '' and wk <> '' and performers <> ''").select("ck", "wk", credit_sets(F.col("performers")).alias("c"))
-    texts = sets.select("ck", "wk", F.array_join(F.array_sort(F.array_distinct(F.concat("c.conductors", "c.soloists", "c.ensembles"))), ";").alias("credit_key"), F.col("c.conductors").alias("tc"), F.col("c.soloists").alias("ts"), F.col("c.ensembles").alias("te")).dropDuplicates(["ck", "wk", "credit_key"])
-    pairs = texts.join(pid_signatures(segments), ["ck", "wk"])
-    meet = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
-    veto = (F.size("tc") > 0) & (F.coalesce(F.size("conductors"), F.lit(0)) > 0) & ~meet("tc", "conductors")
-    tier = F.when(veto, None).when(meet("tc", "conductors") | meet("ts", "soloists"), "trusted").when(meet("te", "ensembles"), "candidate")
+    known = name_maps(role_rows(segments)).withColumnRenamed("only_mbid", "known")
+    identity = F.coalesce("mbid", "known", F.concat(F.lit("name:"), "nk"))
+    sets = air.where("ck <> '' and wk <> '' and performers <> ''").join(lengths, "id", "left").select("id", "ck", "wk", "length_s", credit_sets(F.col("performers")).alias("c"))
+    sets = sets.withColumn("credit_key", F.array_join(F.array_sort(F.array_distinct(F.concat("c.conductors", "c.soloists", "c.ensembles"))), ";"))
+    keys = ["ck", "wk", "credit_key"]
+    groups = sets.groupBy(*keys).agg(F.min("c.degraded").alias("degraded"), F.median("length_s").alias("text_s"), F.collect_set("c").alias("cs"))
+    tag = lambda x, c: F.transform(x[c], lambda n: F.struct(F.lit(c[0]).alias("kind"), n.alias("nk")))
+    # Credits without roles count only where no airing of the group has any.
+    counted = F.filter("cs", lambda x: x["degraded"] == F.col("degraded"))
+    tagged = F.array_distinct(F.flatten(F.transform(counted, lambda x: F.concat(*(tag(x, c) for c in ("conductors", "soloists", "ensembles"))))))
+    names = groups.select(*keys, "degraded", "text_s", F.explode(tagged).alias("p")).select(*keys, "degraded", "text_s", "p.kind", "p.nk")
+    names = names.join(known, "nk", "left").withColumn("mbid", F.lit(None).cast("string")).withColumn("identity", identity)
+    of = lambda test: F.collect_set(F.when(test, F.col("identity")))
+    kind = F.col("kind")
+    texts = names.groupBy(*keys, "degraded", "text_s").agg(of(kind == "c").alias("tc"), of(kind == "s").alias("ts"), of(kind == "e").alias("te"), of((kind == "e") & F.col("nk").rlike(_CHAMBER) & ~F.col("nk").rlike(_ORCHESTRA)).alias("tb"))
+    rows = segments.where("recording_pid is not null and ck <> ''").select("recording_pid", "ck", "duration_seconds", F.array_join(F.array_sort(F.split(plain_key(F.col("track_title")), " ")), " ").alias("wk"), F.explode(contributions(F.col("contributions_json"))).alias("c")).where("wk <> ''")
+    people = rows.select("recording_pid", "ck", "wk", "duration_seconds", F.lower("c.role").alias("role"), F.col("c.musicbrainz_gid").alias("mbid"), plain_key(F.col("c.name")).alias("nk"))
+    people = people.where("nk <> '' and nk <> ck").join(known, "nk", "left").withColumn("identity", identity)
+    role = F.col("role")
+    signed = people.groupBy("recording_pid", "ck", "wk").agg(of(role.rlike("conductor")).alias("pc"), of(role.rlike(f"performer|singer|{_SOLO}")).alias("ps"), of(role.rlike("orchestra|ensemble|choir")).alias("pe"), F.max("duration_seconds").alias("pid_s"))
+    pairs = texts.join(signed, ["ck", "wk"])
+    ids = lambda c: F.filter(c, lambda x: ~x.startswith("name:"))
+    meet = lambda x, y: F.arrays_overlap(ids(x), ids(y))
+    veto = lambda x, y: (F.size(ids(x)) > 0) & (F.size(ids(y)) > 0) & ~meet(x, y)
+    chamber = meet("tb", "pe")
+    told = meet("tc", "pc") | meet("ts", "ps") | chamber
+    any_shared = F.arrays_overlap("tc", "pc") | F.arrays_overlap("ts", "ps") | F.arrays_overlap("te", "pe")
+    near = F.col("text_s").isNull() | (F.coalesce("pid_s", F.lit(0)) == 0) | (F.abs(F.col("pid_s") - F.col("text_s")) <= F.greatest(F.lit(240.0), F.col("pid_s") * 0.25))
+    tier = F.when(veto("tc", "pc") | veto("ts", "ps") | ~any_shared, None).when(told & (~F.col("degraded") | chamber) & near, "trusted").otherwise("candidate")
     scored = pairs.withColumn("tier", tier).where("tier is not null")
-    best = scored.groupBy("ck", "wk", "credit_key").agg(F.count("*").alias("n"), F.min("recording_pid").alias("recording_pid"), F.min("tier").alias("tier"))
+    best = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.min("recording_pid").alias("recording_pid"), F.min("tier").alias("tier"))
     return best.where("n = 1").drop("n")
 
 

@@ -43,6 +43,14 @@ def instant_offsets(air: DataFrame, instants: DataFrame) -> DataFrame:
     return rows.select("id", (F.col("utc_s") - F.first("utc_s").over(night)).cast("bigint").alias("offset_s"))
 
 
+def instant_lengths(air: DataFrame, instants: DataFrame) -> DataFrame:
+    """``id, length_s``: as track_lengths, for every clock text that ``instants.track_instants`` reads."""
+    night = Window.partitionBy("pid").orderBy("position", "id")
+    rows = air.join(instants.select(F.col("rec_id").alias("id"), "utc_s"), "id", "left")
+    rows = rows.withColumns({"gap": F.lead("utc_s").over(night) - F.col("utc_s"), "next_pos": F.lead("position").over(night)})
+    return rows.select("id", F.when((F.col("next_pos") == F.col("position") + 1) & (F.col("gap") > 0) & (F.col("gap") <= LONGEST_GAP), F.col("gap")).alias("length_s"))
+
+
 def fingerprints(segments: DataFrame) -> DataFrame:
     """``pid, print``: the recordings of a night in order, joined (F28). A night of unnamed recordings has none.
 

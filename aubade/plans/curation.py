@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from aubade.operators import curation as C
 from aubade.operators import instants
-from aubade.operators import matching as M
 from aubade.plans.common import AIR, SEG, air, segments, sql_fold
-from aubade.plans.matching import CREDIT_PARTS, SOLO_ROLES, sql_tokens
+from aubade.plans.matching import CREDIT_PARTS, SOLO_ROLES, match_bridged, sql_tokens
 from aubade.plans.segments import _BRC, _ROLES
 from aubade.sources import landed
 from aubade.sources.tables import load
@@ -79,8 +78,7 @@ def cur_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cur_cross_era(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text airings that links add to recordings."""
-    rows = air(spark, sf_dir)
-    return C.best_recordings(M.bridged(rows, segments(spark, sf_dir)), rows)
+    return C.best_recordings(match_bridged(spark, sf_dir), air(spark, sf_dir))
 
 
 def cur_name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,9 @@ def match_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text recordings met by one recording."""
-    return M.bridged(air(spark, sf_dir), segments(spark, sf_dir))
+    rows = air(spark, sf_dir)
+    clocks = I.track_instants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "episodes"), undated=True)
+    return M.bridged(rows, segments(spark, sf_dir), T.instant_lengths(rows, clocks))
 
 
 def match_reairings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Reference operators on small fixtures: alignment, graphs, registry, parsers, keys, interface."""
 
 import itertools
+import json
 import random
 
 import pandas as pd
@@ -104,6 +105,21 @@ def test_reairings_equal_all_pairs(spark, sf):
     assert {(r.a, r.b) for r in M.reairing_pairs(rows_).collect()} == kept and kept
 
 
+def test_bridge_by_ids_lengths_and_roles(spark):
+    credit = lambda *ps: json.dumps([{"name": n, "role": r, "musicbrainz_gid": g} for n, r, g in ps])
+    recorded = [
+        ("r1", "one", credit(("A B", "Conductor", "m1")), 600), ("r2", "two", credit(("A B", "Conductor", "m1")), 600), ("r3", "three", credit(("C D", "Conductor", "m2")), 600),
+        ("r4", "four", credit(("Blue Quartet", "Ensemble", "m3")), 600), ("r5", "five", credit(("E F", "Conductor", None)), 600), ("r6", "six", credit(("Big Orchestra", "Orchestra", "m4")), 600),
+        ("r7", "seven", credit(("Aa Bb", "Conductor", "m1")), 600),
+    ]
+    segs = spark.createDataFrame([(i, "e", r, "k", t, c, d) for i, (r, t, c, d) in enumerate(recorded)], "id bigint, episode_pid string, recording_pid string, ck string, track_title string, contributions_json string, duration_seconds bigint")
+    texts = [("one", "A B (conductor)", 700), ("two", "A B (conductor)", 60), ("three", "A B (conductor), C E (piano)", 600), ("four", "Blue Quartet", 600), ("five", "E F (conductor)", 600), ("six", "Big Orchestra", 600), ("seven", "A B (conductor)", None)]
+    air = spark.createDataFrame([(i, "k", t, p) for i, (t, p, _) in enumerate(texts)], "id bigint, ck string, wk string, performers string")
+    lengths = spark.createDataFrame([(i, s) for i, (_, _, s) in enumerate(texts)], "id bigint, length_s bigint")
+    got = {r.recording_pid: r.tier for r in M.bridged(air, segs, lengths).collect()}
+    assert got == {"r1": "trusted", "r2": "candidate", "r4": "trusted", "r5": "candidate", "r6": "candidate", "r7": "trusted"}
+
+
 def test_components_and_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.root for r in G.components(links).collect()} == {0, 100}
