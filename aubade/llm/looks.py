@@ -30,7 +30,7 @@ _CYRILLIC_GREEK = ("АВЕНІКМОРТХаорх", "ΑΒΕΗΙΚΜΟΡΤΧαο
 _DROP = re.compile(f"[{_IGNORABLE}]")
 _BLANK = re.compile(r"[\s⠀]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
-_PLAIN = r"^[\x20-\x7e]*$"
+_PLAIN = r"\A[\x20-\x7e]*\z"
 
 
 def _alike() -> dict[tuple[str, str], dict[str, str]]:

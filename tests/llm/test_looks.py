@@ -44,3 +44,12 @@ def test_columns(spark):
     segments = spark.createDataFrame([(9, "ok", "Jіm", "x")], "id bigint, track_title string, composer_name string, field string")
     assert rows(found_unclean({"tracks": df, "segment_events": segments})) == [("segment_events.composer_name", 9), ("tracks.title", 1), ("tracks.title", 3), ("tracks.title", 4)]
     assert found_unclean({"tracks": df.limit(0), "segment_events": segments.limit(0)}).count() == 0
+
+
+def test_final_line_ends_are_not_plain(spark):
+    texts = ["abc\n", "abc\r\n", "abc\u0085", "abc\u2028", "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    assert [r[0] for r in df.orderBy("id").select(clean(F.col("t"))).collect()] == [clean_form(t) for t in texts]
+    empty = df.limit(0).select("id", F.col("t").alias("track_title"), F.col("t").alias("composer_name"))
+    found = found_unclean({"tracks": df.withColumnRenamed("t", "title"), "segment_events": empty}).collect()
+    assert sorted(r.row_id for r in found) == [i for i, t in enumerate(texts) if clean_form(t) != t] == [0, 1, 2, 3]
