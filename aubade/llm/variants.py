@@ -1,13 +1,16 @@
 """Spellings of one person or body among names typed by people, linked.
 
-Each distinct name becomes a vector of weighted character n-grams of its informative words (particles, single letters
-and words for kinds of ensembles left out, short forms of given names resolved). Pairs are found by a sparse cosine
-similarity join: an inverted index over the rarest n-grams of each vector, a prefix long enough that no pair at or above
-the threshold can be missed. Each pair is then scored word by word, where contradictory given names, particles or kinds
-give 0, and groups are formed by average linkage: within connected components by a grouped function, in components too
-large for one task by rounds of reciprocal nearest neighbours over the edge table, which give the same groups.
-
-There is no cap on a name's partners: all pairs above the threshold are scored, not only the top n.
+Each distinct name becomes a unit vector of weighted character trigrams of its informative words (particles, single
+letters and words for kinds of ensembles left out, short forms of given names resolved by an optional table). A sparse
+cosine similarity join finds every pair at or above a threshold: a vector is posted under the rarest trigrams of it, a
+prefix long enough that no such pair can be missed; a trigram's postings are worked as matrix products in blocks of
+bounded size, and only pairs that reach the threshold are emitted, once. An exact check of the words then takes out
+pairs whose given names, particles or kinds contradict each other; it adds none. Groups are formed by average linkage
+over the cosines: within connected components by a grouped function, in components too large for one task by rounds of
+reciprocal nearest neighbours over the edge table. Both order pairs by mean, then by the smaller ids, on whole millionths,
+and so give the same groups.
+
+There is no cap on a name's partners: all pairs at or above the threshold are kept, not only the top n.
 
 Defined results: null, blank and letterless names, and names of nobody ('Traditional', 'Anonymous'), are linked to
 nothing; repeated rows count once; names are compared whole; empty tables give no rows; further columns are ignored.
@@ -15,14 +18,13 @@ nothing; repeated rows count once; names are compared whole; empty tables give n
 
 from __future__ import annotations
 
-import math
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +60,13 @@ _LINKING = frozenset("the of and & for from der die das des und von du le la les
 _SPECIAL = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "þ": "th", "ð": "d"})
 _TOKEN = re.compile(r"[^\W\d_]+[.]?|&")
 
-COSINE = 0.3
-LINK = 0.5
-LINKAGE = 0.42
-GRAM = 4
-LARGE = 2000
+#: Least cosine of a pair; least mean cosine of a group, where a pair that isn't linked counts 0; least agreement of words.
+COSINE, LINKAGE, AGREE = 0.4, 0.2, 0.5
+GRAM = 3
+#: Postings of a trigram worked at once; largest component grouped in one task. Of no effect on results.
+BLOCK, LARGE = 512, 2000
+#: Cosines are summed in whole millionths, so that means don't depend on the order of summing.
+UNIT = 1_000_000
 
 
 def fold(text: str) -> str:
@@ -194,8 +198,13 @@ def grams(text: str) -> list[str]:
     return sorted({g for w in words for m in (f"^{w}$",) for g in ([m[i : i + GRAM] for i in range(len(m) - GRAM + 1)] or [m])})
 
 
+def ordered_ids(df: DataFrame, *order: str) -> DataFrame:
+    """The rows with unique whole numbers ``id`` in an order."""
+    return pinned(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
+
+
 def vectors(names: DataFrame) -> DataFrame:
-    """``id, gram, w, tail``: unit vectors of weighted n-grams; ``tail`` is the norm of what follows in order of rarity."""
+    """``id, v``: each name's n-grams, the rarest first, as (number in order of rarity, names that have it, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,97 +212,191 @@ def vectors(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(ids, lists, strict=True) for _ in g], pa.int64()), pa.array([y for g in lists for y in g], pa.string())], ["id", "gram"])
 
     terms = pinned(names.select("id", "name").mapInArrow(run, "id bigint, gram string"))
-    weights = terms.groupBy("gram").agg(F.count("*").alias("df"))
+    known = ordered_ids(terms.groupBy("gram").agg(F.count("*").alias("df")), "df", "gram").withColumnRenamed("id", "g")
     count = names.agg(F.count("*").alias("n_names"))  # one row
-    weighted = terms.join(weights, "gram").crossJoin(count).withColumn("idf", F.log(1 + F.col("n_names") / F.col("df")))
+    weighted = terms.join(known, "gram").crossJoin(count).select("id", F.struct("g", "df", F.log(1 + F.col("n_names") / F.col("df")).alias("w")).alias("t"))
     # A name has a few dozen n-grams, so the sorting happens inside its own array.
-    listed = weighted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("df"), F.col("gram"), F.col("idf")))).alias("v"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, x: s + x["idf"] * x["idf"])
-    return listed.select("id", F.posexplode(F.transform("v", lambda x, i: F.struct(x["gram"].alias("gram"), (x["idf"] / F.col("norm")).alias("w"), (rest(i) / (F.col("norm") * F.col("norm"))).alias("tail"))))).select("id", "col.*")
+    return weighted.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("v"))
+
+
+_POSTING = "gram bigint, lo bigint, hi bigint, id bigint, side bigint, gs array<bigint>, ws array<double>"
 
 
-def candidate_pairs(terms: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``a, b`` (ids of names, a < b): every pair of unit vectors whose cosine can reach the threshold.
+def postings(listed: DataFrame, cosine: float, block: int) -> DataFrame:
+    """Each unit vector under the n-grams of its prefix in order of rarity, up to where the remaining norm falls below the threshold.
 
-    Only the prefix of a vector in order of rarity whose remaining norm still reaches the threshold is indexed: two unit
-    vectors that share no n-gram of both prefixes have a cosine below it.
+    Two unit vectors that share no n-gram of both prefixes have a cosine below it. Postings of an n-gram with more names
+    than a block are dealt over blocks, and each goes to every pair of blocks that holds its own.
     """
-    prefix = terms.where(F.col("tail") >= cosine * cosine)
-    return prefix.select(F.col("id").alias("a"), "gram").join(prefix.select(F.col("id").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = np.asarray(batch.column(0)), batch.column(1)
+            offsets = np.asarray(lists.offsets)
+            offsets = offsets - offsets[0]
+            flat = lists.flatten()
+            g, df, w = (np.asarray(flat.field(i)) for i in range(3))
+            row = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            total = np.concatenate([[0.0], np.cumsum(w * w)])
+            norm = np.sqrt(total[offsets[1:]] - total[offsets[:-1]])
+            tail = np.sqrt(np.maximum(total[offsets[1:]][row] - total[:-1], 0)) / norm[row]
+            # A little below the threshold, for rounding: only more postings.
+            at = np.flatnonzero(tail >= cosine - 1e-6)
+            blocks = -(-df[at] // block)
+            which = np.repeat(np.arange(len(at)), blocks)
+            other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            owner = row[at][which]
+            own = (ids[owner] * 0x9E3779B1 >> 16) % blocks[which]
+            parts = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (g, w / norm[row])]
+            for i in range(0, len(which), 8192):
+                s = slice(i, i + 8192)
+                taken = pa.array(owner[s])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (g[at][which][s], np.minimum(own, other)[s], np.maximum(own, other)[s], ids[owner][s], own[s])), *(x.take(taken) for x in parts)], ["gram", "lo", "hi", "id", "side", "gs", "ws"])
+
+    return listed.mapInArrow(run, _POSTING)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of a sorted stream, all rows of one key together; ``keys``: how many leading columns are the key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(i)) for i in range(keys)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        starts = [0, *edge.tolist(), batch.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            if start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _similar(run: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) of the pairs of one block of postings that share no rarer n-gram and reach the threshold."""
+    ids, side = np.asarray(run.column("id")), np.asarray(run.column("side"))
+    lists = run.column("gs").combine_chunks()
+    row = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
+    g, w = np.asarray(lists.flatten()), np.asarray(run.column("ws").combine_chunks().flatten())
+    seen, column = np.unique(g, return_inverse=True)
+    vector, earlier = np.zeros((len(ids), len(seen))), np.zeros((len(ids), len(seen)), np.float32)
+    vector[row, column] = w
+    earlier[row, column] = g < run.column("gram")[0].as_py()
+    cosines = vector @ vector.T
+    hit = (cosines >= cosine) & (earlier @ earlier.T == 0) & (ids[:, None] < ids)
+    if run.column("lo")[0] != run.column("hi")[0]:
+        hit &= side[:, None] != side
+    i, j = np.nonzero(hit)
+    return ids[i], ids[j], cosines[i, j]
+
+
+def similar_pairs(names: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """``a, b, cosine``: every pair of names (ids, a < b) whose vectors' cosine reaches the threshold, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+        for table in _runs(batches, 3):
+            out.append(_similar(table, cosine))
+            if len(out) == 500:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "cosine"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "cosine"])
 
-def with_cosine(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``pairs`` of ids with their exact ``cosine``: both vectors meet n-gram by n-gram."""
-    left = pairs.select("a", "b").join(terms.select(F.col("id").alias("a"), "gram", F.col("w").alias("wa")), "a")
-    dots = left.join(terms.select(F.col("id").alias("b"), "gram", F.col("w").alias("wb")), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return pairs.join(dots, ["a", "b"])
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = postings(vectors(names), cosine, block).repartition(parts, "gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi", "id")
+    return laid.mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def scored_links(pairs: DataFrame, names: DataFrame, link: float = LINK) -> DataFrame:
-    """``a, b, score`` of the candidate pairs whose words agree. ``names``: ``id, name``."""
+def agreeing(pairs: DataFrame, names: DataFrame, agree: float = AGREE) -> DataFrame:
+    """The pairs whose words don't contradict each other. ``names``: ``id, name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([likeness(parsed(x), parsed(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], float)
-            keep = pa.array(np.flatnonzero(scores >= link))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(scores[np.asarray(keep)])], ["a", "b", "score"])
+            scores = np.array([likeness(parsed(x), parsed(y)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)], float)
+            keep = pa.array(np.flatnonzero(scores >= agree))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(3)], ["a", "b", "cosine"])
 
     named = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
-    return named.select("a", "b", "name_a", "name_b").mapInArrow(run, "a bigint, b bigint, score double")
+    return named.select("a", "b", "cosine", "name_a", "name_b").mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def average_linkage(n: int, links: list[tuple[int, int, float]], least: float = LINKAGE) -> list[int]:
-    """The group of each of n items: clusters are merged, best average first, while the average over all pairs reaches ``least``."""
-    total: list[dict[int, float]] = [{} for _ in range(n)]
+def average_linkage(n: int, links: list[tuple[int, int, int]], least: float = LINKAGE) -> list[int]:
+    """The group of each of n items, as its smallest: clusters are merged, best mean first, then smallest ids, while the mean over all pairs reaches ``least``.
+
+    ``links``: pairs with their cosine in whole millionths.
+    """
+    total: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, s in links:
         total[i][j] = total[j][i] = s
     size, group = [1] * n, list(range(n))
-    while True:
-        best = max(((s / (size[i] * size[j]), -i, -j) for i in range(n) for j, s in total[i].items() if i < j), default=None)
-        if best is None or best[0] < least:
-            return group
-        i, j = -best[1], -best[2]
+    heap = [(-float(s), min(i, j), max(i, j), 1, 1) for i, j, s in links]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= least * UNIT:
+        _, i, j, a, b = heapq.heappop(heap)
+        if (size[i], size[j]) != (a, b) or j not in total[i]:
+            continue  # of clusters that have since been merged
         for k, s in total[j].items():
             del total[k][j]
             if k != i:
-                total[i][k] = total[k][i] = total[i].get(k, 0.0) + s
+                total[i][k] = total[k][i] = total[i].get(k, 0) + s
         total[j] = {}
-        size[i] += size[j]
-        group = [i if g == j else g for g in group]
-
-
-def _group(part: pd.DataFrame) -> pd.DataFrame:
-    ids = sorted(set(part.a) | set(part.b))
-    at = {x: i for i, x in enumerate(ids)}
-    groups = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in zip(part.a, part.b, part.score, strict=True)])
-    return pd.DataFrame({"id": ids, "grp": [ids[g] for g in groups]})
+        size[i], size[j] = size[i] + size[j], 0
+        group[j] = i
+        for k, s in total[i].items():
+            x, y = min(i, k), max(i, k)
+            heapq.heappush(heap, (-s / (size[i] * size[k]), x, y, size[x], size[y]))
+    for i in range(n):  # a group's smallest item comes first
+        group[i] = group[group[i]]
+    return group
 
 
 def linkage_rounds(links: DataFrame, least: float = LINKAGE) -> DataFrame:
-    """``id, grp`` by average linkage over the edge table: each round merges reciprocal nearest neighbours."""
+    """``id, grp`` by average linkage over the edge table ``a, b, s``: each round merges reciprocal nearest neighbours.
+
+    Means never rise over the better of two merged clusters, nor do ties leave the smaller ids, so that these merges are
+    those of the direct function.
+    """
     names = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     groups = pinned(names.select("id", F.col("id").alias("grp")))
     while True:
         sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
         ends = links.join(groups.select(F.col("id").alias("a"), F.col("grp").alias("ga")), "a").join(groups.select(F.col("id").alias("b"), F.col("grp").alias("gb")), "b").where("ga <> gb")
-        sums = ends.groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).agg(F.sum("score").alias("s"))
+        sums = ends.groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).agg(F.sum("s").alias("s"))
         means = sums.join(sizes.select(F.col("grp").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("grp").alias("y"), F.col("n").alias("ny")), "y")
-        means = means.withColumn("mean", F.col("s") / (F.col("nx") * F.col("ny"))).where(F.col("mean") >= least).select("x", "y", "mean")
-        sides = means.union(means.select("y", "x", "mean"))
-        best = sides.groupBy("x").agg(F.max_by("y", F.struct("mean", "y")).alias("y"))
-        merges = pinned(best.alias("p").join(best.alias("q"), (F.col("p.y") == F.col("q.x")) & (F.col("q.y") == F.col("p.x"))).where("p.x < p.y").select(F.col("p.x").alias("into"), F.col("p.y").alias("grp")))
+        means = means.withColumn("mean", F.col("s") / (F.col("nx") * F.col("ny"))).where(F.col("mean") >= least * UNIT).select("x", "y", "mean")
+        rank = F.struct((-F.col("mean")).alias("m"), F.col("x").alias("lo"), F.col("y").alias("hi"))
+        sides = means.select(F.col("x").alias("c"), rank.alias("r")).union(means.select(F.col("y").alias("c"), rank.alias("r")))
+        best = sides.groupBy("c").agg(F.min("r").alias("r")).select("c", F.col("r.lo").alias("into"), F.col("r.hi").alias("grp"))
+        merges = pinned(best.groupBy("into", "grp").agg(F.count("*").alias("n")).where("n = 2").select("into", "grp"))
         if merges.isEmpty():
             return groups
         groups = pinned(groups.join(merges, "grp", "left").select("id", F.coalesce("into", "grp").alias("grp")))
 
 
 def groups_of(links: DataFrame, large: int = LARGE) -> DataFrame:
-    """``id, grp``: the groups of all linked ids."""
-    roots = pinned(components(links))
+    """``id, grp``: the groups of all linked ids. ``links``: ``a, b, cosine``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 1):
+            a, b, s = (np.asarray(table.column(c)) for c in ("a", "b", "s"))
+            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            groups = average_linkage(len(ids), list(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), s.tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[groups])], ["id", "grp"])
+
+    whole = pinned(links.select("a", "b", F.round(F.col("cosine") * UNIT).cast("bigint").alias("s")))
+    roots = pinned(components(whole))
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    placed = pinned(links.join(roots.withColumnRenamed("id", "a"), "a").join(sizes, "root"))
-    groups = placed.where(F.col("n") <= large).groupBy("root").applyInPandas(_group, "id bigint, grp bigint")
-    big = placed.where(F.col("n") > large).select("a", "b", "score")
+    placed = pinned(whole.join(roots.withColumnRenamed("id", "a"), "a").join(sizes, "root"))
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = placed.where(F.col("n") <= large).select("root", "a", "b", "s").repartition(parts, "root").sortWithinPartitions("root", "a", "b")
+    groups = small.mapInArrow(run, "id bigint, grp bigint")
+    big = placed.where(F.col("n") > large).select("a", "b", "s")
     return groups if big.isEmpty() else groups.unionByName(linkage_rounds(big))
 
 
@@ -306,10 +409,8 @@ def distinct_names(tracks: DataFrame, segment_events: DataFrame) -> DataFrame:
 
 def linked_names(names: DataFrame) -> DataFrame:
     """``name, grp``: distinct names that share a person or body with another."""
-    kept = pinned(names.select("name", F.xxhash64("name").alias("id")))
-    terms = pinned(vectors(kept))
-    agreeing = pinned(scored_links(candidate_pairs(terms), kept))
-    links = pinned(with_cosine(agreeing, terms).where(F.col("cosine") >= COSINE).select("a", "b", "score"))
+    kept = ordered_ids(names.select("name"), "name")
+    links = pinned(agreeing(similar_pairs(kept), kept))
     return groups_of(links).join(kept, "id").select("name", "grp")
 
 
