@@ -1,6 +1,6 @@
 """Spellings of one person or body among names typed by people, linked.
 
-Each distinct name becomes a unit vector of weighted character trigrams of its informative words (particles, single
+Each distinct name becomes a unit vector of weighted character trigrams, in any order of letters, of its informative words (particles, single
 letters and words for kinds of ensembles left out, short forms of given names resolved by an optional table). A sparse
 cosine similarity join finds every pair at or above a threshold: a vector is posted under the rarest trigrams of it, a
 prefix long enough that no such pair can be missed; a trigram's postings are worked as matrix products in blocks of
@@ -42,7 +42,7 @@ NICKNAMES = dict(
         "lotte=charlotte charlie=charlotte connie=constance dan=daniel danny=daniel dima=dmitri mitya=dmitri dora=dorothea dolly=dorothea thea=dorothea ed=edward eddie=edward ned=edward ted=theodore teddy=theodore theo=theodore "
         "ella=elisabeth elsa=elisabeth lisa=elisabeth lise=elisabeth beth=elisabeth betty=elisabeth liz=elisabeth genie=eugenie ferdi=ferdinand nando=ferdinand fanfan=francois fred=frederick freddie=frederick fritz=frederick "
         "gabi=gabriele trude=gertrude gerti=gertrude beppe=giuseppe peppe=giuseppe pino=giuseppe harry=harold hal=harold heinz=heinrich heiner=heinrich henri=henrietta hettie=henrietta etta=henrietta nacho=ignacio ili=ilona ilka=ilona "
-        "bella=isabella isa=isabella jadzia=jadwiga hans=johannes jan=johannes joe=joseph jo=joseph sepp=joseph jozsi=jozsef kathi=katharina kate=katharina käthe=katharina kazik=kazimierz kirsty=kristina kris=kristina "
+        "bella=isabella isa=isabella jadzia=jadwiga hans=johannes jan=johannes joe=joseph jo=joseph sepp=joseph jozsi=jozsef kathi=katharina kate=katharina katja=katharina käthe=katharina kazik=kazimierz kirsty=kristina kris=kristina "
         "larry=lawrence laurie=lawrence leo=leonard lenny=leonard len=leonard grete=margarete greta=margarete gretel=margarete mike=michael mick=michael micha=michael nat=nathaniel nate=nathaniel niko=nikolaus klaus=nikolaus nick=nikolaus "
         "liv=olivia livia=olivia otti=ottoline pat=patricia patsy=patricia trish=patricia pip=philippa pippa=philippa quin=quentin quint=quentin becky=rebecca becca=rebecca bob=robert rob=robert bobby=robert bert=robert seb=sebastian bastian=sebastian basti=sebastian "
         "stas=stanislaw staszek=stanislaw tom=thomas tommy=thomas uli=ulrich ulli=ulrich uschi=ursula ulla=ursula tina=valentina valya=valentina vera=veronica ronnie=veronica vroni=veronica mina=wilhelmina minna=wilhelmina willa=wilhelmina helma=wilhelmina "
@@ -61,7 +61,7 @@ _SPECIAL = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d",
 _TOKEN = re.compile(r"[^\W\d_]+[.]?|&")
 
 #: Least cosine of a pair; least mean cosine of a group, where a pair that isn't linked counts 0; least agreement of words.
-COSINE, LINKAGE, AGREE = 0.4, 0.2, 0.5
+COSINE, LINKAGE, AGREE = 0.4, 0.25, 0.5
 GRAM = 3
 #: Postings of a trigram worked at once; largest component grouped in one task. Of no effect on results.
 BLOCK, LARGE = 512, 2000
@@ -193,9 +193,9 @@ def likeness(a: Name, b: Name) -> float:
 
 
 def grams(text: str) -> list[str]:
-    """The character n-grams of a name's informative words, word ends marked."""
+    """The character n-grams of a name's informative words, word ends marked; the letters of each in order, so that swapped ones keep theirs."""
     words = parsed(text).core
-    return sorted({g for w in words for m in (f"^{w}$",) for g in ([m[i : i + GRAM] for i in range(len(m) - GRAM + 1)] or [m])})
+    return sorted({"".join(sorted(g)) for w in words for m in (f"^{w}$",) for g in ([m[i : i + GRAM] for i in range(len(m) - GRAM + 1)] or [m])})
 
 
 def ordered_ids(df: DataFrame, *order: str) -> DataFrame:
