@@ -4,11 +4,13 @@ The plan is made on histograms of sizes, which a capacity bounds whatever the nu
 best-fit opens for the largest item left the permitted length of least cost a token, fills it with the largest items
 that fit, uses the pattern as often as the histogram allows, and at last downsizes each container to the smallest
 permitted length that holds its contents. Items get their places from the plan by their rank among items of one size;
-ranks are offsets of partitions plus places within them, so a hot size is never gathered in one task.
+ranks are offsets of partitions plus places within them, and each partition's items meet only the stretches of the plan
+that hold them, so a hot size is never gathered in one task.
 
 Defined results: a text longer than the capacity is cut into full containers and a remainder, each a part of its own;
-an empty or null text takes room for one token; a null source is a source of its own; equal sizes and repeated rows are
-separate items; empty tables give no rows; specs with a null or non-positive capacity are left out.
+an empty or null text takes room for one token; null and empty sources are one source; equal sizes and repeated rows are
+separate items; empty tables give no rows; specs with a null name, or a null or non-positive capacity, are left out; of
+specs with one name the one with the largest capacity holds, of these the one that keeps sources apart.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ CONTAINER_COST = 1.0
 MAX_SPECS = 1000
 
 ITEM_SCHEMA = "spec_name string, pack_group string, container bigint, container_length bigint, container_fill bigint, doc_id bigint, part_no bigint, tokens bigint"
-PLAN_SCHEMA = "spec_name string, pack_group string, size bigint, segments array<struct<first_rank:bigint,end_rank:bigint,each:bigint,first_bin:bigint,bin_length:bigint,bin_fill:bigint>>"
+PLAN_SCHEMA = "spec_name string, pack_group string, size bigint, first_rank bigint, end_rank bigint, each bigint, first_bin bigint, bin_length bigint, bin_fill bigint"
 
 
 class _Sizes:
@@ -99,13 +101,10 @@ def plan(counts: dict[int, int], capacity: int, shares: tuple[float, ...] = LENG
 
 
 def _plan_group(histogram: pd.DataFrame) -> pd.DataFrame:
-    capacity = int(histogram.capacity.iloc[0])
-    rows = plan(dict(zip(histogram["size"].tolist(), histogram["n"].tolist(), strict=True)), capacity)
+    """The plan of one spec and group; the histogram has at most the capacity's rows, whatever the number of items."""
+    rows = plan(dict(zip(histogram["size"].tolist(), histogram["n"].tolist(), strict=True)), int(histogram.capacity.iloc[0]))
     frame = pd.DataFrame(rows, columns=["size", "first_rank", "end_rank", "each", "first_bin", "bin_length", "bin_fill"])
-    out = []
-    for size, part in frame.groupby("size", sort=False):
-        out.append({"spec_name": histogram.spec_name.iloc[0], "pack_group": histogram.pack_group.iloc[0], "size": size, "segments": part.drop(columns="size").to_dict("records")})
-    return pd.DataFrame(out, columns=["spec_name", "pack_group", "size", "segments"])
+    return frame.assign(spec_name=histogram.spec_name.iloc[0], pack_group=histogram.pack_group.iloc[0])
 
 
 def packed_items(sizes: DataFrame, specs: DataFrame) -> DataFrame:
@@ -115,7 +114,8 @@ def packed_items(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     numbered from 1 within a spec and group; the group is the source where sources are kept apart, else '*'.
     """
     base = pinned(sizes.withColumn("pack_part", F.spark_partition_id()))
-    usable = specs.where("capacity_tokens > 0").dropDuplicates(["spec_name"]).limit(MAX_SPECS + 1).collect()
+    one = specs.where("capacity_tokens > 0 and spec_name is not null").groupBy("spec_name").agg(F.max(F.struct("capacity_tokens", F.coalesce("keep_sources_apart", F.lit(False)).alias("keep_sources_apart"))).alias("s"))
+    usable = one.select("spec_name", "s.*").limit(MAX_SPECS + 1).collect()
     if len(usable) > MAX_SPECS:
         raise ValueError(f"more than {MAX_SPECS} specs")
     if not usable:
@@ -128,19 +128,21 @@ def packed_items(sizes: DataFrame, specs: DataFrame) -> DataFrame:
         F.least(F.col("capacity"), room - (F.col("part_no") - 1) * F.col("capacity")).alias("size"), F.coalesce("tokens", F.lit(0)).alias("doc_tokens"),
     )
     key = ["spec_name", "pack_group", "size"]
-    by_part = items.groupBy(*key, "capacity", "pack_part").agg(F.count("*").alias("n"))
+    by_part = pinned(items.groupBy(*key, "capacity", "pack_part").agg(F.count("*").alias("n")))
     histogram = by_part.groupBy(*key, "capacity").agg(F.sum("n").alias("n"))
-    plans = histogram.groupBy("spec_name", "pack_group").applyInPandas(_plan_group, PLAN_SCHEMA)
+    # Specs and groups spread over all tasks; small as they are, they would be coalesced into one.
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plans = histogram.repartition(tasks, "spec_name", "pack_group").groupBy("spec_name", "pack_group").applyInPandas(_plan_group, PLAN_SCHEMA)
     before = Window.partitionBy(*key).orderBy("pack_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_part.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "capacity")
+    offsets = by_part.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("capacity")
+    stretches = offsets.join(plans, key).where("first_rank < offset + n and end_rank > offset").drop("n")
     local = Window.partitionBy(*key, "pack_part").orderBy("doc_id", "part_no")
-    ranked = items.withColumn("local_rank", F.row_number().over(local) - 1).join(offsets, [*key, "pack_part"]).withColumn("rank", F.col("offset") + F.col("local_rank"))
-    placed = ranked.join(plans, key)
-    segment = F.element_at(F.filter("segments", lambda s: (s["first_rank"] <= F.col("rank")) & (F.col("rank") < s["end_rank"])), 1)
-    placed = placed.withColumn("segment", segment)
-    container = F.col("segment.first_bin") + F.floor((F.col("rank") - F.col("segment.first_rank")) / F.col("segment.each")) + 1
+    rank = F.col("offset") + F.col("local_rank")
+    ranked = items.drop("capacity").withColumn("local_rank", F.row_number().over(local) - 1)
+    placed = ranked.join(stretches, [*key, "pack_part"]).where((rank >= F.col("first_rank")) & (rank < F.col("end_rank")))
+    container = F.col("first_bin") + F.floor((rank - F.col("first_rank")) / F.col("each")) + 1
     return placed.select(
-        "spec_name", "pack_group", container.cast("bigint").alias("container"), F.col("segment.bin_length").alias("container_length"), F.col("segment.bin_fill").alias("container_fill"),
+        "spec_name", "pack_group", container.cast("bigint").alias("container"), F.col("bin_length").alias("container_length"), F.col("bin_fill").alias("container_fill"),
         "doc_id", "part_no", F.least("size", "doc_tokens").alias("tokens"),
     )
 

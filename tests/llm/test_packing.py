@@ -31,7 +31,7 @@ def test_plan_packs_all_within_capacity():
 def test_items(spark):
     rng = random.Random(2)
     data = [(i, rng.choice(["a", "b", None]), rng.choice([rng.randrange(0, 40), 5, 5, 5, None]), "x") for i in range(500)] + [(900, "a", 1000, "x"), (900, "a", 1000, "x")]
-    specs = spark.createDataFrame([("all", 32, False), ("apart", 32, True), ("none", None, True), ("zero", 0, False)], "spec_name string, capacity_tokens bigint, keep_sources_apart boolean")
+    specs = spark.createDataFrame([("all", 32, False), ("apart", 32, True), ("none", None, True), ("zero", 0, False), ("all", 31, True), (None, 9, False), ("apart", 32, None)], "spec_name string, capacity_tokens bigint, keep_sources_apart boolean")
     got = P.packed_items(spark.createDataFrame(data, SIZES).repartition(5), specs).collect()
     for spec in ("all", "apart"):
         mine = [r for r in got if r.spec_name == spec]
