@@ -2,8 +2,8 @@
 
 Poisson replication: each record has a uniform number from a seeded hash, inverted through the Poisson distribution
 whose mean is the source's repetition rate and cut at the repeat limit. The rate is solved for the tokens wanted from
-the weighted distribution of the hashed numbers, so the source reaches its share to within its records' size. Copies are
-exploded and shuffled globally by a second hash.
+the weighted distribution of the hashed numbers, in bins of 1/65,536: so a source reaches its share to within the tokens of
+a bin. Copies are exploded and shuffled globally by a second hash.
 
 Defined results: shares are relative to their sum in a mix; a mix's budget is its ratio times the tokens of all rows; a
 source that can't reach its part within its repeat limit is used to the limit and its shortfall is reported, not given
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,39 +24,50 @@ from aubade.llm.tokens import TOKENIZER, token_sizes
 from aubade.session import pinned
 
 BINS = 1 << 16
-RATE_SCHEMA = "mix_name string, source string, rate double, cuts array<double>"
+RATE_SCHEMA = "mix_name string, source string, rate double, sure bigint, cuts array<double>"
 
 
-def _cuts(rate: float, limit: int) -> list[float]:
-    """P(N < k) for k = 1 to the limit: a record with a number from there on is used at least k times."""
-    out, term, total = [], math.exp(-rate), 0.0
-    for k in range(limit):
-        total += term
-        out.append(min(1.0, total))
-        term *= rate / (k + 1)
-    return out
+def _cuts(rate: float, limit: int) -> tuple[int, np.ndarray]:
+    """(sure, cuts): P(N < k) for k = 1 to the limit, without those that are 0 (``sure`` many, at the start) and 1 for any number.
+
+    A record is used once for each sure one, and once for each cut its number reaches. Terms are taken in logs, so that
+    rates of any size have theirs; only counts near the rate differ from 0 and 1.
+    """
+    if rate <= 0:
+        return 0, np.zeros(0)
+    spread = 12 * math.sqrt(rate) + 60
+    low, high = max(0, int(rate - spread)), min(limit, int(rate + spread))
+    if low >= limit:
+        return limit, np.zeros(0)
+    counts = np.arange(low, high)
+    terms = np.exp(counts * math.log(rate) - rate - np.array([math.lgamma(k + 1) for k in counts.tolist()]))
+    return low, np.minimum(np.cumsum(terms), 1.0)
 
 
 def _solve(part: pd.DataFrame) -> pd.DataFrame:
     """The rate at which a source's expected copies hold the tokens wanted; at most BINS rows."""
     wanted, limit = float(part.wanted.iloc[0]), int(part.max_repeats.iloc[0])
-    weight = [0] * (BINS + 1)
-    for b, tokens in zip(part.bin.tolist(), part.tokens.tolist(), strict=True):
-        weight[b] += tokens
-    above = [0] * (BINS + 2)
-    for b in range(BINS, -1, -1):
-        above[b] = above[b + 1] + weight[b]
-    reached = lambda rate: sum(above[math.ceil(c * BINS)] for c in _cuts(rate, limit))
-    low, high = 0.0, 700.0
+    weight = np.zeros(BINS + 1, np.int64)
+    np.add.at(weight, part.bin.to_numpy(), part.tokens.to_numpy())
+    above = np.append(np.cumsum(weight[::-1])[::-1], 0)
+
+    def reached(rate: float) -> float:
+        sure, cuts = _cuts(rate, limit)
+        return float(sure * above[0] + above[np.ceil(cuts * BINS).astype(np.int64)].sum())
+
     if wanted >= limit * above[0]:
-        rate, cuts = math.inf, [0.0] * limit
+        rate, sure, cuts = math.inf, limit, np.zeros(0)
     else:
+        low, high = 0.0, 1.0
+        while reached(high) < wanted:
+            low, high = high, 2 * high
         for _ in range(80):
             middle = (low + high) / 2
             low, high = (middle, high) if reached(middle) < wanted else (low, middle)
         rate = min((low, high), key=lambda r: abs(reached(r) - wanted))
-        cuts = [math.ceil(c * BINS) / BINS for c in _cuts(rate, limit)]
-    return pd.DataFrame([{"mix_name": part.mix_name.iloc[0], "source": part.source.iloc[0], "rate": rate, "cuts": cuts}])
+        sure, cuts = _cuts(rate, limit)
+        cuts = np.ceil(cuts * BINS) / BINS
+    return pd.DataFrame([{"mix_name": part.mix_name.iloc[0], "source": part.source.iloc[0], "rate": rate, "sure": sure, "cuts": cuts[cuts < 1].tolist()}])
 
 
 def _uniform(*columns: str, seed: int) -> Column:
@@ -84,7 +96,7 @@ def mixed(sizes: DataFrame, mix_targets: DataFrame, seed: int = 17) -> tuple[Dat
     rows = base.where("tokens > 0").join(wanted, "source").where("max_repeats > 0").withColumn("u", _uniform("doc_id", "mix_name", seed=seed))
     bins = rows.groupBy("mix_name", "source", "wanted", "max_repeats", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("tokens"))
     rates = F.broadcast(bins.groupBy("mix_name", "source").applyInPandas(_solve, RATE_SCHEMA))
-    uses = rows.join(rates, ["mix_name", "source"]).withColumn("uses", F.size(F.filter("cuts", lambda c: c <= F.col("u"))).cast("bigint"))
+    uses = rows.join(rates, ["mix_name", "source"]).withColumn("uses", F.col("sure") + F.size(F.filter("cuts", lambda c: c <= F.col("u"))))
     uses = uses.where("uses > 0").select("mix_name", "doc_id", "source", "tokens", "uses")
     reached = uses.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("reached"), F.sum("uses").alias("copies"))
     per_mix = reached.groupBy("mix_name").agg(F.sum("reached").alias("mix_tokens"))

@@ -19,9 +19,20 @@ def poisson(u, rate, limit):
 
 def test_cuts_invert_the_distribution():
     for rate in (0.0, 0.3, 2.5, 9.0):
-        cuts = M._cuts(rate, 6)
+        sure, cuts = M._cuts(rate, 6)
         for u in (0.0, 0.05, 0.2, 0.5, 0.8, 0.999):
-            assert sum(c <= u for c in cuts) == poisson(u, rate, 6)
+            assert sure + sum(c <= u for c in cuts) == (poisson(u, rate, 6) if rate else 0)
+
+
+def test_high_rates_reach_their_share(spark):
+    """Far more copies a record than the distribution's first terms can hold."""
+    data = [(i, "few", 1, "") for i in range(20)] + [(100 + i, "many", 5, "") for i in range(5000)]
+    targets = [("m", "few", 1.0, 5000, 2.0), ("m", "many", 1.0, 50, 2.0), ("n", "few", 1.0, 1_000_000_000, 30_000.0)]
+    uses, shares = M.mixed(spark.createDataFrame(data, SIZES), spark.createDataFrame(targets, TARGETS))
+    got = {(r.mix_name, r.source): r for r in shares.collect()}
+    assert abs(got["m", "few"].reached_tokens - 25_020) <= 20 and abs(got["m", "many"].reached_tokens - 25_020) < 100
+    assert abs(got["n", "few"].reached_tokens / (30_000 * 25_020) - 1) < 1e-4
+    assert max(r.uses for r in uses.where("mix_name = 'm'").collect()) <= 5000
 
 
 def test_shares_and_limits(spark):
