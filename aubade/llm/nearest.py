@@ -2,11 +2,12 @@
 
 Targets are cut into entity-time shards whose edges overlap by the tolerance, so the nearest target of a probe always
 lies in the probe's own shard. Targets of one second are reduced to their smallest id and probes of one second to one,
-so a shard holds at most its width in rows whatever the entity's size. In each shard a piecewise-linear learned index
-predicts the place of a time with a measured error; a search within that error gives the exact neighbours.
+so a shard holds at most its width in rows whatever the entity's size. In each shard a piecewise-linear learned index,
+its pieces fitted to an error bound, predicts the place of a time; a search within the bound gives the exact neighbours.
 
-Defined results: rows with a null entity, time or id have no partner; equal distances go to the smaller target id;
-repeated probes each get their row; empty tables give no rows; only the named columns are read.
+Defined results: rows with a null entity, time or id have no partner; times may be any whole numbers of 64 bits; equal
+distances go to the smaller target id; repeated probes each get their row; empty tables give no rows; only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -21,42 +22,47 @@ from pyspark.sql import functions as F
 
 from aubade.operators.instants import track_instants
 
-PIECE_S = 256
+#: Places by which a prediction may be off; pieces are as long as that allows.
+ERROR = 8
 
 
 class LearnedIndex:
-    """Piecewise-linear models over sorted distinct integers: one line a piece of the axis, with its largest error."""
-
-    def __init__(self, keys: np.ndarray, piece: int = PIECE_S):
-        self.keys, self.piece = keys, piece
-        numbers = keys // piece
-        self.low = int(numbers[0]) if len(keys) else 0
-        first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(keys) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(keys))[: len(first)] - 1
-        run = keys[last] - keys[first]
-        self.first, self.last, self.base = first, last, keys[first]
-        self.slope = (last - first) / np.maximum(run, 1)
-        owner = np.repeat(np.arange(len(first)), last - first + 1)
-        off = np.abs(self._line(owner, keys) - np.arange(len(keys))) if len(keys) else np.zeros(0)
-        self.error = np.zeros(len(first), np.int64)
-        np.maximum.at(self.error, owner, np.ceil(off).astype(np.int64))
-        table = np.full(int(numbers[-1]) - self.low + 1 if len(keys) else 0, -1, np.int64)
-        table[numbers[first] - self.low] = np.arange(len(first))
-        self.table = np.maximum.accumulate(table) if len(table) else table
-
-    def _line(self, owner: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return self.first[owner] + self.slope[owner] * (x - self.base[owner])
+    """Lines over sorted distinct integers, each as far as it foretells the place of its keys to within the error."""
+
+    def __init__(self, keys: np.ndarray, error: int = ERROR):
+        self.keys, self.error = keys, error
+        first, slope, i = [], [], 0
+        while i < len(keys):
+            end, best = self._piece(i)
+            first.append(i)
+            slope.append(best)
+            i = end
+        self.first, self.slope = np.array(first, np.int64), np.array(slope, float)
+        self.last = np.append(self.first[1:], len(keys))[: len(first)]
+        self.base = keys[self.first] if len(first) else keys
+
+    def _piece(self, i: int) -> tuple[int, float]:
+        """(end, slope) of the longest piece from key i on whose line stays within the error: slopes that do narrow to a cone."""
+        step = 64
+        while True:
+            ahead = np.arange(1, min(len(self.keys) - i, step))
+            run = (self.keys[i + 1 : i + step] - self.keys[i]).astype(float)
+            low, high = np.maximum.accumulate((ahead - self.error) / run), np.minimum.accumulate((ahead + self.error) / run)
+            out = np.flatnonzero(low > high)
+            if not len(out) and i + step < len(self.keys):
+                step *= 2
+                continue
+            n = int(out[0]) if len(out) else len(ahead)
+            return i + 1 + n, float(max(0.0, low[n - 1] + high[n - 1]) / 2) if n else 0.0
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        """How many keys are below each x: predicted, then searched for within the piece's error."""
+        """How many keys are below each x: predicted by the piece it falls in, then searched for within the error."""
         if not len(self.keys):
             return np.zeros(len(x), np.int64)
-        number = np.clip(x // self.piece - self.low, -1, len(self.table) - 1)
-        owner = np.where(number < 0, 0, self.table[np.maximum(number, 0)])
-        guess = np.clip(self._line(owner, x), self.first[owner], self.last[owner] + 1)
-        error = self.error[owner]
-        low = np.maximum(np.floor(guess).astype(np.int64) - error - 1, self.first[owner])
-        high = np.minimum(np.ceil(guess).astype(np.int64) + error + 1, self.last[owner] + 1)
+        piece = np.maximum(np.searchsorted(self.base, x, "right") - 1, 0)
+        first, last = self.first[piece], self.last[piece]
+        guess = np.clip(first + self.slope[piece] * (x - self.base[piece]), first, last).astype(np.int64)
+        low, high = np.maximum(guess - self.error - 1, first), np.minimum(guess + self.error + 2, last)
         while (open_ := low < high).any():
             middle = (low + high) // 2
             below = self.keys[np.minimum(middle, len(self.keys) - 1)] < x
@@ -77,6 +83,7 @@ def _match(batch: pa.RecordBatch, tolerance: int, width: int) -> pa.RecordBatch:
     probes, probe_of = flat("probe_times")
     targets, target_of = flat("targets")
     times, ids = np.asarray(targets.field("t")), np.asarray(targets.field("target_id"))
+    # Near the ends of the range the product wraps around, and the difference back.
     axis = lambda t, of: of * span + (t - shard[of] * width) + 2 * tolerance
     probe_t = np.asarray(probes)
     target_x, probe_x = axis(times, target_of), axis(probe_t, probe_of)
@@ -100,13 +107,14 @@ def nearest_in_time(probes: DataFrame, targets: DataFrame, tolerance: int, width
 
     ``probes``: ``entity, t, probe_id``; ``targets``: ``entity, t, target_id``; times are whole seconds.
     """
-    far = F.lit(1 << 60)
     probes = probes.where("entity is not null and t is not null and probe_id is not null")
-    once = targets.where("target_id is not null").where(F.col("entity").isNotNull() & F.col("t").between(-far, far)).groupBy("entity", "t").agg(F.min("target_id").alias("target_id"))
-    bucket = lambda t: F.floor(t / F.lit(width)).cast("bigint")
-    shards = F.sequence(F.floor((F.col("t") - tolerance) / width).cast("bigint"), F.floor((F.col("t") + tolerance) / width).cast("bigint"))
-    indexed = once.withColumn("shard", F.explode(shards)).groupBy("entity", "shard").agg(F.collect_list(F.struct("t", "target_id")).alias("targets"))
-    asked = probes.where(F.col("t").between(-far, far)).groupBy("entity", bucket(F.col("t")).alias("shard")).agg(F.collect_set("t").alias("probe_times"))
+    once = targets.where("entity is not null and t is not null and target_id is not null").groupBy("entity", "t").agg(F.min("target_id").alias("target_id"))
+    # In whole numbers that can't overflow: the shard, and the place within it.
+    within = F.expr(f"pmod(t, {width}L)")
+    shard = F.expr(f"t div {width}L - if(t < 0 and t % {width}L <> 0, 1L, 0L)")
+    near = lambda by: shard + F.floor((within + by) / width).cast("bigint")
+    indexed = once.withColumn("shard", F.explode(F.sequence(near(-tolerance), near(tolerance)))).groupBy("entity", "shard").agg(F.collect_list(F.struct("t", "target_id")).alias("targets"))
+    asked = probes.groupBy("entity", shard.alias("shard")).agg(F.collect_set("t").alias("probe_times"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
