@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -26,6 +27,9 @@ _IGNORABLE = "­͏؜ᅟ-ᅠ឴-឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ
 _LATIN_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxyhdqwl", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝӏ")
 _LATIN_GREEK = ("ABEZHIKMNOPTYXovaipukxj", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυκχϳ")
 _CYRILLIC_GREEK = ("АВЕНІКМОРТХаорх", "ΑΒΕΗΙΚΜΟΡΤΧαορχ")
+_LATIN_ARMENIAN = ("OSLUghounqpf", "ՕՏԼՍցհօսոզքֆ")
+_LATIN_CHEROKEE = ("ABCDEGHIJKLMPRSTVWYZ", "ᎪᏴᏟᎠᎬᏀᎻᏆᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᎩᏃ")
+_LATIN_LISU = ("ABCDEFGHIJKLMNOPRSTUVWXYZ", "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ")
 
 _DROP = re.compile(f"[{_IGNORABLE}]")
 _BLANK = re.compile(r"[\s⠀]")
@@ -35,19 +39,20 @@ _PLAIN = r"\A[\x20-\x7e]*\z"
 
 def _alike() -> dict[tuple[str, str], dict[str, str]]:
     out: dict[tuple[str, str], dict[str, str]] = {}
-    for (a, left), (b, right) in ((("latin", _LATIN_CYRILLIC[0]), ("cyrillic", _LATIN_CYRILLIC[1])), (("latin", _LATIN_GREEK[0]), ("greek", _LATIN_GREEK[1])), (("cyrillic", _CYRILLIC_GREEK[0]), ("greek", _CYRILLIC_GREEK[1]))):
+    tables = {("latin", "cyrillic"): _LATIN_CYRILLIC, ("latin", "greek"): _LATIN_GREEK, ("cyrillic", "greek"): _CYRILLIC_GREEK, ("latin", "armenian"): _LATIN_ARMENIAN, ("latin", "cherokee"): _LATIN_CHEROKEE, ("latin", "lisu"): _LATIN_LISU}
+    for (a, b), (left, right) in tables.items():
         out[a, b] = dict(zip(left, right, strict=True))
         out[b, a] = dict(zip(right, left, strict=True))
     return out
 
 
 _ALIKE = _alike()
-SCRIPTS = ("latin", "cyrillic", "greek")
+SCRIPTS = ("latin", "cyrillic", "greek", "armenian", "cherokee", "lisu")
 
 
 @lru_cache(maxsize=4096)
 def script_of(letter: str) -> str | None:
-    """latin, cyrillic or greek; None for other scripts and signs."""
+    """One of SCRIPTS; None for other scripts and signs."""
     if letter < "\u0080":
         return "latin" if letter.isalpha() else None
     name = unicodedata.name(letter, "").split(" ")[0].lower()
@@ -81,9 +86,15 @@ def match_key(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", clean_form(text).casefold()).split())
 
 
-def _per_distinct(values: pd.Series, work) -> pd.Series:
+@lru_cache(maxsize=1 << 15)
+def _remembered(text: str, work: Callable[[str], str]) -> str:
+    return work(text)
+
+
+def _per_distinct(values: pd.Series, work: Callable[[str], str]) -> pd.Series:
+    """Each distinct value of a batch once; a worker remembers short ones from batch to batch."""
     codes, distinct = pd.factorize(values)
-    done = pd.Series([*(work(x) for x in distinct), None], dtype=object)
+    done = pd.Series([*(_remembered(x, work) if len(x) <= 200 else work(x) for x in distinct), None], dtype=object)
     return done.iloc[codes].reset_index(drop=True)
 
 
