@@ -6,6 +6,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from aubade.operators import instants as I
 from aubade.operators.instants import DAY, _Clock, offset_intervals, parse_instant_text
@@ -41,12 +42,11 @@ def test_zone_of_a_clock_text():
     assert parse_instant_text("03:36 BST") == ("clock", 12960, 3600)
     assert parse_instant_text("03:04-05:00") == ("clock", 11040, -18000)
     assert parse_instant_text("00:36Z") == ("clock", 2160, 0)
+    assert parse_instant_text("00:36 UTC+02:00") == ("clock", 2160, 7200) and parse_instant_text("0:36 EEST") == ("clock", 2160, 10800)
 
 
 def test_local_readings(spark):
     frame = spark.createDataFrame([(1, utc(2008, 10, 26, 1, 30)), (2, utc(2008, 3, 30, 1, 30)), (3, utc(2008, 7, 1)), (4, None)], "k int, s bigint")
-    from pyspark.sql import functions as F
-
     out = I.resolve_local(frame.withColumn("z", F.lit("Europe/London")), "s", "z", "u", ["Europe/London"])
     assert rows(out.select("k", "u")) == [(1, utc(2008, 10, 26, 0, 30)), (2, utc(2008, 3, 30, 1, 30)), (3, utc(2008, 6, 30, 23)), (4, None)]
 
@@ -83,10 +83,55 @@ def test_a_split_group_equals_a_sequential_scan(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.rec_id: r.utc_s for r in I.clock_instants(frame).collect()}
+        laid = I.with_candidates(frame.withColumn("z", F.lit("Europe/London")), "start_s", "value", "z", ["Europe/London"])
+        got = {r.rec_id: r.utc_s for r in I.clock_instants(laid).collect()}
+        # Partitions have other numbers in a union.
+        both = laid.limit(0).select("rec_id").repartition(5).unionByName(I.clock_instants(laid).select("rec_id")).count()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-    assert got == want
+    assert got == want and both == len(want)
+
+
+@pytest.mark.parametrize(("start", "step"), [(utc(2019, 3, 1), 3571), (utc(2019, 10, 20, 22), 86_000), (utc(2460, 3, 20), 40_007), (utc(1750, 1, 1), 9_001)])
+def test_nights_of_many_days_over_changes(spark, start, step):
+    """Several nights over many partitions, each longer than the days matched, in years on and off the list."""
+    clock, readings, want = _Clock(offset_intervals("Europe/London")), [], {}
+    for n in range(3):
+        last = start + n * 1000
+        for i in range(200):
+            value, rec = ((i + n) * step) % DAY // 60 * 60, 1000 * n + i
+            last = clock.next(max(start + n * 1000, last), value, None)
+            want[rec] = last
+            readings.append((f"night {n}", i, rec, start + n * 1000, value, None, False))
+    frame = spark.createDataFrame(readings, "scan_group string, scan_pos bigint, rec_id bigint, start_s bigint, value bigint, offset_s bigint, is_full boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid = I.with_candidates(frame.withColumn("z", F.lit("Europe/London")), "start_s", "value", "z", ["Europe/London"])
+        assert {r.rec_id: r.utc_s for r in I.clock_instants(laid).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_years_on_and_off_the_list(spark):
+    texts = ["1850-05-01 10:00", "2250-05-01 10:00", "2250-01-01 10:00", "1700-01-02 03:04", "0001-01-01 00:00", "9999-07-31 12:00", "2441-07-01 00:00"]
+    episodes = spark.createDataFrame([(t, t) for t in texts], "pid string, broadcast_date string")
+    got = {r.pid: r.start_s for r in I.start_instants(episodes).collect()}
+    zone = ZoneInfo("Europe/London")
+    assert got == {t: round(datetime.fromisoformat(t).replace(tzinfo=zone).timestamp()) for t in texts}
+
+
+def test_candidates_are_all_instants_that_show_a_reading(spark):
+    zone = "Europe/London"
+    starts = [utc(2019, 10, 26, 12), utc(2019, 3, 30, 23), utc(2019, 7, 1), utc(2300, 10, 1)]
+    frame = spark.createDataFrame([(s, v, zone) for s in starts for v in range(0, DAY, 1800)], "s bigint, v bigint, z string")
+    for r in I.with_candidates(frame, "s", "v", "z", [zone]).collect():
+        first = datetime.fromtimestamp(r.s, ZoneInfo(zone)).date().toordinal()
+        shown = []
+        for t in range(r.s - 2 * DAY, r.s + 5 * DAY, 1800):
+            local = datetime.fromtimestamp(t, ZoneInfo(zone))
+            if local.hour * 3600 + local.minute * 60 == r.v and first <= local.date().toordinal() < first + I.DAYS:
+                shown.append(t)
+        assert [c for c in (r.c0, r.c1, r.c2, r.c3) if c != I.NEVER] == shown
 
 
 def test_empty_tables(spark):
