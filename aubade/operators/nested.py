@@ -2,19 +2,20 @@
 
 A depth-first visitor reads each text once and emits tagged rows: the table's tag, the parent's key, the child's
 place and key, and the child itself as payload. The tagged rows can be written partitioned by tag; ``read_table``
-applies the schema of one tag.
+applies the schema of one tag. Texts nested too deep for the platform's reader are read, and written, by loops.
 
 Defined results: null, empty and incomplete texts give no rows, as do texts of other JSON than objects and arrays; a
 bare object counts as a list of one; elements that aren't objects keep their place but give no row; an absent or null
 name is ''; absent ids come out as null; repeated rows and objects stay repeated; texts of any length and nesting are
-read whole (nesting beyond the JSON reader's limit counts as incomplete); further columns are ignored.
+read whole; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Callable, Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +41,109 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} isn't JSON")
 
 
+_SIGN = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|true|false|null")
+
+
+def _read_by_loop(text: str) -> object:
+    """The value of a JSON text of any nesting: containers that are open lie on a list instead of the call stack."""
+    skip = lambda i: _SIGN.match(text, i).end()
+    open_: list[tuple[dict | list, str | None]] = []  # each container, and the name its next value gets
+    i = skip(0)
+    while True:
+        # A value begins.
+        sign = text[i : i + 1]
+        if sign and sign in "{[":
+            value: object = {} if sign == "{" else []
+            i = skip(i + 1)
+            if text[i : i + 1] == ("}" if sign == "{" else "]"):
+                i += 1
+            else:
+                name = None
+                if sign == "{":
+                    name, i = _name(text, i, skip)
+                open_.append((value, name))
+                continue
+        elif sign == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif m := _SCALAR.match(text, i):
+            value, i = json.loads(m.group()), m.end()
+        else:
+            raise ValueError(f"no value at {i}")
+        # It ends, and with it the containers that close after it.
+        while True:
+            i = skip(i)
+            if not open_:
+                if i < len(text):
+                    raise ValueError(f"more text at {i}")
+                return value
+            owner, name = open_.pop()
+            if isinstance(owner, dict):
+                owner[name] = value
+            else:
+                owner.append(value)
+            sign = text[i : i + 1]
+            if sign == ",":
+                i, name = skip(i + 1), None
+                if isinstance(owner, dict):
+                    name, i = _name(text, i, skip)
+                open_.append((owner, name))
+                break
+            if sign != ("}" if isinstance(owner, dict) else "]"):
+                raise ValueError(f"no end at {i}")
+            value, i = owner, i + 1
+
+
+def _name(text: str, i: int, skip: Callable[[int], int]) -> tuple[str, int]:
+    """A member's name, and where its value begins."""
+    if text[i : i + 1] != '"':
+        raise ValueError(f"no name at {i}")
+    name, i = scanstring(text, i + 1, True)
+    i = skip(i)
+    if text[i : i + 1] != ":":
+        raise ValueError(f"no value of {name!r}")
+    return name, skip(i + 1)
+
+
 def _read(text: str) -> object:
-    return json.loads(text, parse_constant=_no_constant)
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        return _read_by_loop(text)
+
+
+def _write(value: object, ascii_only: bool = True) -> str:
+    """The JSON text of a value of any nesting."""
+    try:
+        return json.dumps(value, ensure_ascii=ascii_only)
+    except RecursionError:
+        out, left = [], [value]
+        while left:
+            node = left.pop()
+            if isinstance(node, _Literal):
+                out.append(node.text)
+                continue
+            if isinstance(node, (dict, list)) and node:
+                parts: list = []
+                for k, v in node.items() if isinstance(node, dict) else ((None, v) for v in node):
+                    parts += [_Literal(", " if parts else "{" if isinstance(node, dict) else "["), *([_Literal(json.dumps(k, ensure_ascii=ascii_only) + ": ")] if isinstance(node, dict) else []), v]
+                left += reversed([*parts, _Literal("}" if isinstance(node, dict) else "]")])
+            else:
+                out.append(json.dumps(node, ensure_ascii=ascii_only))
+        return "".join(out)
+
+
+class _Literal:
+    """Text between values that are still to be written."""
+
+    __slots__ = ("text",)
+
+    def __init__(self, text: str):
+        self.text = text
 
 
 def _text(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value)
+    return value if value is None or isinstance(value, str) else _write(value)
 
 
 def _children(value: object) -> Iterator[tuple[int, dict]]:
@@ -104,14 +202,19 @@ _NESTED_FIELDS = {"segment_events", "contributions", "parent"}
 
 
 def _payload(node: dict) -> str:
-    return json.dumps({k: ({a: b for a, b in v.items() if a not in _NESTED_FIELDS} if isinstance(v, dict) else v) for k, v in node.items() if k not in _NESTED_FIELDS}, ensure_ascii=False)
+    return _write({k: ({a: b for a, b in v.items() if a not in _NESTED_FIELDS} if isinstance(v, dict) else v) for k, v in node.items() if k not in _NESTED_FIELDS}, False)
+
+
+Visitor = Callable[[str | None, object, Emit], None]
+
 
+def tagged_rows(df: DataFrame, key: str, visitors: dict[str, Visitor], payload: bool = True) -> DataFrame:
+    """Visit the texts of each row once: ``link, parent_key, child_no, child_key`` and, if wanted, ``payload`` (JSON).
 
-def tagged_rows(df: DataFrame, key: str, text: str, visitor: Callable[[str | None, object, Emit], None], payload: bool = True) -> DataFrame:
-    """Visit each text of ``df`` once: ``link, parent_key, child_no, child_key`` and, if wanted, ``payload`` (JSON)."""
+    ``visitors``: by column of texts. All columns of a table are visited in one scan.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
 
@@ -119,12 +222,16 @@ def tagged_rows(df: DataFrame, key: str, text: str, visitor: Callable[[str | Non
                 for column, value in zip(rows, (link, parent, no, child, _payload(node) if payload else None), strict=True):
                     column.append(value)
 
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    root = _read(value.as_py())
-                except (ValueError, RecursionError):
-                    continue
-                visitor(k, root, emit)
+            for row, k in enumerate(batch.column(0).to_pylist()):
+                for place, visitor in enumerate(visitors.values(), 1):
+                    text = batch.column(place)[row].as_py()
+                    if text is None:
+                        continue
+                    try:
+                        root = _read(text)
+                    except ValueError:
+                        continue
+                    visitor(k, root, emit)
                 if len(rows[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ARROW, strict=True)], schema=_ARROW)
                     for column in rows:
@@ -132,16 +239,16 @@ def tagged_rows(df: DataFrame, key: str, text: str, visitor: Callable[[str | Non
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ARROW, strict=True)], schema=_ARROW)
 
-    return df.select(F.col(key).cast("string"), text).where(F.col(text).isNotNull()).mapInArrow(run, LINK_SCHEMA)
+    some = F.lit(False)
+    for column in visitors:
+        some = some | F.col(column).isNotNull()
+    return df.select(F.col(key).cast("string"), *visitors).where(some).mapInArrow(run, LINK_SCHEMA)
 
 
 def archive_links(episodes: DataFrame, segment_events: DataFrame, payload: bool = True) -> DataFrame:
-    """All tagged rows of the archive's three JSON columns."""
-    parts = [(episodes, "pid", "segments_raw_json", visit_segments), (episodes, "pid", "raw_json", visit_programme), (segment_events, "id", "contributions_json", visit_credits)]
-    first, *rest = (tagged_rows(*part, payload=payload) for part in parts)
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    """All tagged rows of the archive's three JSON columns; each table is scanned once."""
+    nights = tagged_rows(episodes, "pid", {"segments_raw_json": visit_segments, "raw_json": visit_programme}, payload)
+    return nights.unionByName(tagged_rows(segment_events, "id", {"contributions_json": visit_credits}, payload))
 
 
 def found_links(episodes: DataFrame, segment_events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from aubade.operators import nested as N
 from tests.conftest import rows
 
@@ -40,6 +42,28 @@ def test_very_long_text(spark):
     assert len(links(spark, [("e", None, text)])) == 50_000
 
 
+def test_any_nesting(spark):
+    deep = 30_000
+    event = lambda i: f'"segment_events": {{"pid": "p{i}", "segment": {{"contributions": {{"name": "n{i}"}}}}'
+    text = "{" + "".join(event(i) + ", " for i in range(deep)) + event(deep) + "}" + "}" * (deep + 1)
+    assert len(links(spark, [("e", None, text), ("f", None, text[:-1])])) == 2 * (deep + 1)
+    chain = '{"programme": {"pid": "a", "parent": ' * deep + "null" + "}}" * deep
+    assert len(links(spark, [("e", chain, None)])) == deep - 1
+    value = json.dumps({"programme": {"versions": [{"pid": "v", "deep": "X"}]}}).replace('"X"', "[" * deep + "{}" + "]" * deep)
+    e = spark.createDataFrame([("e", value, None, "", "")], EPISODES)
+    assert N.archive_links(e, spark.createDataFrame([], SEGMENTS)).first().payload.count("[") == deep
+
+
+def test_the_reader_by_loops_reads_as_the_other():
+    good = ['{"a": [1, -2.5e3, true, null, "x\\n\\u00e9"], "b": {}, "c": [], "a": {"d": [[], {"e": " "}]}}', " [ ] ", "0", '"x"', '[1 , {"a" : "b"} ]', "-0.0"]
+    for text in good:
+        assert N._read_by_loop(text) == json.loads(text)
+    bad = ["", " ", "{", "[1,]", '{"a"}', '{"a":1,}', "{a:1}", "[1 2]", "01", "tru", '"x', "[1]]", "NaN", "[NaN]", "]", '{"a":1]', "1.", "+1", "[1}"]
+    for text in bad:
+        with pytest.raises(ValueError):
+            N._read_by_loop(text)
+
+
 def test_tables_by_tag(spark, tmp_path):
     text = json.dumps({"segment_events": [{"pid": "a", "version_offset": 7, "segment": {"track_title": "T", "contributions": [{"name": "N", "role": "R"}]}}]})
     e = spark.createDataFrame([("e", None, text, "", "")], EPISODES)
