@@ -36,7 +36,7 @@ NOBODY = frozenset("traditional trad trad. anonymous anon anon. various unknown"
 STRONG, COMMA, SLASH, AMP, AND = 1, 2, 3, 4, 5
 
 _NOTE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
-_PREFIX = re.compile(r"^[a-z][a-z'/-]*(?:(?: ?[&,;/] ?| and | )[a-z][a-z'/-]*){0,4} ?[:.] *(?=\S)")
+_PREFIX = re.compile(r"^[a-z][a-z'/-]*+(?:(?: ?[&,;/] ?| and | )[a-z][a-z'/-]*+)*+ ?[:.] *(?=\S)")
 _QUOTES = re.compile(r'^["“”„«»](.*?)["“”«»]$', re.S)
 _ROLE_SPLIT = re.compile(r"[\s,;&/]+")
 
@@ -154,7 +154,7 @@ def _surname_like(p: _Piece) -> bool:
 
 
 def _given_like(p: _Piece) -> bool:
-    return 1 <= len(p.words) <= 3 and not p.prefixed and '"' not in p.raw and "“" not in p.raw and all(w[:1].isupper() or w[:1].isdigit() is False and not w[:1].islower() for w in p.words) and not any(is_kind(w) for w in p.words) and p.words[0].lower() not in NOBODY
+    return bool(p.words) and not p.prefixed and '"' not in p.raw and "“" not in p.raw and all(w[:1].isupper() or w[:1].isdigit() is False and not w[:1].islower() for w in p.words) and not any(is_kind(w) for w in p.words) and p.words[0].lower() not in NOBODY
 
 
 def _joins(item: list[_Piece], p: _Piece, following: _Piece | None) -> bool:
@@ -206,19 +206,20 @@ def names_of(text: str, bounds: list[tuple[int, int, int]]) -> list[str]:
     return out
 
 
-def split_texts(texts: pa.StringArray) -> list[list[str]]:
-    """The names in each of the texts; nulls give none."""
+def split_texts(texts: pa.StringArray, least: int = 1) -> pa.ListArray:
+    """The names in each of the texts, as a list array; nulls, and texts of fewer than ``least`` names, give none."""
     filled = pc.fill_null(texts, "")
     rows, starts, ends, kinds, data = scan_pieces(filled)
-    out: list[list[str]] = [[] for _ in range(len(filled))]
-    cuts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))[: len(rows)] if len(rows) else []
-    limits = np.append(cuts[1:], len(rows)) if len(rows) else []
+    items: list[str] = []
+    sizes = np.zeros(len(filled), np.int32)
+    cuts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))[: len(rows)] if len(rows) else np.zeros(0, np.int64)
+    limits = np.append(cuts[1:], len(rows)) if len(rows) else cuts
+    # A text with fewer pieces than wanted can't have as many names.
+    some = np.flatnonzero((limits - cuts >= least) & (ends[limits - 1] > starts[cuts])) if len(rows) else cuts
     starts, ends, kinds = starts.tolist(), ends.tolist(), kinds.tolist()
-    for r, (a, b) in enumerate(zip(cuts, limits, strict=True)):
+    for r, a, b in zip(some.tolist(), cuts[some].tolist(), limits[some].tolist(), strict=True):
         base = starts[a]
         whole = data[base : ends[b - 1]]
-        if not whole:
-            continue
         text = whole.decode()
         if len(text) == len(whole):
             bounds = [(starts[i] - base, ends[i] - base, kinds[i]) for i in range(a, b)]
@@ -229,8 +230,11 @@ def split_texts(texts: pa.StringArray) -> list[list[str]]:
                 size = len(whole[starts[i] - base : ends[i] - base].decode())
                 bounds.append((chars, chars + size, kinds[i]))
                 chars, at = chars + size, ends[i] - base
-        out[r] = names_of(text, bounds)
-    return out
+        names = names_of(text, bounds)
+        if len(names) >= least:
+            items += names
+            sizes[r] = len(names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(items, pa.string()))
 
 
 ITEM_SCHEMA = "field string, track_id bigint, item_no bigint, item_text string"
@@ -244,12 +248,11 @@ def unpacked(df: DataFrame, key: str, fields: tuple[str, ...], least: int = 2) -
             keys = batch.column(0).cast(pa.int64())
             for k, field in enumerate(fields, 1):
                 coded = batch.column(k).dictionary_encode()
-                lists = [x if len(x) >= least else [] for x in split_texts(coded.dictionary.cast(pa.string()))]
-                children = pa.array([*lists, []], pa.list_(pa.string())).take(pc.fill_null(coded.indices, len(lists)))
-                parents = pc.list_parent_indices(children)
-                firsts = np.asarray(children.offsets)[:-1]
+                children = split_texts(coded.dictionary.cast(pa.string()), least).take(coded.indices)
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(children), 0))
+                parents = pa.array(np.repeat(np.arange(len(children)), sizes))
                 items = children.flatten()
-                places = np.arange(len(items)) - (firsts - firsts[0] if len(firsts) else firsts)[np.asarray(parents)] + 1
+                places = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
                 if len(items):
                     yield pa.RecordBatch.from_arrays([pa.array([field] * len(items)), keys.take(parents), pa.array(places, pa.int64()), items], ["field", "track_id", "item_no", "item_text"])
 

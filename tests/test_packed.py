@@ -10,7 +10,7 @@ from tests.conftest import rows
 
 
 def names(text):
-    return P.split_texts(pa.array([text], pa.string()))[0]
+    return P.split_texts(pa.array([text], pa.string())).to_pylist()[0]
 
 
 @pytest.mark.parametrize(
@@ -23,6 +23,7 @@ def names(text):
         ('"de Begosurin, Thomas" (violin) & “Radio Choir, Rusivatti”', ["de Begosurin, Thomas", "Radio Choir, Rusivatti"]), ("Baroque Ensemble, Rusivatti / A B", ["Baroque Ensemble, Rusivatti", "A B"]),
         ("Sonumizik, Katharina Nikolaus (1855-1923); arr. Q R (c.1700–1750)", ["Sonumizik, Katharina Nikolaus", "Q R"]), ("Traditional, A B (1900-1950)", ["Traditional", "A B"]), ("A B\nC D (text)", ["A B", "C D"]), ("A;; B;", ["A", "B"]),
         ("A B (organ; continuo), C D (piano, harpsichord)", ["A B", "C D"]), ("violin & viola: A B; piano: C D", ["A B", "C D"]),
+        ("violin, viola, cello, flute, oboe, organ & harp: A B; piano: C D", ["A B", "C D"]), ("Lund, Anna Maria Eva Sofia Clara (piano); C D", ["Lund, Anna Maria Eva Sofia Clara", "C D"]),
     ],
 )
 def test_names(text, want):
@@ -45,7 +46,8 @@ def test_long_text():
 
 @given(st.lists(st.text(alphabet="abcö ()[]\"“”,;|/&\n", max_size=30), max_size=8))
 def test_a_batch_equals_its_texts_one_by_one(texts):
-    assert P.split_texts(pa.array(texts, pa.string())) == [names(t) for t in texts]
+    assert P.split_texts(pa.array(texts, pa.string())).to_pylist() == [names(t) for t in texts]
+    assert P.split_texts(pa.array(texts, pa.string()), 2).to_pylist() == [n if len(n := names(t)) > 1 else [] for t in texts]
 
 
 def test_rows_keep_parent_and_place(spark):
