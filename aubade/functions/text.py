@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -13,12 +14,12 @@ SPECIAL_PAIRS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ
 
 
 def _fold_table() -> tuple[str, str]:
-    """One-to-one folds of the Latin blocks, from the character database."""
+    """One-to-one folds of accented letters, from the character database: Latin ones to ASCII, those of other scripts to their bare letter."""
     source, target = [], []
-    for code in range(0x80, 0x250):
+    for code in (*range(0x80, 0x590), *range(0x1E00, 0x2000)):
         c = chr(code)
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c not in SPECIAL_LETTERS and c not in SPECIAL_PAIRS and len(plain) == 1 and plain < "\x80" and plain.isalpha():
+        plain = "".join(x for x in unicodedata.normalize("NFKD" if code < 0x250 else "NFD", c) if not unicodedata.combining(x))
+        if c not in SPECIAL_LETTERS and c not in SPECIAL_PAIRS and len(plain) == 1 and plain != c and plain.isalpha():
             source.append(c)
             target.append(plain)
     return "".join([*source, *SPECIAL_LETTERS]), "".join([*target, *SPECIAL_LETTERS.values()])
@@ -28,7 +29,7 @@ _FROM, _TO = _fold_table()
 
 
 def ascii_fold(text: Column) -> Column:
-    """Latin letters without accents; combining marks removed."""
+    """Letters without accents, Latin ones in ASCII; combining marks removed."""
     out = F.translate(text, _FROM, _TO)
     for pair, plain in SPECIAL_PAIRS.items():
         out = F.replace(out, F.lit(pair), F.lit(plain))
@@ -36,23 +37,67 @@ def ascii_fold(text: Column) -> Column:
 
 
 def plain_key(text: Column) -> Column:
-    """Folded, lower case, letters and digits and single blanks only; the key of names and titles (core of C3)."""
-    kept = F.regexp_replace(F.lower(ascii_fold(text)), "[^a-z0-9 ]", "")
+    """Folded, lower case, letters and digits of all scripts and single blanks only; the key of names (core of C3)."""
+    kept = F.regexp_replace(F.lower(ascii_fold(text)), r"[^\p{L}\p{N} ]", "")
     return F.trim(F.regexp_replace(kept, " +", " "))
 
 
+def _code_page() -> tuple[str, str]:
+    """The signs that cp1252 has at 0x80 to 0x9F, and the characters of these numbers."""
+    signs = [(bytes([b]).decode("cp1252", "ignore"), chr(b)) for b in range(0x80, 0xA0)]
+    return "".join(s for s, _ in signs if s), "".join(c for s, c in signs if s)
+
+
+CP1252_SIGNS, CP1252_CODES = _code_page()
+
+
+def repaired(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1 or cp1252 read right, where its bytes are UTF-8 and printable."""
+    narrow = F.translate(text, CP1252_SIGNS, CP1252_CODES)
+    # The pattern keeps encode() to the characters it has.
+    whole = F.when(narrow.rlike(r"\A[\x00-\xff]*[\x80-\xff][\x00-\xff]*\z"), narrow)
+    read = F.encode(whole, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(read) & ~read.rlike(r"\p{C}"), read).otherwise(text)
+
+
+#: What a title's key drops or evens out, in order, as (pattern, replacement).
+CANONICAL_STEPS = (
+    (r"[(\[]\s*\d{4}(?:\s*[-/]\s*\d{1,4})?\s*[)\]]", " "),
+    (r"[(\[]\s*(?:appl|applause|encore|(?:the\s+)?proms\s+\d{4})\s*[)\]]", " "),
+    ("&", " and "),
+    (r"\s[-?]+\s", " "),
+    ('"', ""),
+    (r"(^|[^a-z0-9])'+", r"\1"),
+    (r"'+([^a-z0-9]|$)", r"\1"),
+    (r"\b(op|nos|no)\.?\s*(\d)", r"\1 \2"),
+    (r"[.,;:()\[\]]", ""),
+    (r"\s+", " "),
+)
+#: Quotes of all kinds, single ones and double ones.
+SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛`´", "“”„‟"
+
+
 def canonical_key(text: Column) -> Column:
-    """Title key (C3): year and encore notes dropped, ampersand spelled out, op and no spaced, punctuation squeezed."""
-    t = F.lower(ascii_fold(text))
-    t = F.regexp_replace(t, r"\((?:encore|proms \d{4}|\d{4})\)", " ")
-    t = F.regexp_replace(t, "&", " and ")
-    t = F.regexp_replace(t, r"\b(op|no)\.? *(\d)", "$1 $2")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 ]", " "), " +", " "))
+    """Key of titles and composers (C3): years and notes on the airing dropped, ampersand spelled out, opus and number marks
+    spaced, separating dashes and outer quotes dropped, minor punctuation too; hyphens and apostrophes within words stay."""
+    t = F.translate(F.lower(ascii_fold(repaired(text))), SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+    for pattern, to in CANONICAL_STEPS:
+        t = F.regexp_replace(t, pattern, re.sub(r"\\(\d)", r"$\1", to))
+    return F.trim(t)
+
 
+#: Number words and their digits; words for 'and'.
+NUMBER_WORDS = {w: str(i) for i, w in enumerate("two three four five six seven eight nine ten eleven twelve".split(), 2)}
+AND_WORDS = ("et", "und")
 
-def sorted_tokens(key: Column) -> Column:
-    """The words of a key in order (token path of C19)."""
-    return F.array_join(F.array_sort(F.split(key, " ")), " ")
+
+def token_key(canon: Column) -> Column:
+    """The words of a canonical key in order, with joining signs, 'major', number words and words for 'and' evened out (C14; token path of C19)."""
+    t = F.translate(F.translate(canon, "-", " "), "'", "")
+    t = F.regexp_replace(t, r"\b(in [a-g](?: (?:flat|sharp))?) major\b", "$1")
+    same = F.create_map(*(F.lit(x) for pair in (*NUMBER_WORDS.items(), *((w, "and") for w in AND_WORDS)) for x in pair))
+    words = F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(same, w), w))
+    return F.array_join(F.array_sort(words), " ")
 
 
 def normal_composer(text: Column) -> Column:
@@ -60,9 +105,20 @@ def normal_composer(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s*\([^()]*\)\s*$", "")), r"^'(.*)'$", "$1")
 
 
-def strip_arranger(line: Column) -> Column:
-    """Cut at the first comma where a line ends as an arranger's."""
-    return F.when(line.rlike(r"(?i)\(arr(?:anger|\.)?\)\s*$"), F.trim(F.substring_index(line, ",", 1))).otherwise(line)
+def strip_arranger(composer: Column, line: Column) -> Column:
+    """A composer cut at the first comma where its line ends as an arranger's."""
+    head = F.trim(F.substring_index(composer, ",", 1))
+    return F.when(line.rlike(r"(?i)\(arranger\)\s*$") & (head != ""), head).otherwise(composer)
+
+
+def composer_key(composer: Column, line: Column | None = None) -> Column:
+    """The grouping key of a composer: the arranger cut off, the bracket too, then canonical."""
+    return F.coalesce(canonical_key(normal_composer(composer if line is None else strip_arranger(composer, line))), F.lit(""))
+
+
+def work_key(title: Column) -> Column:
+    """The native grouping key of a title: the sorted words of its canonical key."""
+    return F.coalesce(token_key(canonical_key(title)), F.lit(""))
 
 
 def surname(name: Column) -> Column:

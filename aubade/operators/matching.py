@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aubade.functions.text import candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_numbers
+from aubade.functions.text import candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_key, work_numbers
 from aubade.operators.segments import contributions, name_maps, role_rows
 
 #: Weights and costs of the alignment.
@@ -237,7 +237,7 @@ def text_recordings(air: DataFrame, least_dates: int = 2) -> DataFrame:
 
 def pid_signatures(segments: DataFrame) -> DataFrame:
     """``rp, ck, wk, conductors, soloists, ensembles, length_s``: what a recording is known by."""
-    rows = segments.where("recording_pid is not null and ck <> ''").withColumn("wk", F.array_join(F.array_sort(F.split(plain_key(F.col("track_title")), " ")), " ")).where("wk <> ''")
+    rows = segments.where("recording_pid is not null and ck <> ''").withColumn("wk", work_key(F.col("track_title"))).where("wk <> ''")
     people = rows.select("recording_pid", "ck", "wk", F.explode(contributions(F.col("contributions_json"))).alias("c"))
     people = people.select("recording_pid", "ck", "wk", plain_key(F.col("c.name")).alias("nk"), F.lower("c.role").alias("role")).where("nk <> '' and nk <> ck").distinct()
     of = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("nk"))))
@@ -273,7 +273,7 @@ def bridged(air: DataFrame, segments: DataFrame, lengths: DataFrame) -> DataFram
     of = lambda test: F.collect_set(F.when(test, F.col("identity")))
     kind = F.col("kind")
     texts = names.groupBy(*keys, "degraded", "text_s").agg(of(kind == "c").alias("tc"), of(kind == "s").alias("ts"), of(kind == "e").alias("te"), of((kind == "e") & F.col("nk").rlike(_CHAMBER) & ~F.col("nk").rlike(_ORCHESTRA)).alias("tb"))
-    rows = segments.where("recording_pid is not null and ck <> ''").select("recording_pid", "ck", "duration_seconds", F.array_join(F.array_sort(F.split(plain_key(F.col("track_title")), " ")), " ").alias("wk"), F.explode(contributions(F.col("contributions_json"))).alias("c")).where("wk <> ''")
+    rows = segments.where("recording_pid is not null and ck <> ''").select("recording_pid", "ck", "duration_seconds", work_key(F.col("track_title")).alias("wk"), F.explode(contributions(F.col("contributions_json"))).alias("c")).where("wk <> ''")
     people = rows.select("recording_pid", "ck", "wk", "duration_seconds", F.lower("c.role").alias("role"), F.col("c.musicbrainz_gid").alias("mbid"), plain_key(F.col("c.name")).alias("nk"))
     people = people.where("nk <> '' and nk <> ck").join(known, "nk", "left").withColumn("identity", identity)
     role = F.col("role")

@@ -5,22 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aubade.functions.text import ascii_fold, life_years, normal_composer, plain_key, sorted_tokens, strip_arranger
+from aubade.functions.text import ascii_fold, composer_key, life_years, plain_key, work_key
+from aubade.operators.instants import HOME, MONTHS
 
 #: Upper ends of the airing-count buckets.
 BUCKETS = ((1, "1"), (5, "2-5"), (10, "6-10"), (50, "11-50"), (100, "51-100"))
 
 
+#: How a night's date is written: year first, the same without signs, with slashes day first, with the month's
+#: name, and as seconds or milliseconds since 1970.
+DAY_FORMS = (
+    r"^(\d{4})-(\d{2})-(\d{2})",
+    r"^(\d{4})(\d{2})(\d{2})[Tt]\d{4}",
+    r"^(\d{1,2})/(\d{1,2})/(\d{4})\b",
+    r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\.?\s+(\d{4})\b",
+    r"^(-?\d{9,14})$",
+)
+
+
 def broadcast_day(text: Column) -> Column:
-    """The date of a start that begins with an ISO date, else null."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
+    """The date of a start as written, or of bare seconds in London; null for other texts and impossible dates."""
+    iso, basic, slash, words, number = DAY_FORMS
+    part = lambda p, i: F.regexp_extract(text, p, i)
+    plain = lambda p, y, m, d: F.concat_ws("-", part(p, y), F.lpad(part(p, m), 2, "0"), F.lpad(part(p, d), 2, "0")).try_cast("date")
+    month = F.element_at(F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS.split(), 1) for x in (m, f"{i:02d}"))), F.lower(part(words, 2)))
+    named = F.concat_ws("-", part(words, 3), month, F.lpad(part(words, 1), 2, "0")).try_cast("date")
+    seconds = part(number, 1).try_cast("bigint")
+    seconds = F.when(F.abs(seconds) >= 100_000_000_000, F.floor(seconds / 1000)).otherwise(seconds)
+    bare = F.from_utc_timestamp(F.timestamp_seconds(seconds), HOME).cast("date")
+    return F.when(text.rlike(iso), plain(iso, 1, 2, 3)).when(text.rlike(basic), plain(basic, 1, 2, 3)).when(text.rlike(slash), plain(slash, 3, 2, 1)).when(text.rlike(words), named).when(text.rlike(number), bare)
 
 
 def airings(tracks: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Tracks with their night: ``id, pid, position, time_str, composer, composer_line, title, performers, bdate, yr, ck, wk``."""
+    """Tracks with their night: ``id, pid, position, time_str, composer, composer_line, title, performers, bdate, yr, ck, wk``.
+
+    ``ck`` and ``wk`` are the native keys; ``identity.identified`` gives those of the whole identity layer.
+    """
     nights = episodes.select("pid", broadcast_day(F.col("broadcast_date")).alias("bdate"))
     joined = tracks.select("id", F.col("episode_pid").alias("pid"), "position", "time_str", "composer", "composer_line", "title", "performers").join(nights, "pid")
-    return joined.select("id", "pid", "position", "time_str", "composer", strip_arranger(F.col("composer_line")).alias("composer_line"), "title", "performers", "bdate", F.year("bdate").alias("yr"), F.coalesce(plain_key(normal_composer(F.col("composer"))), F.lit("")).alias("ck"), F.coalesce(sorted_tokens(plain_key(F.col("title"))), F.lit("")).alias("wk"))
+    return joined.select("id", "pid", "position", "time_str", "composer", "composer_line", "title", "performers", "bdate", F.year("bdate").alias("yr"), composer_key(F.col("composer"), F.col("composer_line")).alias("ck"), work_key(F.col("title")).alias("wk"))
 
 
 def best_spelling(rows: DataFrame, keys: list[str], text: str) -> DataFrame:

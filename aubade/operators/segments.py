@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aubade.functions.text import plain_key, sorted_tokens
+from aubade.functions.text import plain_key, work_key
 
 #: Fixed value: the contributors of a segment row as JSON.
 CREDITS = "array<struct<name:string,role:string,pid:string,musicbrainz_gid:string>>"
@@ -65,8 +65,8 @@ def coverage(roles: DataFrame) -> DataFrame:
 
 
 def with_work(segments: DataFrame) -> DataFrame:
-    """Segments with the sorted-token key of their title."""
-    return segments.withColumn("wk", F.coalesce(sorted_tokens(plain_key(F.col("track_title"))), F.lit("")))
+    """Segments with the native key of their title."""
+    return segments.withColumn("wk", work_key(F.col("track_title")))
 
 
 def works(segments: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def ambiguous_names(segments: DataFrame) -> DataFrame:
 def backfilled(segments: DataFrame) -> DataFrame:
     """Segments with ``cid``: own composer id, else the only id of the name key, else the key."""
     known = segments.where("composer_mbid is not null and ck <> ''").groupBy("ck").agg(F.min("composer_mbid").alias("lo"), F.max("composer_mbid").alias("hi")).where("lo = hi").select("ck", "lo")
-    return segments.join(known, "ck", "left").withColumn("cid", F.coalesce("composer_mbid", "lo", F.concat(F.lit("name:"), "ck"))).drop("lo")
+    return segments.join(known, "ck", "left").withColumn("cid", F.coalesce("composer_mbid", "lo", F.when(F.col("ck") != "", F.concat(F.lit("name:"), "ck")))).drop("lo")
 
 
 def national_nights(segments: DataFrame, least: int = 10, share: float = 0.7) -> DataFrame:

@@ -9,13 +9,16 @@ LONGEST_GAP = 90 * 60
 DAY = 86_400
 
 
+#: Fixed value: a clock text, with or without seconds, half of the day, stray colons, and a zone, which isn't counted; also as 0040h.
+CLOCK_FORM = r"(?i)^\s*(\d{1,2})[:.]?(\d{2})(?:[:.](\d{2}))?\s*:?\s*(?:([ap])\.?m\.?)?\s*:?\s*(?:h|z|[a-z]{3,4}|[+-]\d{2}:?\d{2})?\s*$"
+
+
 def clock_seconds(text: Column) -> Column:
     """Second of the day of a clock text; without AM or PM it is morning, 12 AM is 0."""
-    pattern = r"(?i)^\s*(\d{1,2})[:.](\d{2})\s*(am|pm)?\s*:?\s*$"
-    hour, minute, half = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
-    h, m = hour.try_cast("int"), minute.try_cast("int")
-    value = F.when(F.lower(half) == "pm", h % 12 + 12).when((F.lower(half) == "am") | (h == 12), h % 12).otherwise(h) * 3600 + m * 60
-    return F.when((h <= 23) & (m <= 59), value)
+    part = lambda i: F.regexp_extract(text, CLOCK_FORM, i)
+    h, m, s, half = part(1).try_cast("int"), part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(0)), F.lower(part(4))
+    value = F.when(half == "p", h % 12 + 12).when((half == "a") | (h == 12), h % 12).otherwise(h) * 3600 + m * 60 + s
+    return F.when((h <= 23) & (m <= 59) & (s <= 59), value)
 
 
 def track_lengths(air: DataFrame) -> DataFrame:

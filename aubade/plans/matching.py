@@ -13,7 +13,7 @@ from aubade.operators import instants as I
 from aubade.operators import matching as M
 from aubade.operators import ranking as R
 from aubade.operators import temporal as T
-from aubade.plans.common import AIR, SEG, SEG_ONLY, air, segments, sql_fold, sql_key
+from aubade.plans.common import AIR, SEG, SEG_ONLY, air, segments, sql_canonical, sql_fold, sql_key
 from aubade.sources.tables import load
 
 
@@ -123,13 +123,6 @@ _NAMED = (match_aligned, match_projection, match_positional, match_composer_dupl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMED}
 
 
-def sql_canonical(x: str) -> str:
-    """SQL of canonical_key."""
-    t = rf"regexp_replace({sql_fold(f'lower({x})')}, '\((encore|proms \d{{4}}|\d{{4}})\)', ' ', 'g')"
-    t = rf"regexp_replace(replace({t}, '&', ' and '), '\b(op|no)\.? *(\d)', '\1 \2', 'g')"
-    return rf"trim(regexp_replace(regexp_replace({t}, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
-
-
 def sql_tokens(x: str) -> str:
     """SQL of significant_tokens."""
     words = ", ".join(f"'{w}'" for w in X.GENERIC_WORDS)

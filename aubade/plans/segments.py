@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aubade.operators import segments as S
-from aubade.plans.common import SEG, segments, sql_key
+from aubade.plans.common import SEG, SEG_WORK, segments, sql_key
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +140,6 @@ named AS (SELECT id, recording_pid, episode_pid, json_extract_string(c, '$.name'
 roles AS (SELECT *, {sql_key('name')} AS nk FROM named WHERE name IS NOT NULL),
 maps AS (SELECT nk, min(mbid) AS only_mbid FROM roles WHERE mbid IS NOT NULL AND nk <> '' GROUP BY nk HAVING min(mbid) = max(mbid)),
 ident AS (SELECT roles.*, coalesce(mbid, only_mbid, concat('name:', nk)) AS identity FROM roles LEFT JOIN maps USING (nk) WHERE nk <> '')"""
-_WORK = f"segw AS (SELECT *, coalesce(array_to_string(list_sort(string_split({sql_key('track_title')}, ' ')), ' '), '') AS wk FROM seg)"
 _BRC = "CASE WHEN coalesce(upper(trim(record_label)), '') = '' THEN 'UNATTRIBUTED' WHEN regexp_matches(upper(trim(record_label)), '^[A-Z]{5}$') THEN upper(trim(record_label)) ELSE 'OTHER' END"
 _RANK = """u AS (SELECT DISTINCT recording_pid, identity FROM ident WHERE recording_pid IS NOT NULL {and_role}), c AS (SELECT recording_pid, count(*) AS n FROM seg WHERE recording_pid IS NOT NULL GROUP BY 1)
 SELECT identity, CAST(sum(n) AS BIGINT) AS airings, count(*) AS recordings FROM u JOIN c USING (recording_pid) GROUP BY identity"""
@@ -158,14 +157,14 @@ SELECT recording_pid, record_label AS label FROM (SELECT *, row_number() OVER (P
     "seg_contributors": f"WITH {SEG}, {_ROLES}, {_RANK.format(and_role='')}",
     "seg_conductors": f"WITH {SEG}, {_ROLES}, {_RANK.format(and_role=chr(65) + 'ND role = ' + chr(39) + 'conductor' + chr(39))}",
     "seg_coverage": f"WITH {SEG}, {_ROLES} SELECT count(*) FILTER (identity NOT LIKE 'name:%') AS by_id, count(*) FILTER (identity LIKE 'name:%') AS by_name FROM ident",
-    "seg_works": f"""WITH {SEG}, {_WORK} SELECT ck, wk, count(*) AS airings, count(DISTINCT recording_pid) AS recordings, coalesce(max(duration_seconds) >= 2 * min(duration_seconds), false) AS excerpt FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ck, wk""",
-    "seg_alias_candidates": f"""WITH {SEG}, {_WORK} SELECT recording_pid, count(DISTINCT concat(ck, '|', wk)) AS works FROM segw WHERE recording_pid IS NOT NULL AND ck <> '' AND wk <> '' GROUP BY 1 HAVING count(DISTINCT concat(ck, '|', wk)) > 1""",
+    "seg_works": f"""WITH {SEG}, {SEG_WORK} SELECT ck, wk, count(*) AS airings, count(DISTINCT recording_pid) AS recordings, coalesce(max(duration_seconds) >= 2 * min(duration_seconds), false) AS excerpt FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ck, wk""",
+    "seg_alias_candidates": f"""WITH {SEG}, {SEG_WORK} SELECT recording_pid, count(DISTINCT concat(ck, '|', wk)) AS works FROM segw WHERE recording_pid IS NOT NULL AND ck <> '' AND wk <> '' GROUP BY 1 HAVING count(DISTINCT concat(ck, '|', wk)) > 1""",
     "seg_broadcasters": f"""WITH {SEG}, b AS (SELECT {_BRC} AS brc, count(*) AS airings, count(DISTINCT recording_pid) AS recordings FROM seg GROUP BY 1)
 SELECT brc, airings, recordings, CASE WHEN brc <> 'UNATTRIBUTED' THEN round(100 * airings / (SELECT sum(airings) FROM b WHERE brc <> 'UNATTRIBUTED'), 4) END AS share FROM b""",
     "seg_countries": f"""WITH {SEG}, b AS (SELECT *, {_BRC} AS brc FROM seg) SELECT CASE WHEN brc IN ('OTHER', 'UNATTRIBUTED') THEN brc ELSE substr(brc, 1, 2) END AS country, count(*) AS airings, count(DISTINCT recording_pid) AS recordings FROM b GROUP BY 1""",
     "seg_duration_band": f"WITH {SEG} SELECT id, duration_seconds FROM seg WHERE duration_seconds BETWEEN 300 AND 600",
-    "seg_medians": f"WITH {SEG}, {_WORK}, {_MED} SELECT * FROM med",
-    "seg_length_classes": f"WITH {SEG}, {_WORK}, {_MED} SELECT CASE WHEN median_s < 600 THEN 'short' WHEN median_s < 1800 THEN 'medium' ELSE 'long' END AS class, count(*) AS works FROM med GROUP BY 1",
+    "seg_medians": f"WITH {SEG}, {SEG_WORK}, {_MED} SELECT * FROM med",
+    "seg_length_classes": f"WITH {SEG}, {SEG_WORK}, {_MED} SELECT CASE WHEN median_s < 600 THEN 'short' WHEN median_s < 1800 THEN 'medium' ELSE 'long' END AS class, count(*) AS works FROM med GROUP BY 1",
     "seg_mbid_aliases": f"WITH {SEG} SELECT composer_mbid, count(DISTINCT ck) AS names FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY 1 HAVING count(DISTINCT ck) > 1",
     "seg_ambiguous": f"WITH {SEG} SELECT ck, count(DISTINCT composer_mbid) AS ids FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY 1 HAVING count(DISTINCT composer_mbid) > 1",
     "seg_backfill": f"""WITH {SEG}, k AS (SELECT ck, min(composer_mbid) AS lo FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY ck HAVING min(composer_mbid) = max(composer_mbid))
@@ -181,7 +180,7 @@ p AS (SELECT a.identity, b.identity AS other, count(DISTINCT a.recording_pid) AS
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY recordings DESC, other) AS place FROM p) WHERE place <= 3""",
     "seg_kinds": f"""WITH {SEG}, {_ROLES}, k AS (SELECT identity, CASE WHEN role = 'conductor' THEN 'conductor' WHEN role IN ('orchestra', 'ensemble', 'choir') THEN 'ensemble' WHEN role = 'composer' THEN 'composer' WHEN regexp_matches(role, 'soprano|alto|tenor|baritone|bass$|singer') THEN 'singer' ELSE 'performer' END AS kind, count(*) AS n FROM ident GROUP BY ALL)
 SELECT identity, kind FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n DESC, kind) AS r FROM k) WHERE r = 1""",
-    "seg_house": f"""WITH {SEG}, {_WORK}, chief AS (SELECT ck, wk, count(*) AS al FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ALL ORDER BY al DESC, ck, wk LIMIT 50),
+    "seg_house": f"""WITH {SEG}, {SEG_WORK}, chief AS (SELECT ck, wk, count(*) AS al FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ALL ORDER BY al DESC, ck, wk LIMIT 50),
 n AS (SELECT ck, wk, recording_pid, count(*) AS n FROM segw JOIN chief USING (ck, wk) WHERE year(bdate) >= 2016 AND recording_pid IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY ck, wk) AS t, row_number() OVER (PARTITION BY ck, wk ORDER BY n DESC, recording_pid) AS k FROM n)
 SELECT ck, wk, recording_pid, n AS airings, round(n / t, 6) AS share FROM r WHERE k = 1""",

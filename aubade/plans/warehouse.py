@@ -11,7 +11,7 @@ from aubade.operators import ranking as R
 from aubade.operators import search as Q
 from aubade.operators import temporal as T
 from aubade.operators import warehouse as W
-from aubade.plans.common import AIR, SEG_ONLY, air, nights, segments, sql_key
+from aubade.plans.common import AIR, SEG_ONLY, SEG_WORK, air, nights, segments
 from aubade.plans.matching import sql_slug
 from aubade.sources.tables import load
 
@@ -104,15 +104,14 @@ def extra_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMED = (site_works, site_recordings, site_composers, site_episodes, site_browse, site_slugs, site_closure, site_registry, search_catalogue, search_index, search_query, extra_rollup, extra_setops, extra_sessions, extra_regions)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMED}
 
-_SEGW = f"segw AS (SELECT *, coalesce(array_to_string(list_sort(string_split({sql_key('track_title')}, ' ')), ' '), '') AS wk FROM seg)"
 ORACLES: dict[str, str] = {
     "site_episodes": f"""WITH {AIR}, {SEG_ONLY}, prints AS (SELECT episode_pid AS pid, sha1(string_agg(recording_pid, '|' ORDER BY coalesce(position, 1099511627776), id)) AS print FROM seg WHERE recording_pid IS NOT NULL GROUP BY 1),
 d AS (SELECT p.pid, print, bdate FROM prints p JOIN nights n ON p.pid = n.pid WHERE bdate IS NOT NULL), r AS (SELECT pid, (SELECT count(DISTINCT e.bdate) FROM d e WHERE e.print = d.print AND e.bdate < d.bdate) AS earlier FROM d),
 c AS (SELECT pid, bdate, count(*) AS tracks, count(DISTINCT CASE WHEN ck <> '' THEN ck END) AS composers FROM air GROUP BY ALL) SELECT c.*, coalesce(earlier, 0) AS earlier FROM c LEFT JOIN r USING (pid)""",
-    "site_works": f"""WITH {AIR}, {SEG_ONLY}, {_SEGW}, r AS (SELECT ck, wk, count(DISTINCT recording_pid) AS n_recordings, count(*) AS n_segments FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ALL),
+    "site_works": f"""WITH {AIR}, {SEG_ONLY}, {SEG_WORK}, r AS (SELECT ck, wk, count(DISTINCT recording_pid) AS n_recordings, count(*) AS n_segments FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ALL),
 t AS (SELECT ck, wk, count(*) AS airings, min(bdate) AS first_aired, max(bdate) AS last_aired, count(DISTINCT pid) AS nights FROM air WHERE ck <> '' AND wk <> '' GROUP BY ALL)
 SELECT ck, wk, airings, coalesce(n_recordings, 0) AS n_recordings, greatest(airings - coalesce(n_segments, 0), 0) AS n_text_only, first_aired, last_aired, nights FROM t LEFT JOIN r USING (ck, wk)""",
-    "site_recordings": f"""WITH {AIR}, {SEG_ONLY}, {_SEGW}, c AS (SELECT recording_pid, ck, wk, count(*) AS n, min(bdate) AS lo, max(bdate) AS hi FROM segw WHERE recording_pid IS NOT NULL AND ck <> '' AND wk <> '' GROUP BY ALL),
+    "site_recordings": f"""WITH {AIR}, {SEG_ONLY}, {SEG_WORK}, c AS (SELECT recording_pid, ck, wk, count(*) AS n, min(bdate) AS lo, max(bdate) AS hi FROM segw WHERE recording_pid IS NOT NULL AND ck <> '' AND wk <> '' GROUP BY ALL),
 l0 AS (SELECT recording_pid, record_label, count(*) AS n FROM seg WHERE recording_pid IS NOT NULL AND record_label <> '' GROUP BY ALL), l AS (SELECT recording_pid, record_label, row_number() OVER (PARTITION BY recording_pid ORDER BY n DESC, record_label) AS k FROM l0),
 b AS (SELECT recording_pid, list(struct_pack(ck := ck, wk := wk) ORDER BY n DESC, ck, wk)[1] AS w, CAST(sum(n) AS BIGINT) AS airings, min(lo) AS first_aired, max(hi) AS last_aired FROM c GROUP BY 1)
 SELECT b.recording_pid, w.ck AS ck, w.wk AS wk, airings, record_label AS label, first_aired, last_aired FROM b LEFT JOIN l ON b.recording_pid = l.recording_pid AND k = 1""",
