@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 #: Letters that decomposition doesn't reach, and their spellings in ASCII.
 SPECIAL_LETTERS = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ı": "i", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H"}
-SPECIAL_PAIRS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH"}
+SPECIAL_PAIRS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+#: Signs of full width, and blanks of all kinds, and what they are in ASCII.
+WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+NARROW = "".join(map(chr, range(0x21, 0x7F))).ljust(len(WIDE))
 
 
 def _fold_table() -> tuple[str, str]:
@@ -22,7 +25,7 @@ def _fold_table() -> tuple[str, str]:
         if c not in SPECIAL_LETTERS and c not in SPECIAL_PAIRS and len(plain) == 1 and plain != c and plain.isalpha():
             source.append(c)
             target.append(plain)
-    return "".join([*source, *SPECIAL_LETTERS]), "".join([*target, *SPECIAL_LETTERS.values()])
+    return "".join([*source, *SPECIAL_LETTERS]) + WIDE, "".join([*target, *SPECIAL_LETTERS.values()]) + NARROW
 
 
 _FROM, _TO = _fold_table()

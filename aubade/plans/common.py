@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aubade.functions.text import AND_WORDS, CANONICAL_STEPS, DOUBLE_QUOTES, NUMBER_WORDS, SINGLE_QUOTES, composer_key
+from aubade.functions.text import AND_WORDS, CANONICAL_STEPS, DOUBLE_QUOTES, NUMBER_WORDS, SINGLE_QUOTES, NARROW, WIDE, composer_key
 from aubade.operators import ranking
 from aubade.operators.instants import MONTHS
 from aubade.operators.ranking import DAY_FORMS
@@ -33,9 +33,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_fold(x: str) -> str:
     """SQL of the fold to unaccented letters in lower case."""
-    for a, b in (("ł", "l"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("ħ", "h"), ("ı", "i"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
+    for a, b in (("ł", "l"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("ħ", "h"), ("ı", "i"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         x = f"replace({x}, '{a}', '{b}')"
-    return f"strip_accents({x})"
+    return f"strip_accents(translate({x}, '{WIDE}', '{NARROW.lower().replace(chr(39), chr(39) * 2)}'))"
 
 
 def sql_key(x: str) -> str:
