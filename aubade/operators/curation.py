@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aubade.functions.stations import broadcaster, country, flag, note, station
 from aubade.functions.text import catalogue_refs, opus_numbers, plain_key, significant_tokens, slug, work_numbers
 from aubade.operators import matching as M
 from aubade.operators import segments as S
@@ -16,11 +17,11 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n), F.lit(0), lambda best, i: F.when((i <= n) & (F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)), F.greatest(best, i)).otherwise(best))
 
 
-def decoded(labels: DataFrame, codes: DataFrame, variants: DataFrame) -> DataFrame:
-    """Labels with ``code, station, country``: variants folded, unknown codes OTHER (C29). ``codes``: ``code, station, country``; ``variants``: ``bad, good``."""
-    tidy = labels.withColumn("bad", F.upper(F.trim("record_label")))
-    folded = tidy.join(variants, "bad", "left").withColumn("code", F.coalesce("good", "bad")).drop("bad", "good")
-    return folded.join(codes.withColumn("known", F.lit(True)), "code", "left").withColumn("code", F.when(F.coalesce("code", F.lit("")) == "", "UNATTRIBUTED").when(F.col("known"), F.col("code")).otherwise("OTHER")).drop("known")
+def decoded(labels: DataFrame, private: bool = False) -> DataFrame:
+    """``record_label, code, station, country, flag, note`` of each distinct label."""
+    label = F.col("record_label")
+    where = country(label, private)
+    return labels.select("record_label").distinct().select("record_label", broadcaster(label, private).alias("code"), station(label).alias("station"), where.alias("country"), flag(label).alias("flag"), note(where).alias("note"))
 
 
 def by_performer(segments: DataFrame, phrase: str) -> DataFrame:
@@ -31,10 +32,10 @@ def by_performer(segments: DataFrame, phrase: str) -> DataFrame:
     return segments.join(pids, "recording_pid", "left_semi")
 
 
-def by_broadcaster(segments: DataFrame, phrase: str) -> DataFrame:
+def by_broadcaster(segments: DataFrame, phrase: str, private: bool = False) -> DataFrame:
     """Segments of broadcasters of whom any label holds the phrase."""
-    hit = segments.where(F.upper(F.col("record_label")).contains(phrase.upper())).select(S.broadcaster(F.col("record_label")).alias("brc")).distinct()
-    return segments.withColumn("brc", S.broadcaster(F.col("record_label"))).join(hit, "brc", "left_semi")
+    hit = segments.where(F.upper(F.col("record_label")).contains(phrase.upper())).select(broadcaster(F.col("record_label"), private).alias("brc")).distinct()
+    return segments.withColumn("brc", broadcaster(F.col("record_label"), private)).join(hit, "brc", "left_semi")
 
 
 def without_interstitials(segments: DataFrame, least_nights: int, longest_s: int = 60) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aubade.functions.stations import broadcaster, country, pinned_last
 from aubade.functions.text import plain_key, work_key
 
 #: Fixed value: the contributors of a segment row as JSON.
@@ -84,24 +85,17 @@ def alias_candidates(segments: DataFrame) -> DataFrame:
     return rows.groupBy("recording_pid").agg(F.countDistinct(F.struct("ck", "wk")).alias("works")).where("works > 1")
 
 
-def broadcaster(label: Column) -> Column:
-    """Key of a label: known code shape, else OTHER; nothing is UNATTRIBUTED."""
-    tidy = F.upper(F.trim(label))
-    return F.when(F.coalesce(tidy, F.lit("")) == "", "UNATTRIBUTED").when(tidy.rlike("^[A-Z]{5}$"), tidy).otherwise("OTHER")
-
-
-def broadcasters(segments: DataFrame) -> DataFrame:
-    """``brc, airings, recordings, share``: share of attributed airings in percent."""
-    rows = segments.groupBy(broadcaster(F.col("record_label")).alias("brc")).agg(F.count("*").alias("airings"), F.countDistinct("recording_pid").alias("recordings"))
+def broadcasters(segments: DataFrame, private: bool = False) -> DataFrame:
+    """``brc, tier, airings, recordings, share``: share of attributed airings in percent; ``tier`` puts OTHER and UNATTRIBUTED last."""
+    rows = segments.groupBy(broadcaster(F.col("record_label"), private).alias("brc")).agg(F.count("*").alias("airings"), F.countDistinct("recording_pid").alias("recordings"))
     total = rows.where("brc <> 'UNATTRIBUTED'").agg(F.sum("airings").alias("all"))
     share = F.when(F.col("brc") != "UNATTRIBUTED", F.round(100 * F.col("airings") / F.col("all"), 4))
-    return rows.crossJoin(total).select("brc", "airings", "recordings", share.alias("share"))
+    return rows.crossJoin(total).select("brc", pinned_last(F.col("brc")).alias("tier"), "airings", "recordings", share.alias("share"))
 
 
-def countries(segments: DataFrame) -> DataFrame:
-    """``country, airings, recordings`` by the first two letters of a label's code."""
-    code = broadcaster(F.col("record_label"))
-    return segments.groupBy(F.when(code.isin("OTHER", "UNATTRIBUTED"), code).otherwise(F.substring(code, 1, 2)).alias("country")).agg(F.count("*").alias("airings"), F.countDistinct("recording_pid").alias("recordings"))
+def countries(segments: DataFrame, private: bool = False) -> DataFrame:
+    """``country, airings, recordings`` by the country of a label's broadcaster."""
+    return segments.groupBy(country(F.col("record_label"), private).alias("country")).agg(F.count("*").alias("airings"), F.countDistinct("recording_pid").alias("recordings"))
 
 
 def duration_band(segments: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
@@ -143,19 +137,17 @@ def backfilled(segments: DataFrame) -> DataFrame:
     return segments.join(known, "ck", "left").withColumn("cid", F.coalesce("composer_mbid", "lo", F.when(F.col("ck") != "", F.concat(F.lit("name:"), "ck")))).drop("lo")
 
 
-def national_nights(segments: DataFrame, least: int = 10, share: float = 0.7) -> DataFrame:
+def national_nights(segments: DataFrame, least: int = 10, share: float = 0.7, private: bool = False) -> DataFrame:
     """``episode_pid, country, n, recognised``: nights of which one country holds most recognised segments."""
-    code = broadcaster(F.col("record_label"))
-    rows = segments.where(~code.isin("OTHER", "UNATTRIBUTED")).withColumn("country", F.substring(code, 1, 2))
+    rows = segments.withColumn("country", country(F.col("record_label"), private)).where(~F.col("country").isin("OTHER", "UNATTRIBUTED"))
     counts = rows.groupBy("episode_pid", "country").agg(F.count("*").alias("n"))
     totals = counts.groupBy("episode_pid").agg(F.sum("n").alias("recognised"), F.max_by("country", F.struct("n", "country")).alias("country"), F.max("n").alias("n"))
     return totals.where((F.col("recognised") >= least) & (F.col("n") >= share * F.col("recognised")))
 
 
-def night_signature(segments: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
+def night_signature(segments: DataFrame, least: int = 3, top: int = 5, private: bool = False) -> DataFrame:
     """``country, place, ck, lift``: composers over-represented in a country's segments, share over share."""
-    code = broadcaster(F.col("record_label"))
-    rows = segments.where("ck <> ''").where(~code.isin("OTHER", "UNATTRIBUTED")).select("ck", F.substring(code, 1, 2).alias("country"))
+    rows = segments.where("ck <> ''").select("ck", country(F.col("record_label"), private).alias("country")).where(~F.col("country").isin("OTHER", "UNATTRIBUTED"))
     pair = rows.groupBy("country", "ck").agg(F.count("*").alias("n"))
     by_country = pair.groupBy("country").agg(F.sum("n").alias("cn"))
     by_composer = pair.groupBy("ck").agg(F.sum("n").alias("kn"))

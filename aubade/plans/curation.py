@@ -11,7 +11,8 @@ from aubade.operators import curation as C
 from aubade.operators import instants
 from aubade.plans.common import AIR, SEG, air, segments, sql_fold
 from aubade.plans.matching import CREDIT_PARTS, SOLO_ROLES, match_bridged, sql_tokens
-from aubade.plans.segments import _BRC, _ROLES
+from aubade.functions import stations as B
+from aubade.plans.segments import _BRC, _LAND, _ROLES, _TIDY
 from aubade.sources import landed
 from aubade.sources.tables import load
 
@@ -23,7 +24,13 @@ def cur_performer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cur_broadcaster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a broadcaster."""
-    return C.by_broadcaster(segments(spark, sf_dir), "qxd").select("id", "brc")
+    return C.by_broadcaster(segments(spark, sf_dir), "qxd", private=True).select("id", "brc")
+
+
+def cur_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels with their station, country and flag, those of a station with a code of the list added to the archive's."""
+    known = spark.createDataFrame([(c,) for c in ("plpr ", "BERTF", "USWFMT", "QQQQQ", "CHEUR", "RSRTV", "Some label", "", None)], "record_label string")
+    return C.decoded(segments(spark, sf_dir).select("record_label").unionByName(known), private=True)
 
 
 def cur_interstitials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +121,7 @@ def landed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.outcomes(load(spark, sf_dir, "episodes"))
 
 
-_NAMED = (cur_performer, cur_broadcaster, cur_interstitials, cur_resolve, cur_work_index, cur_one_offs, cur_rare_tokens, cur_families, cur_sets, cur_exclusivity, cur_relaxed, cur_proposals, cur_cross_era, cur_name_sets, cur_ensembles, landed_seed, landed_walk, landed_gaps, landed_outcomes)
+_NAMED = (cur_performer, cur_broadcaster, cur_labels, cur_interstitials, cur_resolve, cur_work_index, cur_one_offs, cur_rare_tokens, cur_families, cur_sets, cur_exclusivity, cur_relaxed, cur_proposals, cur_cross_era, cur_name_sets, cur_ensembles, landed_seed, landed_walk, landed_gaps, landed_outcomes)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMED}
 
 _TITLES = "ti AS (SELECT ck, wk, min(title) AS title FROM air WHERE ck <> '' AND wk <> '' AND title IS NOT NULL GROUP BY ALL)"
@@ -128,6 +135,10 @@ SELECT pid, count(DISTINCT CASE WHEN c THEN nk END) AS conductors, count(DISTINC
     "cur_performer": f"""WITH {SEG}, {_ROLES}, h AS (SELECT DISTINCT identity FROM ident WHERE nk LIKE '%ribukorin%')
 SELECT id, recording_pid FROM seg WHERE recording_pid IN (SELECT recording_pid FROM ident WHERE identity IN (SELECT identity FROM h) AND recording_pid IS NOT NULL)""",
     "cur_broadcaster": f"WITH {SEG}, b AS (SELECT *, {_BRC} AS brc FROM seg) SELECT id, brc FROM b WHERE brc IN (SELECT brc FROM b WHERE upper(record_label) LIKE '%QXD%')",
+    "cur_labels": f"""WITH {SEG}, l AS (SELECT DISTINCT record_label FROM (SELECT record_label FROM seg UNION ALL SELECT unnest(['plpr ', 'BERTF', 'USWFMT', 'QQQQQ', 'CHEUR', 'RSRTV', 'Some label', '', NULL])))
+SELECT record_label, {_BRC} AS code, coalesce(map([{", ".join(f"'{c}'" for c in B.CODES)}], [{", ".join("'" + B.SHOWN.get(c, n).replace("'", "''") + "'" for c, (n, _, _) in B.CODES.items())}])[{_TIDY}], record_label) AS station, {_LAND} AS country,
+ coalesce(map([{", ".join(f"'{c}'" for c in B.CODES)}], [{", ".join("'" + ("" if cc in B.NO_FLAG or n in B.NO_FLAG_NAMES else "".join(chr(0x1F1E6 + ord(x) - 65) for x in cc)) + "'" for _, cc, n in B.CODES.values())}])[{_TIDY}], '') AS flag,
+ CASE {_LAND} WHEN '(multilateral)' THEN '{B.NOTES["(multilateral)"]}' ELSE '' END AS note FROM l""",
     "cur_interstitials": f"""WITH {SEG}, o AS (SELECT recording_pid FROM seg WHERE recording_pid IS NOT NULL GROUP BY 1 HAVING count(DISTINCT episode_pid) >= 3 AND max(duration_seconds) <= 600)
 SELECT count(*) AS n FROM seg WHERE recording_pid IS NULL OR recording_pid NOT IN (SELECT recording_pid FROM o)""",
     "cur_work_index": f"WITH {AIR} SELECT ck, wk, count(*) AS airings, count(DISTINCT title) AS spellings FROM air WHERE ck <> '' AND wk <> '' GROUP BY ALL",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aubade.functions import stations as B
 from aubade.operators import segments as S
 from aubade.plans.common import SEG, SEG_WORK, segments, sql_key
 
@@ -68,12 +69,12 @@ def seg_alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seg_broadcasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broadcasters with shares."""
-    return S.broadcasters(segments(spark, sf_dir))
+    return S.broadcasters(segments(spark, sf_dir), private=True)
 
 
 def seg_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries."""
-    return S.countries(segments(spark, sf_dir))
+    return S.countries(segments(spark, sf_dir), private=True)
 
 
 def seg_duration_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +109,12 @@ def seg_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seg_national_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nights of one country, at a low share for these data."""
-    return S.national_nights(segments(spark, sf_dir), 3, 0.3)
+    return S.national_nights(segments(spark, sf_dir), 3, 0.3, private=True)
 
 
 def seg_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composers each country stands out by."""
-    return S.night_signature(segments(spark, sf_dir))
+    return S.night_signature(segments(spark, sf_dir), private=True)
 
 
 def seg_collaborators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,9 @@ named AS (SELECT id, recording_pid, episode_pid, json_extract_string(c, '$.name'
 roles AS (SELECT *, {sql_key('name')} AS nk FROM named WHERE name IS NOT NULL),
 maps AS (SELECT nk, min(mbid) AS only_mbid FROM roles WHERE mbid IS NOT NULL AND nk <> '' GROUP BY nk HAVING min(mbid) = max(mbid)),
 ident AS (SELECT roles.*, coalesce(mbid, only_mbid, concat('name:', nk)) AS identity FROM roles LEFT JOIN maps USING (nk) WHERE nk <> '')"""
-_BRC = "CASE WHEN coalesce(upper(trim(record_label)), '') = '' THEN 'UNATTRIBUTED' WHEN regexp_matches(upper(trim(record_label)), '^[A-Z]{5}$') THEN upper(trim(record_label)) ELSE 'OTHER' END"
+_TIDY = "coalesce(map([" + ", ".join(f"'{c}'" for c in B.VARIANTS) + "], [" + ", ".join(f"'{c}'" for c in B.VARIANTS.values()) + "])[upper(trim(record_label))], upper(trim(record_label)))"
+_BRC = f"CASE WHEN coalesce(trim(record_label), '') = '' THEN 'UNATTRIBUTED' WHEN {_TIDY} IN ({', '.join(repr(c) for c in B.CODES)}) OR regexp_matches({_TIDY}, '{B.PRIVATE}') THEN {_TIDY} ELSE 'OTHER' END"
+_LAND = "coalesce(map([" + ", ".join(f"'{c}'" for c in B.CODES) + "], [" + ", ".join(f"'{n}'" for _, _, n in B.CODES.values()) + f"])[{_BRC}], CASE WHEN {_BRC} IN ('OTHER', 'UNATTRIBUTED') THEN {_BRC} ELSE substr({_BRC}, 1, 2) END)"
 _RANK = """u AS (SELECT DISTINCT recording_pid, identity FROM ident WHERE recording_pid IS NOT NULL {and_role}), c AS (SELECT recording_pid, count(*) AS n FROM seg WHERE recording_pid IS NOT NULL GROUP BY 1)
 SELECT identity, CAST(sum(n) AS BIGINT) AS airings, count(*) AS recordings FROM u JOIN c USING (recording_pid) GROUP BY identity"""
 _MED = """sizes AS (SELECT ck, wk, duration_seconds, count(*) AS n FROM segw WHERE ck <> '' AND wk <> '' AND duration_seconds >= 10 GROUP BY ALL),
@@ -160,8 +163,8 @@ SELECT recording_pid, record_label AS label FROM (SELECT *, row_number() OVER (P
     "seg_works": f"""WITH {SEG}, {SEG_WORK} SELECT ck, wk, count(*) AS airings, count(DISTINCT recording_pid) AS recordings, coalesce(max(duration_seconds) >= 2 * min(duration_seconds), false) AS excerpt FROM segw WHERE ck <> '' AND wk <> '' GROUP BY ck, wk""",
     "seg_alias_candidates": f"""WITH {SEG}, {SEG_WORK} SELECT recording_pid, count(DISTINCT concat(ck, '|', wk)) AS works FROM segw WHERE recording_pid IS NOT NULL AND ck <> '' AND wk <> '' GROUP BY 1 HAVING count(DISTINCT concat(ck, '|', wk)) > 1""",
     "seg_broadcasters": f"""WITH {SEG}, b AS (SELECT {_BRC} AS brc, count(*) AS airings, count(DISTINCT recording_pid) AS recordings FROM seg GROUP BY 1)
-SELECT brc, airings, recordings, CASE WHEN brc <> 'UNATTRIBUTED' THEN round(100 * airings / (SELECT sum(airings) FROM b WHERE brc <> 'UNATTRIBUTED'), 4) END AS share FROM b""",
-    "seg_countries": f"""WITH {SEG}, b AS (SELECT *, {_BRC} AS brc FROM seg) SELECT CASE WHEN brc IN ('OTHER', 'UNATTRIBUTED') THEN brc ELSE substr(brc, 1, 2) END AS country, count(*) AS airings, count(DISTINCT recording_pid) AS recordings FROM b GROUP BY 1""",
+SELECT brc, CAST(CASE brc WHEN 'UNATTRIBUTED' THEN 2 WHEN 'OTHER' THEN 1 ELSE 0 END AS INTEGER) AS tier, airings, recordings, CASE WHEN brc <> 'UNATTRIBUTED' THEN round(100 * airings / (SELECT sum(airings) FROM b WHERE brc <> 'UNATTRIBUTED'), 4) END AS share FROM b""",
+    "seg_countries": f"""WITH {SEG}, b AS (SELECT *, {_LAND} AS country FROM seg) SELECT country, count(*) AS airings, count(DISTINCT recording_pid) AS recordings FROM b GROUP BY 1""",
     "seg_duration_band": f"WITH {SEG} SELECT id, duration_seconds FROM seg WHERE duration_seconds BETWEEN 300 AND 600",
     "seg_medians": f"WITH {SEG}, {SEG_WORK}, {_MED} SELECT * FROM med",
     "seg_length_classes": f"WITH {SEG}, {SEG_WORK}, {_MED} SELECT CASE WHEN median_s < 600 THEN 'short' WHEN median_s < 1800 THEN 'medium' ELSE 'long' END AS class, count(*) AS works FROM med GROUP BY 1",
@@ -169,10 +172,10 @@ SELECT brc, airings, recordings, CASE WHEN brc <> 'UNATTRIBUTED' THEN round(100
     "seg_ambiguous": f"WITH {SEG} SELECT ck, count(DISTINCT composer_mbid) AS ids FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY 1 HAVING count(DISTINCT composer_mbid) > 1",
     "seg_backfill": f"""WITH {SEG}, k AS (SELECT ck, min(composer_mbid) AS lo FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY ck HAVING min(composer_mbid) = max(composer_mbid))
 SELECT CASE WHEN composer_mbid IS NOT NULL THEN composer_mbid WHEN lo IS NOT NULL THEN lo WHEN seg.ck IS NOT NULL THEN concat('name:', seg.ck) END AS cid, count(*) AS n FROM seg LEFT JOIN k USING (ck) GROUP BY 1""",
-    "seg_national_nights": f"""WITH {SEG}, b AS (SELECT episode_pid, substr({_BRC}, 1, 2) AS country, count(*) AS n FROM seg WHERE {_BRC} NOT IN ('OTHER', 'UNATTRIBUTED') GROUP BY ALL),
+    "seg_national_nights": f"""WITH {SEG}, b AS (SELECT episode_pid, {_LAND} AS country, count(*) AS n FROM seg WHERE {_BRC} NOT IN ('OTHER', 'UNATTRIBUTED') GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY episode_pid) AS recognised, row_number() OVER (PARTITION BY episode_pid ORDER BY n DESC, country DESC) AS k FROM b)
 SELECT episode_pid, country, n, CAST(recognised AS BIGINT) AS recognised FROM r WHERE k = 1 AND recognised >= 3 AND n >= 0.3 * recognised""",
-    "seg_signature": f"""WITH {SEG}, p AS (SELECT substr({_BRC}, 1, 2) AS country, ck, count(*) AS n FROM seg WHERE ck <> '' AND {_BRC} NOT IN ('OTHER', 'UNATTRIBUTED') GROUP BY ALL),
+    "seg_signature": f"""WITH {SEG}, p AS (SELECT {_LAND} AS country, ck, count(*) AS n FROM seg WHERE ck <> '' AND {_BRC} NOT IN ('OTHER', 'UNATTRIBUTED') GROUP BY ALL),
 l AS (SELECT country, ck, n, round((n / sum(n) OVER (PARTITION BY country)) / (sum(n) OVER (PARTITION BY ck) / sum(n) OVER ()), 6) AS lift FROM p)
 SELECT country, ck, lift, place FROM (SELECT country, ck, lift, row_number() OVER (PARTITION BY country ORDER BY lift DESC, ck) AS place FROM l WHERE n >= 3) WHERE place <= 5""",
     "seg_collaborators": f"""WITH {SEG}, {_ROLES}, u AS (SELECT DISTINCT id, recording_pid, identity FROM ident WHERE recording_pid IS NOT NULL),
