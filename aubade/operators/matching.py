@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aubade.functions.text import candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_key, work_numbers
+from aubade.functions.text import ascii_fold, candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_key, work_numbers
 from aubade.operators.segments import contributions, name_maps, role_rows
+from aubade.session import pinned
 
 #: Weights and costs of the alignment.
 TOLERANCE_S, W_TIME, W_CONTENT, GAP = 90.0, 0.6, 0.4, 0.85
@@ -31,12 +32,17 @@ def pair_cost(t_s: float | None, s_s: float | None, same_surname: bool, title_sh
 
 
 def tier_of(cost: float, same_surname: bool, timed: bool) -> str:
-    """Confidence of a pair."""
+    """Confidence of a pair (I3); ``timed``: both have times, no further apart than three tolerances."""
     if same_surname:
         return "high" if cost < 0.6 else "low"
     return "medium" if cost < 0.7 and timed or cost < 0.6 else "low"
 
 
+def title_words(title: Column) -> Column:
+    """All distinct words of a title, folded; none for a missing one."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(ascii_fold(F.coalesce(title, F.lit("")))), F.lit("([a-z0-9]+)"), F.lit(1)))
+
+
 class _Costs:
     """pair_cost of stretches of tracks and segments; a pair's words meet through an index of the segments' words."""
 
@@ -71,7 +77,7 @@ class _Costs:
         t_s, s_s, same, union = self.t_s[i], self.s_s[j], bool(self.t_sur[i] == self.s_sur[j]), len(self.t_words[i] | self.s_words[j])
         timed = t_s == t_s and s_s == s_s
         cost = float(pair_cost(*((t_s, s_s) if timed else (None, None)), same, len(self.t_words[i] & self.s_words[j]) / union if union else 1.0))
-        return cost, tier_of(cost, same, bool(timed and abs(t_s - s_s) <= TOLERANCE_S))
+        return cost, tier_of(cost, same, bool(timed and abs(t_s - s_s) <= 3 * TOLERANCE_S))
 
 
 def _tile(cost: np.ndarray, top: np.ndarray, left: np.ndarray, steps: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +147,22 @@ def aligned(air: DataFrame, offsets: DataFrame, segments: DataFrame) -> DataFram
 
     A night is aligned whole in one task, whatever its length; its time grows with tracks x segments.
     """
-    tracks = air.join(offsets, "id", "left").select(F.col("pid").alias("episode_pid"), F.col("id").alias("rid"), "position", "offset_s", surname(F.col("composer")).alias("sur"), significant_tokens(F.coalesce("title", F.lit(""))).alias("words"))
-    segs = segments.select("episode_pid", F.col("id").alias("rid"), F.coalesce("position", "version_offset").alias("position"), F.col("version_offset").alias("offset_s"), surname(F.col("composer_name")).alias("sur"), significant_tokens(F.coalesce("track_title", F.lit(""))).alias("words"))
+    tracks = air.join(offsets, "id", "left").select(F.col("pid").alias("episode_pid"), F.col("id").alias("rid"), "position", "offset_s", surname(F.col("composer")).alias("sur"), title_words(F.col("title")).alias("words"))
+    place = F.coalesce("position", "version_offset", F.lit(0))
+    # Both sides count from their own beginning: segments from the first in order that has an offset.
+    begun = segments.where("version_offset is not null").groupBy("episode_pid").agg(F.min(F.struct(place.alias("p"), "id", "version_offset")).alias("b")).select("episode_pid", F.col("b.version_offset").alias("begun_s"))
+    segs = segments.join(begun, "episode_pid", "left").select("episode_pid", F.col("id").alias("rid"), place.alias("position"), (F.col("version_offset") - F.col("begun_s")).alias("offset_s"), surname(F.col("composer_name")).alias("sur"), title_words(F.col("track_title")).alias("words"))
     return tracks.groupBy("episode_pid").cogroup(segs.groupBy("episode_pid")).applyInPandas(_align, MATCH_SCHEMA)
 
 
+def reconciled(matches: DataFrame, air: DataFrame, segments: DataFrame) -> DataFrame:
+    """``episode_pid, track_id, segment_id, recording_pid, composer_mbid, tier``: one row a track of the nights that have both sides, 'unmatched' where it has no pair."""
+    sides = segments.select(F.col("episode_pid").alias("pid")).distinct()
+    tracks = air.join(sides, "pid", "left_semi").select(F.col("pid").alias("episode_pid"), F.col("id").alias("track_id"))
+    pairs = matches.select("track_id", "segment_id", "tier").join(segments.select(F.col("id").alias("segment_id"), "recording_pid", "composer_mbid"), "segment_id")
+    return tracks.join(pairs, "track_id", "left").select("episode_pid", "track_id", "segment_id", "recording_pid", "composer_mbid", F.coalesce("tier", F.lit("unmatched")).alias("tier"))
+
+
 def projection(matches: DataFrame, segments: DataFrame, tiers: tuple[str, ...] = ("high",)) -> DataFrame:
     """``track_id, recording_pid`` of trusted pairs (I4); pass both tiers for what may be shown."""
     return matches.where(F.col("tier").isin(*tiers)).join(segments.select(F.col("id").alias("segment_id"), "recording_pid"), "segment_id").where("recording_pid is not null").select("track_id", "recording_pid")
@@ -278,7 +295,11 @@ def bridged(air: DataFrame, segments: DataFrame, lengths: DataFrame) -> DataFram
     people = people.where("nk <> '' and nk <> ck").join(known, "nk", "left").withColumn("identity", identity)
     role = F.col("role")
     signed = people.groupBy("recording_pid", "ck", "wk").agg(of(role.rlike("conductor")).alias("pc"), of(role.rlike(f"performer|singer|{_SOLO}")).alias("ps"), of(role.rlike("orchestra|ensemble|choir")).alias("pe"), F.max("duration_seconds").alias("pid_s"))
-    pairs = texts.join(signed, ["ck", "wk"])
+    # Sides meet in a name of one kind that they share, as a link needs one; not all recordings of a work with all of its airings.
+    listed = lambda **kinds: F.explode(F.concat(*(F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("identity"))) for k, c in kinds.items()))).alias("m")
+    left, right = pinned(texts), pinned(signed)
+    meets = left.select(*keys, listed(c="tc", s="ts", e="te")).join(right.select("recording_pid", "ck", "wk", listed(c="pc", s="ps", e="pe")), ["ck", "wk", "m"]).select(*keys, "recording_pid").distinct()
+    pairs = meets.join(left, keys).join(right, ["recording_pid", "ck", "wk"])
     ids = lambda c: F.filter(c, lambda x: ~x.startswith("name:"))
     meet = lambda x, y: F.arrays_overlap(ids(x), ids(y))
     veto = lambda x, y: (F.size(ids(x)) > 0) & (F.size(ids(y)) > 0) & ~meet(x, y)

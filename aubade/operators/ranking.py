@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aubade.functions.text import ascii_fold, composer_key, life_years, plain_key, work_key
+from aubade.functions.text import ascii_fold, canonical_key, composer_key, life_years, plain_key, work_key
+from aubade.operators.graph import with_alias
 from aubade.operators.instants import HOME, MONTHS
+from aubade.session import pinned
 
 #: Upper ends of the airing-count buckets.
 BUCKETS = ((1, "1"), (5, "2-5"), (10, "6-10"), (50, "11-50"), (100, "51-100"))
@@ -87,6 +89,80 @@ def rank_conductors(air: DataFrame) -> DataFrame:
     return rows.groupBy("nk").agg(F.count("*").alias("airings"), F.countDistinct("ck", "wk").alias("works"))
 
 
+#: Cities that follow an ensemble's name after a comma.
+CITIES = "Cologne|Köln|Berlin|Dresden|Munich|München|Hamburg|Frankfurt|Stuttgart|Leipzig|Vienna|Wien|Salzburg|Katowice|Warsaw|Krakow|Kraków|Budapest|Prague|Bratislava|Ljubljana|Zagreb|Paris|Madrid|Rome|Milan|Helsinki|Stockholm|Oslo|Copenhagen|Bergen|London|Manchester|Toronto|Vancouver|Montreal|Saarbrücken Kaiserslautern"
+_ROLE = r"^(.*?)\s*\(([^)]+)\)\s*\.?\s*$"
+
+
+def performer_parts(performers: Column, cities: str = CITIES) -> Column:
+    """The parts of a performers text between commas; a bare city goes to the bare part before it."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(performers, r"[. ]+$", ""), ","), lambda p: F.trim(p)), lambda p: p != "")
+    known = F.array(*(F.lower(ascii_fold(F.lit(c))) for c in cities.split("|")))
+    city = lambda p: F.array_contains(known, F.lower(ascii_fold(p)))
+    none = F.array().cast("array<string>")
+    joins = lambda acc, p: (F.size(acc) > 0) & ~p.contains("(") & ~F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("(")).contains("(") & city(p)
+    return F.aggregate(parts, none, lambda acc, p: F.when(joins(acc, p), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(", "), p)))).otherwise(F.concat(acc, F.array(p))))
+
+
+def performer_names(air: DataFrame, axis: str) -> DataFrame:
+    """``id, pid, bdate, ck, wk, name, nk``: one row a credited ensemble (bare parts) or conductor (by role); none is counted once only."""
+    parts = air.where("performers <> ''").select("id", "pid", "bdate", "ck", "wk", F.explode(performer_parts(F.col("performers"))).alias("part"))
+    if axis == "ensemble":
+        named = parts.where(~F.col("part").rlike(_ROLE)).withColumn("name", F.col("part"))
+    else:
+        named = parts.where(F.lower(F.regexp_extract("part", _ROLE, 2)).rlike("conductor|director")).withColumn("name", F.trim(F.regexp_extract("part", _ROLE, 1)))
+    return named.withColumn("nk", canonical_key(F.col("name"))).where("nk <> ''").drop("part")
+
+
+def rank_ensembles(air: DataFrame, axis: str = "ensemble", aliases: DataFrame | None = None) -> DataFrame:
+    """``nk, airings, works, first_id, display`` of ensembles, or of conductors by the same parts (F1)."""
+    rows = performer_names(air, axis)
+    if aliases is not None:
+        rows = with_alias(rows, "nk", aliases)
+    totals = rows.groupBy("nk").agg(F.count("*").alias("airings"), F.countDistinct("ck", "wk").alias("works"), F.min("id").alias("first_id"))
+    return totals.join(best_spelling(rows, ["nk"], "name"), "nk", "left")
+
+
+def ensemble_identity(air: DataFrame, phrase: str, axis: str = "ensemble") -> DataFrame:
+    """All tracks that credit an ensemble, or a conductor, of whom any spelling matches."""
+    rows = performer_names(air, axis)
+    hit = rows.where(F.lower(ascii_fold(F.col("name"))).contains(phrase.lower())).select("nk").distinct()
+    return air.join(rows.join(hit, "nk", "left_semi").select("id").distinct(), "id", "left_semi")
+
+
+def work_identity(air: DataFrame, composer: str, title_key: str) -> DataFrame:
+    """All airings of one work."""
+    return air.where((F.col("ck") == composer) & (F.col("wk") == title_key))
+
+
+def composer_contains(rows: DataFrame, phrase: str, column: str = "composer_name") -> DataFrame:
+    """Rows whose composer holds a folded phrase, without any expansion to its other spellings."""
+    return rows.where(F.lower(ascii_fold(F.col(column))).contains(phrase.lower()))
+
+
+def ordered(ranked: DataFrame, regime: str = "airings", top: int | None = None) -> DataFrame:
+    """A ranking numbered by one of its three orders (H1): airings, ties by the first track; works, then airings and display; a band's count, then display."""
+    shown = F.lower("display")
+    orders = {"airings": (F.col("airings").desc(), F.col("first_id")), "works": (F.col("works").desc(), F.col("airings").desc(), shown, F.col("first_id")), "band": (F.col("airings").desc(), shown, F.col("first_id"))}
+    return numbered(ranked, *orders[regime], top=top)
+
+
+def displayed(ranked: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """A ranking with ``display`` replaced where a curator's ``key, label`` table has one."""
+    table = labels.select(F.col("key").alias(key), "label")
+    return ranked.join(table, key, "left").withColumn("display", F.coalesce("label", "display")).drop("label")
+
+
+def summary_tops(air: DataFrame, n: int = 10) -> DataFrame:
+    """``list, place, ck, wk, n``: composers by airings, composers by works, and works by airings of rows with a composer and a title."""
+    works = air.where("ck <> '' and wk <> ''").groupBy("ck", "wk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    composers = works.groupBy("ck").agg(F.sum("n").alias("airings"), F.count("*").alias("works"), F.min("first_id").alias("first_id"))
+    rows = works.select(F.lit("works").alias("list"), "ck", "wk", "n", "first_id")
+    for name, column in (("composers", "airings"), ("composers_by_works", "works")):
+        rows = rows.unionByName(composers.select(F.lit(name).alias("list"), "ck", F.lit("").alias("wk"), F.col(column).alias("n"), "first_id"))
+    return top_per_group(rows, ["list"], n, F.col("n").desc(), F.col("first_id")).select("list", "place", "ck", "wk", "n")
+
+
 def with_band(ranked: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
     """Keep rows whose airings lie in a band."""
     out = ranked if least is None else ranked.where(F.col("airings") >= least)
@@ -94,11 +170,17 @@ def with_band(ranked: DataFrame, least: int | None = None, most: int | None = No
 
 
 def numbered(ranked: DataFrame, *order: Column, top: int | None = None) -> DataFrame:
-    """Rank numbers by an order; ``top`` rows only by a top-k that never sorts the rest (G1, H3)."""
+    """Rank numbers by an order; ``top`` rows only by a top-k that never sorts the rest (G1, H3).
+
+    A whole report is range-partitioned by the order; numbers are offsets of partitions plus places within them.
+    """
     if top is not None:
-        ranked = ranked.orderBy(*order).limit(top)
-    # Without a top, numbering a whole report needs one order over all of its rows.
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+        return ranked.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    laid = pinned(ranked.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"rank_part": F.spark_partition_id(), "rank_place": F.monotonically_increasing_id()}))
+    sizes = laid.groupBy("rank_part").agg(F.count("*").alias("n"), F.min("rank_place").alias("first"))  # one row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("rank_part", (before - F.col("first")).alias("offset"))
+    return laid.join(F.broadcast(offsets), "rank_part").withColumn("rank", F.col("rank_place") + F.col("offset") + 1).drop("rank_part", "rank_place", "offset")
 
 
 def with_tail(ranked: DataFrame, top: int, *order: Column) -> DataFrame:
@@ -138,7 +220,8 @@ def bucket_of(count: Column) -> Column:
 
 
 def summary(air: DataFrame) -> DataFrame:
-    """One row of totals: distincts, mean and upper median of tracks a night."""
+    """One row of totals of rows with a composer and a title: distincts, mean and upper median of tracks a night."""
+    air = air.where("composer <> '' and title <> ''")
     totals = air.agg(F.count("*").alias("airings"), F.countDistinct("pid").alias("nights"), F.countDistinct(F.when(F.col("ck") != "", F.col("ck"))).alias("composers"), F.countDistinct(F.when((F.col("wk") != "") & (F.col("ck") != ""), F.struct("ck", "wk"))).alias("works"))
     sizes = air.groupBy("pid").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("nights"))
     # Upper median on the histogram of sizes, which is short whatever the number of nights.
@@ -170,18 +253,22 @@ def title_matches(air: DataFrame, phrase: str) -> DataFrame:
     return air.where(F.concat(F.lit(" "), plain_key(F.col("title")), F.lit(" ")).contains(" " + " ".join(key.lower().split()) + " "))
 
 
-#: Forms and the title words that name them.
+#: Forms and the title words that name them, folded.
 FORMS = {
-    "barcarolle": "barcarolles?", "ballade": "ballades?", "capriccio": "capriccios?|caprice", "concerto": "concertos?|concerti|konzert", "divertimento": "divertimentos?|divertimenti", "elegy": "elegie|elegy", "etude": "etudes?|study|studies", "fantasia": "fantasias?|fantasy|fantasie",
-    "impromptu": "impromptus?", "lied": "lied|lieder|songs?", "mass": "mass|missa", "mazurka": "mazurkas?", "motet": "motets?", "nocturne": "nocturnes?", "overture": "overtures?|ouverture", "partita": "partitas?", "prelude": "preludes?", "quartet": "quartets?|quartett",
-    "reverie": "reveries?", "rhapsody": "rhapsody|rhapsodies", "romance": "romances?", "scherzo": "scherzos?|scherzi", "serenade": "serenades?|serenata", "sonata": "sonatas?", "suite": "suites?", "symphony": "symphony|symphonies|sinfonia", "toccata": "toccatas?", "trio": "trios?",
+    "ballade": "ballade ballades", "barcarolle": "barcarolle barcarolles", "capriccio": "capriccio capriccios caprice", "cassation": "cassation", "concertino": "concertino", "concerto": "concerto concertos concerti konzert", "dance": "dance dances",
+    "divertimento": "divertimento divertimentos divertimenti", "elegy": "elegie elegy", "etude": "etude etudes study studies", "fantasia": "fantasia fantasias fantasie fantasy", "fugue": "fugue", "impromptu": "impromptu impromptus", "intermezzo": "intermezzo",
+    "lied": "lied lieder song songs", "march": "march marche", "mass": "mass missa", "mazurka": "mazurka mazurkas", "motet": "motet motets", "nocturne": "nocturne nocturnes notturno", "nonet": "nonet", "octet": "octet", "overture": "overture overtures ouverture",
+    "partita": "partita partitas", "polonaise": "polonaise", "prelude": "prelude preludes", "quartet": "quartet quartets quartett", "quintet": "quintet", "reverie": "reverie reveries", "rhapsody": "rhapsody rhapsodies", "romance": "romance romances", "rondo": "rondo rondeau",
+    "scherzo": "scherzo scherzos scherzi", "septet": "septet", "serenade": "serenade serenades serenata", "sextet": "sextet", "sinfonia": "sinfonia", "sinfonietta": "sinfonietta", "sonata": "sonata sonatas", "sonatina": "sonatina", "suite": "suite suites",
+    "symphony": "symphony symphonies symphonie", "toccata": "toccata toccatas", "trio": "trio trios", "variations": "variations", "waltz": "waltz valse",
 }
 
 
 def form_matches(text: Column) -> Column:
-    """The forms named in a title, in order of name."""
-    folded = F.lower(ascii_fold(text))
-    return F.filter(F.array(*(F.when(folded.rlike(rf"\b(?:{words})\b"), F.lit(form)) for form, words in sorted(FORMS.items()))), lambda x: x.isNotNull())
+    """The forms named in a title, in order of name: its words looked up in one table."""
+    named = F.create_map(*(F.lit(x) for form, words in FORMS.items() for word in words.split() for x in (word, form)))
+    words = F.split(F.lower(ascii_fold(text)), "[^a-z0-9_]+")
+    return F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(named, w)), lambda x: x.isNotNull())))
 
 
 def forms(air: DataFrame) -> DataFrame:

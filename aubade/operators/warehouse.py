@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aubade.functions.text import slug
 from aubade.operators import ranking as R
 from aubade.operators import segments as S
+from aubade.session import pinned
+
+
+def _free_number(place: Column, taken: Column) -> Column:
+    """The number of a place (2 for the second) among the numbers not taken; ``taken`` is sorted."""
+    return F.aggregate(taken, place, lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+
+
+def _suffixes(slugs: DataFrame) -> DataFrame:
+    """``slug_base, taken``: the numbers that slugs of a base, or names that end like one, already have."""
+    parts = slugs.select(F.regexp_extract("slug", r"^(.+)-(\d{1,9})$", 1).alias("slug_base"), F.regexp_extract("slug", r"^(.+)-(\d{1,9})$", 2).try_cast("int").alias("n"))
+    return parts.where("slug_base <> '' and n >= 2").groupBy("slug_base").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+
+
+def _minted(rows: DataFrame, key: list[str], held: DataFrame) -> DataFrame:
+    """Rows with a ``slug`` of their own: their ``slug_base``, or the next free number after it; ``held``: slugs that are taken."""
+    rows = pinned(rows)  # read for its bases and for itself
+    natural = rows.select(F.col("slug_base").alias("slug")).distinct()
+    taken = _suffixes(natural.unionByName(held.select("slug")).distinct())
+    here = held.select(F.col("slug").alias("slug_base")).distinct().withColumn("base_held", F.lit(1))
+    joined = rows.join(taken, "slug_base", "left").join(here, "slug_base", "left")
+    place = F.row_number().over(Window.partitionBy("slug_base").orderBy(*key)) + F.coalesce("base_held", F.lit(0))
+    numbered = joined.withColumn("slug_place", place)
+    number = _free_number(F.col("slug_place"), F.coalesce("taken", F.array().cast("array<int>")))
+    slugged = numbered.withColumn("slug", F.when(F.col("slug_place") == 1, F.col("slug_base")).otherwise(F.concat_ws("-", "slug_base", number.cast("string"))))
+    return slugged.drop("slug_base", "taken", "base_held", "slug_place")
 
 
 def with_slugs(rows: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """Rows with a unique ``slug``: equal bases get -2, -3 in order of the key."""
-    based = rows.withColumn("slug_base", slug(F.col(text)))
-    place = F.row_number().over(Window.partitionBy("slug_base").orderBy(*key))
-    return based.withColumn("slug", F.when(place == 1, F.col("slug_base")).otherwise(F.concat_ws("-", "slug_base", place.cast("string")))).drop("slug_base")
+    """Rows with a unique ``slug``: equal bases get -2, -3 in order of the key, past numbers that other bases end with."""
+    return _minted(rows.withColumn("slug_base", slug(F.col(text))), key, rows.sparkSession.createDataFrame([], "slug string"))
 
 
 def work_rows(air: DataFrame, segments: DataFrame) -> DataFrame:
@@ -73,23 +99,53 @@ def closure(tables: dict[str, DataFrame], references: list[tuple[str, str, str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def publish(tables: dict[str, DataFrame], path: str, references: list[tuple[str, str, str, str]]) -> None:
-    """Write all tables to a staging folder, check closure there, then put each in place; dangling references stop it."""
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's columns and rows, whatever their order."""
+    row = df.select(F.xxhash64(*(F.to_json(F.struct(c)) for c in df.columns)).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+    return hashlib.sha256(repr((sorted(df.dtypes), row["n"], str(row["s"]), row["x"])).encode()).hexdigest()
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.Path, hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(tables: dict[str, DataFrame], path: str, references: list[tuple[str, str, str, str]]) -> dict[str, str]:
+    """Write all tables to a staging folder, check closure there, then put each in place; dangling references stop it.
+
+    Returns the tables' fingerprints. The tables before stay in ``_previous`` until all new ones are in place, and go
+    back if a run ended in between.
+    """
     spark: SparkSession = next(iter(tables.values())).sparkSession
+    at, files = _files(spark, path)
+    restore(spark, path)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/_staging/{name}")
     staged = {name: spark.read.parquet(f"{path}/_staging/{name}") for name in tables}
     broken = closure(staged, references).where("dangling > 0").limit(20).collect() if references else []
     if broken:
         raise ValueError(f"dangling references: {[(r['reference'], r['dangling']) for r in broken]}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = hadoop.Path(path)
-    files = root.getFileSystem(conf)
+    prints = {name: fingerprint(df) for name, df in staged.items()}
+    files.mkdirs(at(f"{path}/_previous"))
+    for name in tables:
+        if files.exists(at(f"{path}/{name}")):
+            files.rename(at(f"{path}/{name}"), at(f"{path}/_previous/{name}"))
     for name in tables:
-        files.delete(hadoop.Path(f"{path}/{name}"), True)
-        files.rename(hadoop.Path(f"{path}/_staging/{name}"), hadoop.Path(f"{path}/{name}"))
-    files.delete(hadoop.Path(f"{path}/_staging"), True)
+        files.rename(at(f"{path}/_staging/{name}"), at(f"{path}/{name}"))
+    files.delete(at(f"{path}/_previous"), True)
+    files.delete(at(f"{path}/_staging"), True)
+    return prints
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Put the tables of ``_previous`` back, if a publication ended before its end."""
+    at, files = _files(spark, path)
+    if files.exists(at(f"{path}/_previous")):
+        for entry in files.listStatus(at(f"{path}/_previous")):
+            name = entry.getPath().getName()
+            files.delete(at(f"{path}/{name}"), True)
+            files.rename(entry.getPath(), at(f"{path}/{name}"))
+        files.delete(at(f"{path}/_previous"), True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -97,22 +153,56 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json_cache(df: DataFrame, path: str) -> None:
+    """A derived table as JSON lines, written under a name of its own and then put in place."""
+    at, files = _files(df.sparkSession, path)
+    own = f"{path}.{uuid.uuid4().hex}"
+    df.write.json(own)
+    files.delete(at(path), True)
+    files.rename(at(own), at(path))
+
+
 def sync_registry(registry: DataFrame, derived: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(next registry, report) of slugs ``slug, key``.
 
-    Keys keep their slug; new keys take theirs, or the next free suffix where it is taken; keys gone keep theirs and
+    Keys keep their slug; new keys take theirs, or its next free number where it is taken; keys gone keep theirs and
     are reported as orphans.
     """
     held = registry.select("key", F.col("slug").alias("held"))
     wanted = derived.groupBy("key").agg(F.min("slug").alias("wanted"))
     both = held.join(wanted, "key", "full")
-    fresh = both.where("held is null").select("key", F.col("wanted").alias("base"))
-    taken = registry.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), F.coalesce(F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n")).groupBy("base").agg(F.max("n").alias("last"))
-    ordered = fresh.join(taken, "base", "left").withColumn("n", F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("base").orderBy("key")))
-    minted = ordered.select("key", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+    minted = _minted(both.where("held is null").select("key", F.col("wanted").alias("slug_base")), ["key"], registry)
     kept = both.where("held is not null").select("key", F.col("held").alias("slug"))
     status = F.when(F.col("held").isNull(), "minted").when(F.col("wanted").isNull(), "orphan").otherwise("kept")
-    return kept.unionByName(minted), both.groupBy(status.alias("status")).agg(F.count("*").alias("entries"))
+    return kept.unionByName(minted.select("key", "slug")), both.groupBy(status.alias("status")).agg(F.count("*").alias("entries"))
+
+
+def registry_faults(registry: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``fault, slug``: slugs held twice, redirects from a slug that is held, and redirects that lead nowhere."""
+    twice = registry.groupBy("slug").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("held twice").alias("fault"), "slug")
+    shadowed = redirects.join(registry.select(F.col("slug").alias("source")), "source", "left_semi").select(F.lit("redirect shadowed").alias("fault"), F.col("source").alias("slug"))
+    known = registry.select(F.col("slug").alias("target")).unionByName(redirects.select(F.col("source").alias("target")))
+    lost = redirects.where("target is not null").join(known, "target", "left_anti").select(F.lit("redirect lost").alias("fault"), F.col("source").alias("slug"))
+    return twice.unionByName(shadowed).unionByName(lost)
+
+
+def renamed(registry: DataFrame, redirects: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry, redirects) after ``changes`` (``old, new``): keys get their new slug, and the old one leads there.
+
+    A change to a slug that another key holds is left out; of several changes of a slug the smallest holds.
+    """
+    one = changes.where("old <> new").groupBy("old").agg(F.min("new").alias("new")).groupBy("new").agg(F.min("old").alias("old"))
+    free = one.join(registry.select(F.col("slug").alias("new")), "new", "left_anti").join(registry.select(F.col("slug").alias("old")), "old", "left_semi")
+    after = registry.join(free, registry.slug == free.old, "left").select("key", F.coalesce("new", "slug").alias("slug"))
+    joined = redirects.select("source", "target").unionByName(free.select(F.col("old").alias("source"), F.col("new").alias("target")))
+    return after, redirects_collapsed(joined.join(after.select(F.col("slug").alias("source")), "source", "left_anti"))
+
+
+def retired(registry: DataFrame, redirects: DataFrame, slugs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(registry, redirects, retired ``slug, key``) without the keys of some slugs, nor redirects that lead to them."""
+    gone = registry.join(slugs.select("slug").distinct(), "slug", "left_semi").select("slug", "key")
+    left = redirects.join(gone.select(F.col("slug").alias("target")), "target", "left_anti").select("source", "target")
+    return registry.join(gone.select("slug"), "slug", "left_anti").select("key", "slug"), left, gone
 
 
 def redirects_collapsed(redirects: DataFrame) -> DataFrame:

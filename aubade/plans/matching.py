@@ -29,6 +29,11 @@ def match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.projection(match_aligned(spark, sf_dir), segments(spark, sf_dir))
 
 
+def match_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every track of a night with segments."""
+    return M.reconciled(match_aligned(spark, sf_dir), air(spark, sf_dir), segments(spark, sf_dir))
+
+
 def match_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings by position or as the night's only one of the composer."""
     return M.positional(air(spark, sf_dir), segments(spark, sf_dir))
@@ -119,7 +124,7 @@ def text_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("composer", X.surname(F.col("composer")).alias("surname"), X.slug(F.col("composer")).alias("slug"), X.candidate_id(F.col("composer"), F.lit("x")).alias("pair_id"))
 
 
-_NAMED = (match_aligned, match_projection, match_positional, match_composer_duplicates, match_work_duplicates, match_work_components, match_text_recordings, match_signatures, match_bridged, match_reairings, match_evidence, match_fragmentation, match_corroborated, alias_resolved, alias_health, text_keys, text_surnames)
+_NAMED = (match_aligned, match_projection, match_reconciled, match_positional, match_composer_duplicates, match_work_duplicates, match_work_components, match_text_recordings, match_signatures, match_bridged, match_reairings, match_evidence, match_fragmentation, match_corroborated, alias_resolved, alias_health, text_keys, text_surnames)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMED}
 
 

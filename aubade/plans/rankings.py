@@ -152,15 +152,15 @@ SELECT label, airings, CAST(1 AS BIGINT) AS members FROM h UNION ALL SELECT '...
 SELECT * FROM (SELECT CAST(yr AS INTEGER) AS yr, ck, wk, airings, row_number() OVER (PARTITION BY yr ORDER BY airings DESC, ck, wk) AS place FROM c) WHERE place <= 10""",
     "years": f"WITH {AIR}, {_YEARS} SELECT CAST(yr AS INTEGER) AS yr, airings, works, composers, first_night, last_night FROM years",
     "partial_years": f"""WITH {AIR}, {_YEARS} SELECT CAST(yr AS INTEGER) AS yr, (yr = (SELECT min(yr) FROM years) AND strftime(first_night, '%m-%d') > '01-01') OR (yr = (SELECT max(yr) FROM years) AND strftime(last_night, '%m-%d') < '12-31') AS partial FROM years""",
-    "summary": f"""WITH {AIR}, s AS (SELECT pid, count(*) AS n FROM air GROUP BY pid)
+    "summary": f"""WITH {AIR}, full_air AS (SELECT * FROM air WHERE composer <> '' AND title <> ''), s AS (SELECT pid, count(*) AS n FROM full_air GROUP BY pid)
 SELECT count(*) AS airings, count(DISTINCT pid) AS nights, count(DISTINCT CASE WHEN ck <> '' THEN ck END) AS composers, count(DISTINCT CASE WHEN wk <> '' AND ck <> '' THEN concat(ck, '|', wk) END) AS works,
- (SELECT list_sort(list(n))[len(list(n)) // 2 + 1] FROM s) AS median_tracks, round(count(*) / count(DISTINCT pid), 6) AS mean_tracks FROM air""",
+ (SELECT list_sort(list(n))[len(list(n)) // 2 + 1] FROM s) AS median_tracks, round(count(*) / count(DISTINCT pid), 6) AS mean_tracks FROM full_air""",
     "buckets": f"""WITH {AIR}, {_WORKS} SELECT CASE WHEN airings <= 1 THEN '1' WHEN airings <= 5 THEN '2-5' WHEN airings <= 10 THEN '6-10' WHEN airings <= 50 THEN '11-50' WHEN airings <= 100 THEN '51-100' ELSE '100+' END AS bucket,
  count(*) AS entries, CAST(sum(airings) AS BIGINT) AS airings FROM works GROUP BY 1""",
     "filter_dates": f"WITH {AIR} SELECT id, bdate FROM air WHERE bdate BETWEEN DATE '2012-01-01' AND DATE '2030-12-31' AND strftime(bdate, '%m-%d') IN ('12-24', '12-25', '12-26')",
     "filter_title": f"WITH {AIR} SELECT id, title FROM air WHERE concat(' ', {_key('title')}, ' ') LIKE '% wind octet %'",
-    "filter_form": f"""WITH {AIR}, d AS (SELECT title, ck, wk, count(*) AS n FROM air WHERE title IS NOT NULL GROUP BY ALL), f(form, words) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in R.FORMS.items())})
-SELECT form, CAST(sum(n) AS BIGINT) AS airings, count(DISTINCT concat(ck, '|', wk)) AS works FROM d JOIN f ON regexp_matches({_fold('title')}, concat('(^|[^a-z0-9_])(', words, ')($|[^a-z0-9_])')) GROUP BY form""",
+    "filter_form": f"""WITH {AIR}, d AS (SELECT title, ck, wk, count(*) AS n FROM air WHERE title IS NOT NULL GROUP BY ALL), f(form, word) AS (VALUES {', '.join(f"('{k}', '{w}')" for k, v in R.FORMS.items() for w in v.split())}),
+h AS (SELECT DISTINCT title, ck, wk, n, form FROM (SELECT *, unnest(string_split_regex({_fold('title')}, '[^a-z0-9_]+')) AS word FROM d) JOIN f USING (word)) SELECT form, CAST(sum(n) AS BIGINT) AS airings, count(DISTINCT concat(ck, '|', wk)) AS works FROM h GROUP BY form""",
     "filter_composer_identity": f"WITH {AIR} SELECT id, ck FROM air WHERE ck IN (SELECT ck FROM air WHERE {_fold('composer')} LIKE '%beduveveld%')",
     "filter_conductor_identity": f"""WITH {AIR}, {_CREDITS}, c AS (SELECT *, {_key('name')} AS nk FROM credits WHERE role = 'conductor')
 SELECT id FROM air WHERE id IN (SELECT id FROM c WHERE nk IN (SELECT nk FROM c WHERE {_fold('name')} LIKE '%begosurin%'))""",

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aubade.session import ensure_checkpoint_dir
 from aubade.streaming import ingest
 
 
@@ -19,8 +20,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by day and type, counted as a stream: a few rows a day."""
-    return ingest.run_to_table(ingest.windowed(_events(spark, sf_dir), "ts", "event_type"), f"days_{uuid.uuid4().hex}")
+    """Events by day and type, counted as a stream, in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/days-{uuid.uuid4().hex}"
+    return ingest.run_to_folder(ingest.windowed(_events(spark, sf_dir), "ts", "event_type"), folder, "complete")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stream_days": stream_days}

@@ -25,7 +25,12 @@ def ledger(spark: SparkSession, path: str, schema: str, derived: bool) -> DataFr
         require(spark, path)
     except FileNotFoundError:
         return spark.createDataFrame([], kind)
-    return spark.read.schema(kind).option("mode", "DROPMALFORMED" if derived else "FAILFAST").json(path)
+    if not derived:
+        return spark.read.schema(kind).option("mode", "FAILFAST").json(path)
+    marked = T.StructType([*kind.fields, T.StructField("corrupt_line", T.StringType())])
+    rows = pinned(spark.read.schema(marked).option("columnNameOfCorruptRecord", "corrupt_line").json(path))
+    whole = rows.where("corrupt_line is not null").isEmpty()
+    return rows.drop("corrupt_line") if whole else spark.createDataFrame([], kind)
 
 
 def seed(starts: DataFrame, now_s: int) -> DataFrame:

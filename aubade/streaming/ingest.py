@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from aubade.operators.parse import latest
 from aubade.session import ensure_checkpoint_dir
 
 
@@ -54,16 +55,19 @@ def running_totals(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def upsert_folder(rows: DataFrame, key: str, order: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last version of each key in a Parquet folder, one new generation a batch; a repeated batch changes nothing."""
+    """Keep the last version of each key in a Parquet folder, one new generation a batch; a repeated batch changes nothing.
+
+    Rows without an order value count as the oldest. Of generations only the last two stay.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = [r for r in _generations(spark, target) if r < number]
         known = spark.read.parquet(f"{target}/gen={max(before)}") if before else None
         rows_ = batch if known is None else batch.unionByName(known, allowMissingColumns=True)
-        rest = [c for c in rows_.columns if c != key]
-        latest = rows_.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/gen={number}")
+        latest(rows_, key, order).write.mode("overwrite").parquet(f"{target}/gen={number}")
+        for old in before[:-1]:
+            _drop(spark, f"{target}/gen={old}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -77,6 +81,24 @@ def _generations(spark: SparkSession, target: str) -> list[int]:
     return sorted(int(x.getPath().getName().split("=")[1]) for x in files.listStatus(path) if x.getPath().getName().startswith("gen=") and files.exists(fs.Path(x.getPath(), "_SUCCESS")))
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def run_to_folder(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what has landed and give what it wrote to a folder; complete results are written by their last batch."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    writer = rows.writeStream.option("checkpointLocation", f"{path}/_state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").outputMode("append").start(f"{path}/rows")
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows")).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
 def run_to_table(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what has landed and give its result table; for results of bounded size."""
     spark = rows.sparkSession

@@ -12,9 +12,11 @@ from aubade.api import Archive, OptionError
 from aubade.functions import text as X
 from aubade.functions.titlekey import demojibake, work_title_key
 from aubade.operators import graph as G
+from aubade.operators import identity as N
 from aubade.operators import instants as I
 from aubade.operators import matching as M
 from aubade.operators import parse as P
+from aubade.operators import ranking as R
 from aubade.operators import search as Q
 from aubade.operators import temporal as T
 from aubade.operators import warehouse as W
@@ -114,7 +116,7 @@ def test_bridge_by_ids_lengths_and_roles(spark):
     ]
     segs = spark.createDataFrame([(i, "e", r, "k", t, c, d) for i, (r, t, c, d) in enumerate(recorded)], "id bigint, episode_pid string, recording_pid string, ck string, track_title string, contributions_json string, duration_seconds bigint")
     texts = [("one", "A B (conductor)", 700), ("two", "A B (conductor)", 60), ("three", "A B (conductor), C E (piano)", 600), ("four", "Blue Quartet", 600), ("five", "E F (conductor)", 600), ("six", "Big Orchestra", 600), ("seven", "A B (conductor)", None)]
-    air = spark.createDataFrame([(i, "k", t, p) for i, (t, p, _) in enumerate(texts)], "id bigint, ck string, wk string, performers string")
+    air = spark.createDataFrame([(i, "k", t, p) for i, (t, p, _) in enumerate(texts)], "id bigint, ck string, wk string, performers string").withColumn("wk", X.work_key(F.col("wk")))
     lengths = spark.createDataFrame([(i, s) for i, (_, _, s) in enumerate(texts)], "id bigint, length_s bigint")
     got = {r.recording_pid: r.tier for r in M.bridged(air, segs, lengths).collect()}
     assert got == {"r1": "trusted", "r2": "candidate", "r4": "trusted", "r5": "candidate", "r6": "candidate", "r7": "trusted"}
@@ -143,6 +145,52 @@ def test_registry(spark):
     assert rows(report) == [("kept", 2), ("minted", 2), ("orphan", 1)]
 
 
+def test_slugs_are_unique_beside_natural_numbers(spark):
+    names = ["trio", "Trio!", "trio 2", "TRIO", "trio 4", "trio 2!", "x 5", "symphony no 5"]
+    got = [r.slug for r in W.with_slugs(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "n string, i int"), "n", ["i"]).orderBy("i").collect()]
+    assert got == ["trio", "trio-3", "trio-2", "trio-5", "trio-4", "trio-2-2", "x-5", "symphony-no-5"]
+    registry = spark.createDataFrame([("symphony-no-5", "k1"), ("trio", "k2"), ("trio-3", "k3")], "slug string, key string")
+    derived = spark.createDataFrame([("symphony-no-5", "k4"), ("trio", "k5"), ("trio", "k6"), ("symphony-no", "k7"), ("trio-2", "k8")], "slug string, key string")
+    after = dict(rows(W.sync_registry(registry, derived)[0].select("key", "slug")))
+    assert after == {"k1": "symphony-no-5", "k2": "trio", "k3": "trio-3", "k4": "symphony-no-5-2", "k5": "trio-4", "k6": "trio-5", "k7": "symphony-no", "k8": "trio-2"}
+
+
+def test_registry_changes(spark):
+    registry = spark.createDataFrame([("a", "k1"), ("b", "k2"), ("c", "k3"), ("b", "k4")], "slug string, key string")
+    redirects = spark.createDataFrame([("old", "a"), ("x", "nowhere"), ("c", "a")], "source string, target string")
+    assert rows(W.registry_faults(registry, redirects)) == [("held twice", "b"), ("redirect lost", "x"), ("redirect shadowed", "c")]
+    after, led = W.renamed(registry, redirects.where("source = 'old'"), spark.createDataFrame([("a", "n"), ("c", "b"), ("gone", "m")], "old string, new string"))
+    assert rows(after) == [("k1", "n"), ("k2", "b"), ("k3", "c"), ("k4", "b")] and rows(led) == [("a", "n"), ("old", "n")]
+    left, kept, gone = W.retired(registry, redirects, spark.createDataFrame([("a",)], "slug string"))
+    assert rows(left) == [("k2", "b"), ("k3", "c"), ("k4", "b")] and rows(kept) == [("x", "nowhere")] and rows(gone) == [("a", "k1")]
+
+
+def test_numbers_of_a_whole_report(spark):
+    ranked = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 AS v").repartition(6)
+    assert [(r.rank, r.v) for r in R.numbered(ranked, F.col("v").desc()).orderBy("rank").collect()] == [(i + 1, 999 - i) for i in range(1000)]
+
+
+def test_performer_parts(spark):
+    texts = ["WDR Symphony Orchestra, Cologne, Anna Lund (conductor)", "A Trio, Köln, Berlin. ", "B (piano), Paris", "", None, "C D (director), E (chorus-conductor )."]
+    df = spark.createDataFrame([(i, "p", None, "c", "w", t) for i, t in enumerate(texts)], "id bigint, pid string, bdate date, ck string, wk string, performers string")
+    assert rows(R.performer_names(df, "ensemble").select("id", "name")) == [(0, "WDR Symphony Orchestra, Cologne"), (1, "A Trio, Köln, Berlin"), (2, "Paris")]
+    assert rows(R.performer_names(df, "conductor").select("id", "nk")) == [(0, "anna lund"), (5, "c d"), (5, "e")]
+
+
+def test_identity_layer(spark):
+    air = spark.createDataFrame([(1, "p", 0, "", "J. Bach", "J. Bach", "Sonata for violin and piano", "", None, None, "", ""), (2, "p", 1, "", "Bach, J", "x", "Suite, K. 5", "", None, None, "", ""), (3, "p", 2, "", "Weil", None, None, "", None, None, "", "")], "id bigint, pid string, position bigint, time_str string, composer string, composer_line string, title string, performers string, bdate date, yr int, ck string, wk string")
+    segments = spark.createDataFrame([("r", "Johann Bach", "Violin Sonata **EXPIRED**"), ("s", "X", "Y"), ("r2", "Other", "Z")], "recording_pid string, composer_name string, track_title string")
+    names = N.recording_names(segments, spark.createDataFrame([("r2", "r")], "variant string, preferred string"))
+    assert rows(names) == [("r", "Johann Bach", "Violin Sonata"), ("s", "X", "Y")]
+    met = N.projected(air, spark.createDataFrame([(1, "r")], "track_id bigint, recording_pid string"), names)
+    alias = lambda *p: spark.createDataFrame(list(p), "variant string, preferred string")
+    got = {r.id: (r.ck, r.wk) for r in N.identified(met, alias(("bach j", "johann bach")), alias(("§k5|5|", "anywhere"), ("sonata violin", "never")), spark.createDataFrame([("johann bach", "sonata violin", "scoped")], "ck string, variant string, preferred string")).collect()}
+    assert got == {1: ("johann bach", "scoped"), 2: ("johann bach", "anywhere"), 3: ("weil", "")}
+    parts = N.corpus(spark.createDataFrame([(1, "a"), (2, "b")], "track_id bigint, recording_pid string"), spark.createDataFrame([(1, "c"), (2, "d")], "track_id bigint, recording_pid string"), spark.createDataFrame([(1, "2010-01-01"), (2, "2015-01-01")], "track_id bigint, bdate string").withColumn("bdate", F.col("bdate").cast("date")))
+    assert rows(parts) == [(1, "a", "bridge"), (2, "d", "projection")]
+    assert rows(N.status(spark.createDataFrame([(1, "a")], "track_id bigint, recording_pid string"), air)) == [(3, 1, 0.333333)]
+
+
 def test_publish_stops_on_dangling_references(spark, tmp_path):
     a, b = spark.createDataFrame([("x",)], "k string"), spark.createDataFrame([("x",), ("y",), (None,)], "r string")
     with pytest.raises(ValueError, match="dangling"):
@@ -154,8 +202,8 @@ def test_publish_stops_on_dangling_references(spark, tmp_path):
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
-        ("Sonata in A major, K. 331", "Sonata in A, KV 331", False), ("Sonata in A major, K. 331", "Sonata in A major, KV331", True), ("Symphony No. 5 & Finale", "Symphony no 5 and finale", True), ("Trio for two oboes", "Trio for 2 oboes", True),
-        ("Adagio from Concerto BWV 1052", "Concerto BWV 1052", False), ("Quartet in C major", "Quartet in C minor", False), ("Suite No. 1 - Allegro", "Suite No. 1", True), ("Élégie", "Elegie", True),
+        ("Sonata in A major, K. 331", "Sonata in A, KV 331", True), ("Sonata in A major, K. 331", "Sonata in A major, KV331", True), ("Symphony No. 5 & Finale", "Symphony no 5 and finale", True), ("Trio for two oboes", "Trio for 2 oboes", True),
+        ("Adagio from Concerto BWV 1052", "Concerto BWV 1052", False), ("Quartet in C major", "Quartet in C minor", False), ("Suite No. 1 - Allegro", "Suite No. 1", False), ("Élégie", "Elegie", True),
     ],
 )
 def test_title_keys(a, b, same):
@@ -187,6 +235,26 @@ def test_text_functions(spark):
     assert one.select(X.jaccard(none, none, 1.0), X.jaccard(none, none, 0.0)).first() == (1.0, 0.0)
 
 
+def test_search_with_slips(spark):
+    docs = spark.createDataFrame([("composer", "a", "Ulrich Beduveveld", "", "u beduveveld", 9), ("work", "b", "Beduveveld suite", "", "", 1), ("work", "c", "Other", "", "", 5)], "k string, key string, n string, s string, a string, w bigint")
+    assert [r.key for r in Q.search(docs, "bedvveveld").collect()] == ["a", "b"]
+    assert [(r.key, r.pinned) for r in Q.search(docs, "beduveveld ulrich").collect()][0] == ("a", True)
+    assert Q.search(docs, " ?! ").count() == 0 and Q.search(docs, "zzzz", index=Q.inverted(docs)).count() == 0
+
+
+def test_ledgers(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"a": "x"}\n{"a": \n')
+    assert landed.ledger(spark, str(tmp_path / "none.json"), "a string", True).count() == 0
+    assert landed.ledger(spark, str(tmp_path / "l.json"), "a string", True).count() == 0
+    with pytest.raises(Exception, match="(?i)malformed"):
+        landed.ledger(spark, str(tmp_path / "l.json"), "a string", False).collect()
+    (tmp_path / "g.json").write_text('{"a": "x"}\n')
+    assert rows(landed.ledger(spark, str(tmp_path / "g.json"), "a string", True)) == [("x",)]
+    W.write_json_cache(spark.range(3), str(tmp_path / "c"))
+    W.write_json_cache(spark.range(2), str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).count() == 2
+
+
 def test_dates_in_queries():
     assert Q.date_query("3 march 2019") == "2019-03-03" and Q.date_query("31/02/2019") == "" and Q.date_query("2019") is None
 

@@ -43,3 +43,14 @@ def test_upserts_keep_the_last_version(spark, tmp_path):
     S.upsert_folder(S.read_folder(spark, str(source), SCHEMA), "event_id", "ts", target, state).awaitTermination()
     last = max(S._generations(spark, target))
     assert rows(spark.read.parquet(f"{target}/gen={last}").select("event_id", "value")) == [(1, 9.0), (2, 1.0)]
+
+
+def test_upserts_keep_rows_without_an_order(spark, tmp_path):
+    schema, target = "k bigint, at bigint, v string", str(tmp_path / "out")
+    for batch in ([(1, None, "a"), (2, 5, "b")], [(1, None, None), (2, None, "late")], [(2, 6, "c")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        S.upsert_folder(S.read_folder(spark, str(tmp_path / "in"), schema), "k", "at", target, str(tmp_path / "state")).awaitTermination()
+    found = S._generations(spark, target)
+    assert len(found) == 2
+    assert [(r.k, r.at, r.v) for r in spark.read.parquet(f"{target}/gen={max(found)}").orderBy("k").collect()][1] == (2, 6, "c")
+    assert spark.read.parquet(f"{target}/gen={max(found)}").count() == 2
