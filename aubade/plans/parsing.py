@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aubade.functions.titlekey import title_key
+from aubade.functions.titlekey import shown_title, title_key
 from aubade.operators import instants, parse
 from aubade.plans.common import air, segments
 from aubade.sources.tables import load
@@ -28,6 +28,35 @@ def parse_from_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.tracks_from_segments(segments(spark, sf_dir), instants.start_instants(load(spark, sf_dir, "episodes")))
 
 
+def parse_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of every document by the parser that the date it was fetched calls for."""
+    docs = load(spark, sf_dir, "documents")
+    return parse.dispatched(docs, "doc_id", "text", F.to_date("fetched_at"), ("1", "2"), "2020-01-01")
+
+
+def parse_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Music rows derived again from the nights' segment texts."""
+    return parse.music_segments(load(spark, sf_dir, "episodes")).drop("contributions_json")
+
+
+def parse_segments_rederived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the stored segments differ from those derived again from the texts (A10)."""
+    columns = ["track_title", "composer_name", "version_offset", "recording_pid"]
+    best = lambda df: df.where("event_pid is not null").groupBy("event_pid").agg(F.min(F.struct(*columns)).alias("r")).select("event_pid", "r.*")
+    return parse.rederived(best(load(spark, sf_dir, "segment_events")), best(parse.music_segments(load(spark, sf_dir, "episodes"))), ["event_pid"], columns)
+
+
+def parse_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Life spans of every distinct composer line, open and approximate ones too."""
+    born, died = parse.life_span(F.col("composer_line"))
+    return load(spark, sf_dir, "tracks").where("composer_line is not null").select("composer_line").distinct().select("composer_line", born.alias("born"), died.alias("died"))
+
+
+def shown_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title to show for every distinct title."""
+    return load(spark, sf_dir, "tracks").where("title is not null").select("title").distinct().withColumn("shown", shown_title("title"))
+
+
 def parse_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last fetched version of each document title."""
     rows = load(spark, sf_dir, "documents").where("title is not null").select("title", "doc_id", "fetched_at")
@@ -47,9 +76,16 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("work_key", title_key("title", "ck"))
 
 
-_NAMED = (parse_tracks, parse_blocks, parse_from_segments, parse_latest, parse_rederived, title_keys)
+_NAMED = (parse_tracks, parse_dispatched, parse_segments, parse_segments_rederived, parse_spans, shown_titles, parse_blocks, parse_from_segments, parse_latest, parse_rederived, title_keys)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in _NAMED}
 ORACLES: dict[str, str] = {
+    "parse_spans": rf"""SELECT DISTINCT composer_line, try_cast(regexp_extract(composer_line, '{parse.SPAN}', 1) AS INTEGER) AS born, try_cast(regexp_extract(composer_line, '{parse.SPAN}', 2) AS INTEGER) AS died FROM tracks WHERE composer_line IS NOT NULL""",
+    "parse_segments": """WITH j AS (SELECT pid, CAST(segments_raw_json AS JSON) AS d FROM episodes WHERE json_valid(segments_raw_json)),
+e AS (SELECT pid AS episode_pid, unnest(CASE json_type(d, '$.segment_events') WHEN 'ARRAY' THEN from_json(json_extract(d, '$.segment_events'), '["JSON"]') END) AS e FROM j)
+SELECT json_extract_string(e, '$.pid') AS event_pid, episode_pid, try_cast(json_extract_string(e, '$.position') AS BIGINT) AS position, try_cast(json_extract_string(e, '$.version_offset') AS BIGINT) AS version_offset, json_extract_string(e, '$.segment.track_title') AS track_title,
+ coalesce(json_extract_string(e, '$.segment.primary_contributor.name'), json_extract_string(e, '$.segment.artist')) AS composer_name, json_extract_string(e, '$.segment.primary_contributor.pid') AS composer_pid, json_extract_string(e, '$.segment.primary_contributor.musicbrainz_gid') AS composer_mbid,
+ try_cast(json_extract_string(e, '$.segment.duration') AS BIGINT) AS duration_seconds, json_extract_string(e, '$.segment.pid') AS recording_pid, json_extract_string(e, '$.segment.record_id') AS record_id, json_extract_string(e, '$.segment.record_label') AS record_label
+FROM e WHERE json_extract_string(e, '$.segment.type') = 'music'""",
     "parse_latest": "SELECT title, doc_id FROM (SELECT title, doc_id, row_number() OVER (PARTITION BY title ORDER BY fetched_at DESC NULLS LAST, doc_id DESC) AS r FROM documents WHERE title IS NOT NULL) WHERE r = 1",
     "parse_blocks": r"""WITH marked AS (SELECT CAST(doc_id AS VARCHAR) AS doc_key, regexp_replace(concat(chr(10), text, chr(10)), '\n(\d{1,2}:\d{2} [AP]M)\n', chr(10) || chr(1) || '\1' || chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
 cut AS (SELECT doc_key, string_split(t, chr(10) || chr(1)) AS blocks FROM marked),
