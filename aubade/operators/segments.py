@@ -126,9 +126,10 @@ def mbid_aliases(segments: DataFrame) -> DataFrame:
     return segments.where("composer_mbid is not null and ck <> ''").groupBy("composer_mbid").agg(F.countDistinct("ck").alias("names")).where("names > 1")
 
 
-def ambiguous_names(segments: DataFrame) -> DataFrame:
-    """``ck, ids``: name keys under several composer ids."""
-    return segments.where("composer_mbid is not null and ck <> ''").groupBy("ck").agg(F.countDistinct("composer_mbid").alias("ids")).where("ids > 1")
+def ambiguous_names(segments: DataFrame, key: Column | None = None) -> DataFrame:
+    """``ck, ids``: name keys - or another key, such as surnames - under several composer ids."""
+    rows = segments if key is None else segments.withColumn("ck", key)
+    return rows.where("composer_mbid is not null and ck <> ''").groupBy("ck").agg(F.countDistinct("composer_mbid").alias("ids")).where("ids > 1")
 
 
 def backfilled(segments: DataFrame) -> DataFrame:

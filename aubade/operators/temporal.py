@@ -137,10 +137,10 @@ def neighbours(nights: DataFrame) -> DataFrame:
     return rows.select("bdate", F.coalesce("b", "prior").alias("before"), F.coalesce("a", "next").alias("after"))
 
 
-def on_this_night(nights: DataFrame) -> DataFrame:
-    """``bdate``: earlier dates of the last date's month and day, newest first."""
+def on_this_night(nights: DataFrame, day: str | None = None) -> DataFrame:
+    """``bdate``: earlier dates of a day's month and day, of the last date's unless one is given."""
     dates = nights.where("bdate is not null").select("bdate").distinct()
-    last = dates.agg(F.max("bdate").alias("last"))
+    last = dates.agg(F.max("bdate").alias("last") if day is None else F.max(F.lit(day).cast("date")).alias("last"))
     return dates.crossJoin(last).where((F.date_format("bdate", "MM-dd") == F.date_format("last", "MM-dd")) & (F.col("bdate") < F.col("last"))).select("bdate")
 
 
@@ -156,11 +156,16 @@ def theme_markers(segments: DataFrame, boundaries: tuple[int, ...] = (7200, 1440
 
 
 def opening_runs(air: DataFrame) -> DataFrame:
-    """``pid, ck, tracks``: how many tracks from the start of a night on have its first composer (run core of G9, J5)."""
-    night = Window.partitionBy("pid").orderBy("position", "id")
-    rows = air.where("ck <> ''").withColumn("opener", F.first("ck").over(night))
-    rows = rows.withColumn("breaks", F.sum(F.when(F.col("ck") != F.col("opener"), 1).otherwise(0)).over(night))
-    return rows.where("breaks = 0").groupBy("pid", F.col("opener").alias("ck")).agg(F.count("*").alias("tracks"))
+    """``pid, ck, tracks``: how many tracks from the start of a night on have its first composer (run core of G9, J5).
+
+    By aggregates, so that no task holds a night: the first composer, the first place of another one, the tracks before it.
+    """
+    rows = air.where("ck <> ''").select("pid", "ck", F.struct("position", "id").alias("at"))
+    opener = rows.groupBy("pid").agg(F.min(F.struct("at", "ck")).alias("o")).select("pid", F.col("o.ck").alias("opener"))
+    joined = rows.join(opener, "pid")
+    breaks = joined.where("ck <> opener").groupBy("pid").agg(F.min("at").alias("break_at"))
+    run = joined.where("ck = opener").join(breaks, "pid", "left").where(F.col("break_at").isNull() | (F.col("at") < F.col("break_at")))
+    return run.groupBy("pid", F.col("opener").alias("ck")).agg(F.count("*").alias("tracks"))
 
 
 def texture(air: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def browse(air: DataFrame, segments: DataFrame, top: int = 25) -> DataFrame:
     works = R.rank_works(air).select(F.lit("works").alias("list"), F.concat_ws(" | ", "ck", "wk").alias("label"), "airings")
     composers = R.rank_composers(air).select(F.lit("composers").alias("list"), F.col("ck").alias("label"), "airings")
     forms = R.forms(air).select(F.lit("forms").alias("list"), F.col("form").alias("label"), "airings")
-    brcs = S.broadcasters(segments).select(F.lit("broadcasters").alias("list"), F.col("brc").alias("label"), "airings")
-    countries = S.countries(segments).select(F.lit("countries").alias("list"), F.col("country").alias("label"), "airings")
+    brcs = S.broadcasters(segments, private=True).select(F.lit("broadcasters").alias("list"), F.col("brc").alias("label"), "airings")
+    countries = S.countries(segments, private=True).select(F.lit("countries").alias("list"), F.col("country").alias("label"), "airings")
     festive = R.rank_works(R.in_dates(air, christmas=True)).select(F.lit("christmas").alias("list"), F.concat_ws(" | ", "ck", "wk").alias("label"), "airings")
     rows = reduce(DataFrame.unionByName, [works, composers, forms, brcs, countries, festive])
     return R.top_per_group(rows, ["list"], top, F.col("airings").desc(), F.col("label"))

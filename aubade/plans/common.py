@@ -43,6 +43,12 @@ def sql_key(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({sql_fold(f'lower({x})')}, '[^\p{{L}}\p{{N}} ]', '', 'g'), ' +', ' ', 'g'))"
 
 
+def sql_surname(x: str) -> str:
+    """SQL of surname."""
+    key = rf"trim(regexp_replace({sql_key(x)}, ' (jr|sr|i|ii|iii|the elder|the younger)$', ''))"
+    return f"CASE WHEN starts_with({key}, 'anon') THEN 'anonymous' WHEN starts_with({key}, 'trad') THEN 'traditional' ELSE list_last(string_split({key}, ' ')) END"
+
+
 def sql_canonical(x: str) -> str:
     """SQL of canonical_key, for texts that need no repair."""
     t = f"translate({sql_fold(f'lower({x})')}, '‐‑–—{SINGLE_QUOTES}{DOUBLE_QUOTES}', '----{chr(39) * 2 * len(SINGLE_QUOTES)}{chr(34) * len(DOUBLE_QUOTES)}')"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from aubade.operators import curation as C
 from aubade.operators import instants
-from aubade.plans.common import AIR, SEG, air, segments, sql_fold
-from aubade.plans.matching import CREDIT_PARTS, SOLO_ROLES, match_bridged, sql_tokens
+from aubade.plans.common import AIR, SEG, SEG_ONLY, SEG_WORK, air, segments, sql_canonical, sql_fold, sql_key
+from aubade.plans.matching import CREDIT_PARTS, SOLO_ROLES, match_bridged, sql_slug, sql_tokens
 from aubade.functions import stations as B
 from aubade.plans.segments import _BRC, _LAND, _ROLES, _TIDY
 from aubade.sources import landed
@@ -34,8 +34,8 @@ def cur_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cur_interstitials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments without frequent short recordings, counted."""
-    return C.without_interstitials(segments(spark, sf_dir), 3, 600).agg(F.count("*").alias("n"))
+    """Segments without frequent short recordings."""
+    return C.without_interstitials(segments(spark, sf_dir), 3, 600).select("id")
 
 
 def cur_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q fo
 
 _TITLES = "ti AS (SELECT ck, wk, min(title) AS title FROM air WHERE ck <> '' AND wk <> '' AND title IS NOT NULL GROUP BY ALL)"
 _REFS = rf"""list_transform(regexp_extract_all({sql_fold('lower(title)')}, '\b((?:bwv|hwv|rv|kv|k|d|twv|wq|woo|hob|s|bb|op) ?\.? ?0*\d+)', 1), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[ .]', '', 'g'), '^kv', 'k'), '^([a-z]+?)0*(\d+)$', '\1\2'))"""
+_SHARE = lambda a, b: f"round(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))), 6)"
+_SET = lambda x, p: f"list_distinct(regexp_extract_all({sql_canonical(x)}, '{p}', 1))"
+_APART = lambda p: f"(len(list_filter({_SET('ta', p)}, lambda w: NOT list_contains({_SET('tb', p)}, w))) > 0 AND len(list_filter({_SET('tb', p)}, lambda w: NOT list_contains({_SET('ta', p)}, w))) > 0)"
+_NUMBERS = lambda x, p: f"array_to_string(list_sort(list_distinct(regexp_extract_all(lower({x}), '{p}', 1))), ',')"
+_DIFFER = lambda p: f"({_NUMBERS('ta', p)} <> '' AND {_NUMBERS('tb', p)} <> '' AND {_NUMBERS('ta', p)} <> {_NUMBERS('tb', p)})"
+_RELAXED = f"""{_TITLES}, sg AS (SELECT ck, wk, min(track_title) AS title FROM segw WHERE ck <> '' AND wk <> '' AND track_title IS NOT NULL GROUP BY ALL), tx AS (SELECT * FROM ti ANTI JOIN sg USING (ck, wk)),
+tt AS (SELECT ck, wk, title AS ta, {sql_tokens('title')} AS wa FROM tx), ss AS (SELECT ck, wk, title AS tb, {sql_tokens('title')} AS wb FROM sg),
+rl AS (SELECT tt.ck, tt.wk AS text_wk, ss.wk AS seg_wk, ta, tb, {_SHARE('wa', 'wb')} AS share FROM tt JOIN ss ON tt.ck = ss.ck AND tt.wk <> ss.wk WHERE len(wa) > 0 AND len(wb) > 0),
+relaxed AS (SELECT ck, text_wk, seg_wk, share, CASE WHEN {_DIFFER(chr(92) + 'bop' + chr(92) + '.? ?(' + chr(92) + 'd+)')} THEN 'opus' WHEN {_DIFFER(chr(92) + 'bno' + chr(92) + '.? ?(' + chr(92) + 'd+)')} THEN 'number'
+ WHEN {_APART('(' + chr(92) + 'd+)')} OR {_APART(chr(92) + 'b([a-g](?: flat| sharp)? (?:major|minor))' + chr(92) + 'b')} THEN 'key' ELSE 'fold' END AS reason FROM rl WHERE share >= 0.5)"""
 ORACLES: dict[str, str] = {
+    "cur_relaxed": f"WITH {AIR}, {SEG_ONLY}, {SEG_WORK}, {_RELAXED} SELECT * FROM relaxed",
+    "cur_proposals": f"""WITH {AIR}, {SEG_ONLY}, {SEG_WORK}, {_RELAXED}, best AS (SELECT ck, text_wk AS variant, list(seg_wk ORDER BY share DESC, seg_wk DESC)[1] AS preferred FROM relaxed WHERE reason = 'fold' GROUP BY ALL)
+SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM best x WHERE x.ck = b.ck AND x.preferred = b.variant)""",
+    "cur_resolve": f"""WITH {AIR}, w AS (SELECT ck, wk, count(*) AS airings, min(title) AS title, max(CAST(contains({sql_key('title')}, 'night harbour') AS INTEGER)) AS holds FROM air WHERE ck <> '' AND wk <> '' AND title IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, {sql_slug("concat_ws(' ', ck, title)")} AS slug, len(list_intersect({sql_tokens('title')}, ['harbour', 'night'])) AS shared FROM w),
+g AS (SELECT *, CASE WHEN slug = 'night harbour' THEN 3 WHEN holds = 1 THEN 2 WHEN shared > 0 THEN 1 ELSE 0 END AS grade FROM n), t AS (SELECT max(grade) AS top FROM g)
+SELECT ck, wk, slug, airings, CASE grade WHEN 3 THEN 'slug' WHEN 2 THEN 'spelling' ELSE 'near' END AS how FROM g, t WHERE grade = top AND grade > 1
+UNION ALL SELECT * FROM (SELECT ck, wk, slug, airings, 'near' FROM g, t WHERE top = 1 AND grade = 1 ORDER BY shared DESC, airings DESC, slug LIMIT 5)""",
     "cur_families": rf"""WITH {AIR}, {_TITLES}, f AS (SELECT ck, wk, unnest(list_distinct(list_concat({_REFS}, list_transform(regexp_extract_all(lower(title), '\bop\.? ?(\d+)', 1), lambda x: concat('op', x))))) AS family FROM ti)
 SELECT ck, family, count(*) AS members FROM f GROUP BY ALL""",
     "cur_ensembles": f"WITH {AIR}, {CREDIT_PARTS} SELECT nk AS name, count(DISTINCT id) AS tracks FROM cp WHERE nk <> '' AND NOT regexp_matches(role, 'conductor|director|{SOLO_ROLES}') GROUP BY nk HAVING count(DISTINCT id) >= 3",
@@ -140,7 +158,7 @@ SELECT record_label, {_BRC} AS code, coalesce(map([{", ".join(f"'{c}'" for c in
  coalesce(map([{", ".join(f"'{c}'" for c in B.CODES)}], [{", ".join("'" + ("" if cc in B.NO_FLAG or n in B.NO_FLAG_NAMES else "".join(chr(0x1F1E6 + ord(x) - 65) for x in cc)) + "'" for _, cc, n in B.CODES.values())}])[{_TIDY}], '') AS flag,
  CASE {_LAND} WHEN '(multilateral)' THEN '{B.NOTES["(multilateral)"]}' ELSE '' END AS note FROM l""",
     "cur_interstitials": f"""WITH {SEG}, o AS (SELECT recording_pid FROM seg WHERE recording_pid IS NOT NULL GROUP BY 1 HAVING count(DISTINCT episode_pid) >= 3 AND max(duration_seconds) <= 600)
-SELECT count(*) AS n FROM seg WHERE recording_pid IS NULL OR recording_pid NOT IN (SELECT recording_pid FROM o)""",
+SELECT id FROM seg WHERE recording_pid IS NULL OR recording_pid NOT IN (SELECT recording_pid FROM o)""",
     "cur_work_index": f"WITH {AIR} SELECT ck, wk, count(*) AS airings, count(DISTINCT title) AS spellings FROM air WHERE ck <> '' AND wk <> '' GROUP BY ALL",
     "cur_one_offs": f"WITH {AIR}, w AS (SELECT ck, wk, count(*) AS n FROM air WHERE ck <> '' AND wk <> '' GROUP BY ALL) SELECT ck, count(*) AS works FROM w WHERE n = 1 GROUP BY ck",
     "cur_rare_tokens": f"WITH {AIR}, {_TITLES}, t AS (SELECT ck, unnest({sql_tokens('title')}) AS word FROM ti) SELECT ck, word, count(*) AS works FROM t GROUP BY ALL HAVING count(*) <= 2",

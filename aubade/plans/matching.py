@@ -13,7 +13,7 @@ from aubade.operators import instants as I
 from aubade.operators import matching as M
 from aubade.operators import ranking as R
 from aubade.operators import temporal as T
-from aubade.plans.common import AIR, SEG, SEG_ONLY, air, segments, sql_canonical, sql_fold, sql_key
+from aubade.plans.common import AIR, SEG, SEG_ONLY, SEG_WORK, air, segments, sql_canonical, sql_fold, sql_key
 from aubade.sources.tables import load
 
 
@@ -63,8 +63,9 @@ def match_text_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What recordings are known by, counted."""
-    return M.pid_signatures(segments(spark, sf_dir)).select("recording_pid", "ck", "wk", F.coalesce(F.size("conductors"), F.lit(0)).alias("conductors"), F.coalesce(F.size("soloists"), F.lit(0)).alias("soloists"), "length_s")
+    """What recordings are known by."""
+    told = [F.coalesce(F.array_join(c, ";"), F.lit("")).alias(c) for c in ("conductors", "soloists", "ensembles")]
+    return M.pid_signatures(segments(spark, sf_dir)).select("recording_pid", "ck", "wk", *told, "length_s")
 
 
 def match_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +93,10 @@ def match_fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned pairs whose names support each other, by tier."""
+    """Aligned pairs, and whether their names support each other."""
     rows, segs = air(spark, sf_dir), segments(spark, sf_dir)
     pairs = match_aligned(spark, sf_dir).join(rows.select(F.col("id").alias("track_id"), "composer"), "track_id").join(segs.select(F.col("id").alias("segment_id"), "composer_name"), "segment_id")
-    return pairs.groupBy("tier", F.coalesce(M.corroborated(F.col("composer"), F.col("composer_name")), F.lit(False)).alias("supported")).agg(F.count("*").alias("n"))
+    return pairs.select("track_id", "segment_id", "tier", F.coalesce(M.corroborated(F.col("composer"), F.col("composer_name")), F.lit(False)).alias("supported"))
 
 
 def alias_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +160,12 @@ cp AS (SELECT id, pid, ck, wk, bdate, {_NAME} AS nk, lower(regexp_extract(p, '[(
 SOLO_ROLES = M._SOLO
 
 ORACLES: dict[str, str] = {
+    "match_signatures": f"""WITH {SEG}, {SEG_WORK}, raw AS (SELECT id, CASE WHEN trim(contributions_json) LIKE '{{%' THEN concat('[', contributions_json, ']') ELSE contributions_json END AS j FROM segw WHERE contributions_json IS NOT NULL),
+cells AS (SELECT id, unnest(from_json(j, '["JSON"]')) AS c FROM raw WHERE json_valid(j)), named AS (SELECT id, {sql_key("json_extract_string(c, '$.name')")} AS nk, lower(json_extract_string(c, '$.role')) AS role FROM cells),
+base AS (SELECT * FROM segw WHERE recording_pid IS NOT NULL AND ck <> '' AND wk <> ''), people AS (SELECT DISTINCT recording_pid, ck, wk, nk, role FROM base JOIN named USING (id) WHERE nk <> '' AND nk <> ck),
+sets AS (SELECT recording_pid, ck, wk, list(DISTINCT nk) FILTER (regexp_matches(role, 'conductor')) AS c, list(DISTINCT nk) FILTER (regexp_matches(role, '{SOLO_ROLES}')) AS s, list(DISTINCT nk) FILTER (regexp_matches(role, 'orchestra|ensemble|choir|performer')) AS e FROM people GROUP BY ALL),
+lengths AS (SELECT recording_pid, ck, wk, max(duration_seconds) AS length_s FROM base GROUP BY ALL)
+SELECT l.recording_pid, l.ck, l.wk, coalesce(array_to_string(list_sort(c), ';'), '') AS conductors, coalesce(array_to_string(list_sort(s), ';'), '') AS soloists, coalesce(array_to_string(list_sort(e), ';'), '') AS ensembles, length_s FROM lengths l LEFT JOIN sets USING (recording_pid, ck, wk)""",
     "match_text_recordings": f"""WITH {AIR}, {CREDIT_PARTS}, k AS (SELECT id, ck, wk, bdate, coalesce(array_to_string(list_sort(list(DISTINCT nk) FILTER (nk <> '')), ';'), '') AS credit_key FROM cp WHERE ck <> '' AND wk <> '' GROUP BY ALL)
 SELECT ck, wk, credit_key, count(*) AS airings, count(DISTINCT bdate) AS dates, min(bdate) AS first_aired FROM k GROUP BY ALL HAVING count(DISTINCT bdate) >= 1""",
     "match_positional": f"""WITH {AIR}, {SEG_ONLY},

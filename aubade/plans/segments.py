@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aubade.functions import stations as B
+from aubade.functions.text import surname
 from aubade.operators import segments as S
-from aubade.plans.common import SEG, SEG_WORK, segments, sql_key
+from aubade.plans.common import SEG, SEG_WORK, segments, sql_key, sql_surname
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +99,8 @@ def seg_mbid_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names under several composer ids."""
-    return S.ambiguous_names(segments(spark, sf_dir))
+    """Surnames under several composer ids."""
+    return S.ambiguous_names(segments(spark, sf_dir), surname(F.col("composer_name")))
 
 
 def seg_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,7 @@ SELECT brc, CAST(CASE brc WHEN 'UNATTRIBUTED' THEN 2 WHEN 'OTHER' THEN 1 ELSE 0
     "seg_medians": f"WITH {SEG}, {SEG_WORK}, {_MED} SELECT * FROM med",
     "seg_length_classes": f"WITH {SEG}, {SEG_WORK}, {_MED} SELECT CASE WHEN median_s < 600 THEN 'short' WHEN median_s < 1800 THEN 'medium' ELSE 'long' END AS class, count(*) AS works FROM med GROUP BY 1",
     "seg_mbid_aliases": f"WITH {SEG} SELECT composer_mbid, count(DISTINCT ck) AS names FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY 1 HAVING count(DISTINCT ck) > 1",
-    "seg_ambiguous": f"WITH {SEG} SELECT ck, count(DISTINCT composer_mbid) AS ids FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY 1 HAVING count(DISTINCT composer_mbid) > 1",
+    "seg_ambiguous": f"""WITH {SEG}, k AS (SELECT composer_mbid, {sql_surname('composer_name')} AS ck FROM seg) SELECT ck, count(DISTINCT composer_mbid) AS ids FROM k WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY 1 HAVING count(DISTINCT composer_mbid) > 1""",
     "seg_backfill": f"""WITH {SEG}, k AS (SELECT ck, min(composer_mbid) AS lo FROM seg WHERE composer_mbid IS NOT NULL AND ck <> '' GROUP BY ck HAVING min(composer_mbid) = max(composer_mbid))
 SELECT CASE WHEN composer_mbid IS NOT NULL THEN composer_mbid WHEN lo IS NOT NULL THEN lo WHEN seg.ck IS NOT NULL THEN concat('name:', seg.ck) END AS cid, count(*) AS n FROM seg LEFT JOIN k USING (ck) GROUP BY 1""",
     "seg_national_nights": f"""WITH {SEG}, b AS (SELECT episode_pid, {_LAND} AS country, count(*) AS n FROM seg WHERE {_BRC} NOT IN ('OTHER', 'UNATTRIBUTED') GROUP BY ALL),

@@ -68,8 +68,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_this_night(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier dates of the last date's day."""
-    return T.on_this_night(nights(spark, sf_dir))
+    """All nights of Christmas Eve."""
+    return T.on_this_night(nights(spark, sf_dir), "2100-12-24")
 
 
 def theme_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ SELECT yr, ck, CASE WHEN b IS NOT NULL AND d IS NOT NULL THEN 'double' WHEN b IS
     "distinctive": f"""WITH {AIR}, {_LIFT} SELECT * FROM (SELECT yr, row_number() OVER (PARTITION BY yr ORDER BY lift DESC, plays DESC, ck) AS place, ck, plays, lift FROM lf WHERE plays >= 3 AND lift >= 1.4) WHERE place <= 10""",
     "arrivals": f"""WITH {AIR}, {_LIFT} SELECT ck, min(yr) AS debut, count(DISTINCT yr) - 1 AS later_years FROM yc GROUP BY ck HAVING min(yr) BETWEEN 2008 AND 2023 AND count(DISTINCT yr) - 1 >= 2""",
     "neighbours": f"WITH {AIR}, d AS (SELECT DISTINCT bdate FROM nights WHERE bdate IS NOT NULL) SELECT bdate, lag(bdate) OVER (ORDER BY bdate) AS before, lead(bdate) OVER (ORDER BY bdate) AS after FROM d",
-    "on_this_night": f"WITH {AIR}, d AS (SELECT DISTINCT bdate FROM nights WHERE bdate IS NOT NULL) SELECT bdate FROM d WHERE strftime(bdate, '%m-%d') = (SELECT strftime(max(bdate), '%m-%d') FROM d) AND bdate < (SELECT max(bdate) FROM d)",
+    "on_this_night": f"WITH {AIR} SELECT DISTINCT bdate FROM nights WHERE strftime(bdate, '%m-%d') = '12-24' AND bdate < DATE '2100-12-24'",
     "theme_markers": f"""WITH {SEG}, b(boundary) AS (VALUES (CAST(7200 AS BIGINT)), (CAST(14400 AS BIGINT))), r AS (SELECT episode_pid, boundary, id, version_offset, row_number() OVER (PARTITION BY episode_pid, boundary ORDER BY version_offset, id) AS k,
  (SELECT min(version_offset) FROM seg x WHERE x.episode_pid = seg.episode_pid) AS lo FROM seg, b WHERE version_offset >= boundary)
 SELECT episode_pid, boundary, id FROM r WHERE k = 1 AND lo < boundary""",

@@ -11,8 +11,9 @@ from aubade.operators import ranking as R
 from aubade.operators import search as Q
 from aubade.operators import temporal as T
 from aubade.operators import warehouse as W
-from aubade.plans.common import AIR, SEG_ONLY, SEG_WORK, air, nights, segments
+from aubade.plans.common import AIR, SEG_ONLY, SEG_WORK, air, nights, segments, sql_fold
 from aubade.plans.matching import sql_slug
+from aubade.plans.segments import _BRC, _LAND
 from aubade.sources.tables import load
 
 
@@ -58,17 +59,20 @@ def site_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = air(spark, sf_dir).where("ck <> '' and yr is not null")
     old = W.with_slugs(rows.where("yr < 2015").select("ck").distinct(), "ck", ["ck"]).select(F.col("ck").alias("key"), "slug")
     new = W.with_slugs(rows.where("yr >= 2015").select("ck").distinct(), "ck", ["ck"]).select(F.col("ck").alias("key"), "slug")
-    return W.sync_registry(old, new)[1]
+    after = W.sync_registry(old, new)[0]
+    seen = lambda df, c: df.select("key", F.lit(True).alias(c)).distinct()
+    told = after.join(seen(old, "was"), "key", "left").join(seen(new, "is"), "key", "left")
+    return told.select("key", "slug", F.when(F.col("was").isNull(), "minted").when(F.col("is").isNull(), "orphan").otherwise("kept").alias("status"))
 
 
 def search_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search documents by kind."""
-    return Q.catalogue(air(spark, sf_dir), segments(spark, sf_dir)).groupBy("k").agg(F.count("*").alias("docs"), F.sum("w").alias("w"))
+    """Search documents of all kinds."""
+    return Q.catalogue(air(spark, sf_dir), segments(spark, sf_dir))
 
 
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the search index by number of documents."""
-    return Q.inverted(Q.catalogue(air(spark, sf_dir), segments(spark, sf_dir))).groupBy("word").agg(F.count("*").alias("docs"), F.round(F.sum("tf"), 3).alias("tf"))
+    """The search index."""
+    return Q.inverted(Q.catalogue(air(spark, sf_dir), segments(spark, sf_dir)))
 
 
 def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +127,15 @@ SELECT ck, CASE WHEN k = 1 THEN base ELSE concat(base, '-', k) END AS slug FROM
 UNION ALL SELECT 'segment_events.episode_pid -> episodes.pid', count(*) FROM segment_events WHERE episode_pid IS NOT NULL AND episode_pid NOT IN (SELECT pid FROM episodes)
 UNION ALL SELECT 'episodes.previous_pid -> episodes.pid', count(*) FROM episodes WHERE previous_pid IS NOT NULL AND previous_pid NOT IN (SELECT pid FROM episodes)
 UNION ALL SELECT 'episodes.next_pid -> episodes.pid', count(*) FROM episodes WHERE next_pid IS NOT NULL AND next_pid NOT IN (SELECT pid FROM episodes)""",
-    "site_registry": f"""WITH {AIR}, o AS (SELECT DISTINCT ck FROM air WHERE ck <> '' AND yr < 2015), n AS (SELECT DISTINCT ck FROM air WHERE ck <> '' AND yr >= 2015)
-SELECT CASE WHEN o.ck IS NULL THEN 'minted' WHEN n.ck IS NULL THEN 'orphan' ELSE 'kept' END AS status, count(*) AS entries FROM o FULL JOIN n ON o.ck = n.ck GROUP BY 1""",
+    "site_registry": f"""WITH {AIR}, o AS (SELECT DISTINCT ck FROM air WHERE ck <> '' AND yr < 2015), n AS (SELECT DISTINCT ck FROM air WHERE ck <> '' AND yr >= 2015), b AS (SELECT ck, ck IN (SELECT ck FROM o) AS was, ck IN (SELECT ck FROM n) AS now, {sql_slug('ck')} AS base FROM (SELECT ck FROM o UNION SELECT ck FROM n)),
+k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY NOT was, ck) AS i FROM b) SELECT ck AS key, CASE WHEN i = 1 THEN base ELSE concat(base, '-', i) END AS slug, CASE WHEN NOT was THEN 'minted' WHEN NOT now THEN 'orphan' ELSE 'kept' END AS status FROM k""",
+    "site_browse": f"""WITH {AIR}, {SEG_ONLY}, w AS (SELECT concat_ws(' | ', ck, wk) AS label, count(*) AS airings FROM air WHERE ck <> '' AND wk <> '' GROUP BY 1), c AS (SELECT ck AS label, count(*) AS airings FROM air WHERE ck <> '' GROUP BY 1),
+d AS (SELECT title, ck, wk, count(*) AS n FROM air WHERE title IS NOT NULL GROUP BY ALL), fw(form, word) AS (VALUES {', '.join(f"('{k}', '{x}')" for k, v in R.FORMS.items() for x in v.split())}),
+fh AS (SELECT DISTINCT title, ck, wk, n, form FROM (SELECT *, unnest(string_split_regex({sql_fold('lower(title)')}, '[^a-z0-9_]+')) AS word FROM d) JOIN fw USING (word)), f AS (SELECT form AS label, CAST(sum(n) AS BIGINT) AS airings FROM fh GROUP BY 1),
+b AS (SELECT {_BRC} AS label, count(*) AS airings FROM seg GROUP BY 1), l AS (SELECT {_LAND} AS label, count(*) AS airings FROM seg GROUP BY 1),
+x AS (SELECT concat_ws(' | ', ck, wk) AS label, count(*) AS airings FROM air WHERE ck <> '' AND wk <> '' AND strftime(bdate, '%m-%d') IN ('12-24', '12-25', '12-26') GROUP BY 1),
+a AS (SELECT 'works' AS list, * FROM w UNION ALL SELECT 'composers', * FROM c UNION ALL SELECT 'forms', * FROM f UNION ALL SELECT 'broadcasters', * FROM b UNION ALL SELECT 'countries', * FROM l UNION ALL SELECT 'christmas', * FROM x)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY airings DESC, label) AS place FROM a) WHERE place <= 25""",
     "extra_rollup": "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "extra_setops": "SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1995 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996)",
     "extra_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
