@@ -9,6 +9,7 @@ from aubade.functions.stations import broadcaster, country, flag, note, station
 from aubade.functions.text import catalogue_refs, opus_numbers, plain_key, significant_tokens, slug, work_numbers
 from aubade.operators import matching as M
 from aubade.operators import segments as S
+from aubade.session import pinned
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -102,16 +103,16 @@ def relaxed_links(air: DataFrame, segments: DataFrame, least: float = 0.5) -> Da
     text = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.min("title").alias("title"))
     seg = S.with_work(segments).where("ck <> '' and wk <> '' and track_title is not null").groupBy("ck", "wk").agg(F.min("track_title").alias("title"))
     text = text.join(seg.select("ck", "wk"), ["ck", "wk"], "left_anti")
-    sides = text.withColumn("side", F.lit("t")).unionByName(seg.withColumn("side", F.lit("s"))).withColumn("words", significant_tokens(F.col("title")))
-    tokens = sides.select("ck", "wk", "side", F.explode("words").alias("word"))
+    sides = pinned(text.withColumn("side", F.lit("t")).unionByName(seg.withColumn("side", F.lit("s"))).select("ck", "wk", "side", M.title_facts(F.col("title")).alias("facts")))
+    tokens = sides.select("ck", "wk", "side", F.explode("facts.words").alias("word"))
     frequency = tokens.groupBy("ck", "word").agg(F.count("*").alias("df"))
     listed = tokens.join(frequency, ["ck", "word"]).groupBy("ck", "wk", "side").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("l"))
-    index = listed.select("ck", "wk", "side", F.explode(F.slice("l", F.lit(1), (F.size("l") - F.ceil(F.lit(least) * F.size("l")) + 1).cast("int"))).alias("t")).select("ck", "wk", "side", F.col("t.word").alias("word"))
+    index = pinned(listed.select("ck", "wk", "side", F.explode(F.slice("l", F.lit(1), (F.size("l") - F.ceil(F.lit(least) * F.size("l")) + 1).cast("int"))).alias("t")).select("ck", "wk", "side", F.col("t.word").alias("word")))
     pairs = index.where("side = 't'").select("ck", F.col("wk").alias("text_wk"), "word").join(index.where("side = 's'").select("ck", F.col("wk").alias("seg_wk"), "word"), ["ck", "word"]).where("text_wk <> seg_wk").select("ck", "text_wk", "seg_wk").distinct()
-    named = pairs.join(text.select("ck", F.col("wk").alias("text_wk"), F.col("title").alias("ta")), ["ck", "text_wk"]).join(seg.select("ck", F.col("wk").alias("seg_wk"), F.col("title").alias("tb")), ["ck", "seg_wk"])
-    share = F.round(M.jaccard(significant_tokens(F.col("ta")), significant_tokens(F.col("tb")), 0.0), 6)
-    differ = lambda f: (F.size(f(F.col("ta"))) > 0) & (F.size(f(F.col("tb"))) > 0) & (F.concat_ws(",", f(F.col("ta"))) != F.concat_ws(",", f(F.col("tb"))))
-    reason = F.when(differ(opus_numbers), "opus").when(differ(work_numbers), "number").when(M.title_conflict(F.col("ta"), F.col("tb")), "key").otherwise("fold")
+    of = lambda side, wk, facts: sides.where(F.col("side") == side).select("ck", F.col("wk").alias(wk), F.col("facts").alias(facts))
+    named = pairs.join(of("t", "text_wk", "fa"), ["ck", "text_wk"]).join(of("s", "seg_wk", "fb"), ["ck", "seg_wk"])
+    share = F.round(M.jaccard(F.col("fa.words"), F.col("fb.words"), 0.0), 6)
+    reason = F.when(M.facts_differ("fa", "fb", "opus"), "opus").when(M.facts_differ("fa", "fb", "items"), "number").when(M.facts_conflict("fa", "fb"), "key").otherwise("fold")
     return named.withColumn("share", share).where(F.col("share") >= least).select("ck", "text_wk", "seg_wk", "share", reason.alias("reason"))
 
 

@@ -200,11 +200,30 @@ def composer_duplicates(air: DataFrame, lives: DataFrame, spanned: float = 0.74,
     return scored.withColumn("level", F.when(F.col("ratio") >= high, "high").otherwise("low"))
 
 
-def title_conflict(a: Column, b: Column) -> Column:
-    """Whether two titles disagree on numbers, key or part: neither side's set holds the other's."""
-    sets = [(F.array_distinct(F.regexp_extract_all(canonical_key(a), F.lit(p), F.lit(1))), F.array_distinct(F.regexp_extract_all(canonical_key(b), F.lit(p), F.lit(1)))) for p in (r"(\d+)", r"\b([a-g](?: flat| sharp)? (?:major|minor))\b")]
+def title_facts(title: Column) -> Column:
+    """struct(words, numbers, modes, opus, items) of a title: what pairs are compared by, to be read once a title and not once a pair."""
+    canon = canonical_key(title)
+    found = lambda p: F.array_distinct(F.regexp_extract_all(canon, F.lit(p), F.lit(1)))
+    return F.struct(significant_tokens(title).alias("words"), found(r"(\d+)").alias("numbers"), found(r"\b([a-g](?: flat| sharp)? (?:major|minor))\b").alias("modes"), opus_numbers(title).alias("opus"), work_numbers(title).alias("items"))
+
+
+def facts_conflict(a: str, b: str) -> Column:
+    """Whether the facts of two titles disagree on numbers or key: neither side's set holds the other's."""
     apart = lambda x, y: (F.size(F.array_except(x, y)) > 0) & (F.size(F.array_except(y, x)) > 0)
-    return apart(*sets[0]) | apart(*sets[1])
+    return apart(f"{a}.numbers", f"{b}.numbers") | apart(f"{a}.modes", f"{b}.modes")
+
+
+def facts_differ(a: str, b: str, what: str) -> Column:
+    """Whether both titles name numbers of a kind, and not the same ones."""
+    x, y = F.col(f"{a}.{what}"), F.col(f"{b}.{what}")
+    return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
+
+
+def title_conflict(a: Column, b: Column) -> Column:
+    """Whether two titles disagree on numbers or key: neither side's set holds the other's."""
+    x, y = title_facts(a), title_facts(b)
+    apart = lambda f: (F.size(F.array_except(x[f], y[f])) > 0) & (F.size(F.array_except(y[f], x[f])) > 0)
+    return apart("numbers") | apart("modes")
 
 
 def work_duplicates(air: DataFrame, base: float = 0.5, low: float = 0.2, rare: int = 3) -> DataFrame:
@@ -214,21 +233,23 @@ def work_duplicates(air: DataFrame, base: float = 0.5, low: float = 0.2, rare: i
     the composer; so frequent words of a composer with very many works never meet.
     """
     titles = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.min("title").alias("title"))
-    titles = titles.withColumn("words", significant_tokens(F.col("title"))).where("size(words) > 0")
+    titles = pinned(titles.withColumn("facts", title_facts(F.col("title"))).withColumn("words", F.col("facts.words")).where("size(words) > 0").drop("title"))
     tokens = titles.select("ck", "wk", F.explode("words").alias("word"))
     frequency = tokens.groupBy("ck", "word").agg(F.count("*").alias("df"))
-    listed = tokens.join(frequency, ["ck", "word"]).groupBy("ck", "wk").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("l"))
+    # Each title's words by rarity, and its rare ones, made once for the index and for both sides of the pairs.
+    rare_word = F.when((F.col("df") <= rare) & ~F.col("word").rlike(r"^\d+$"), F.col("word"))
+    listed = pinned(tokens.join(frequency, ["ck", "word"]).groupBy("ck", "wk").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("l"), F.collect_set(rare_word).alias("rare")))
     # A title's words are few; share >= base needs a common word among the first n - ceil(base * n) + 1 by rarity.
     listed = listed.withColumn("cut", (F.size("l") - F.ceil(F.lit(base) * F.size("l")) + 1).cast("int"))
     index = listed.select("ck", "wk", F.posexplode("l").alias("i", "t"), "cut").where((F.col("i") < F.col("cut")) | ((F.col("t.df") <= rare) & ~F.col("t.word").rlike(r"^\d+$"))).select("ck", "wk", F.col("t.word").alias("word"))
     pairs = index.select("ck", F.col("wk").alias("a"), "word").join(index.select("ck", F.col("wk").alias("b"), "word"), ["ck", "word"]).where("a < b").select("ck", "a", "b").distinct()
-    both = pairs.join(titles.select("ck", F.col("wk").alias("a"), F.col("title").alias("ta"), F.col("words").alias("wa")), ["ck", "a"]).join(titles.select("ck", F.col("wk").alias("b"), F.col("title").alias("tb"), F.col("words").alias("wb")), ["ck", "b"])
-    own = lambda side, out: tokens.join(frequency.where((F.col("df") <= rare) & ~F.col("word").rlike(r"^\d+$")), ["ck", "word"]).groupBy("ck", F.col("wk").alias(side)).agg(F.collect_set("word").alias(out))
-    both = both.join(own("a", "ra"), ["ck", "a"], "left").join(own("b", "rb"), ["ck", "b"], "left")
-    share = F.round(jaccard(F.col("wa"), F.col("wb"), 0.0), 6)
-    shared_rare = F.coalesce(F.arrays_overlap("ra", "rb"), F.lit(False))
-    differ = lambda f: (F.size(f(F.col("ta"))) > 0) & (F.size(f(F.col("tb"))) > 0) & (F.concat_ws(",", f(F.col("ta"))) != F.concat_ws(",", f(F.col("tb"))))
-    sibling = (differ(opus_numbers) | differ(work_numbers)) & ~shared_rare
+    sides = titles.join(listed.select("ck", "wk", "rare"), ["ck", "wk"])
+    both = pairs
+    for side in "ab":
+        both = both.join(sides.select("ck", F.col("wk").alias(side), F.col("facts").alias(f"f{side}"), F.col("rare").alias(f"r{side}")), ["ck", side])
+    share = F.round(jaccard(F.col("fa.words"), F.col("fb.words"), 0.0), 6)
+    shared_rare = F.arrays_overlap("ra", "rb")
+    sibling = (facts_differ("fa", "fb", "opus") | facts_differ("fa", "fb", "items")) & ~shared_rare
     reason = F.when(F.col("share") >= base, "base").when((F.col("share") >= low) & shared_rare, "boost")
     return both.withColumn("share", share).where(~sibling).withColumn("reason", reason).where("reason is not null").select("ck", "a", "b", "share", "reason")
 
@@ -328,7 +349,7 @@ def reairing_pairs(air: DataFrame, percent: int = 55) -> DataFrame:
     """
     single = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.count("*").alias("n"), F.min("title").alias("title"), F.min("performers").alias("performers"), F.min("bdate").alias("bdate"), F.min("pid").alias("pid")).where("n = 1")
     words = F.array_distinct(F.filter(F.split(canonical_key(F.col("title")), " "), lambda w: w != ""))
-    single = single.select("ck", "wk", "title", "bdate", "pid", catalogue_ref(F.col("title")).alias("cat"), words.alias("words"), performer_names(F.col("performers")).alias("names")).where("size(names) > 0")
+    single = pinned(single.select("ck", "wk", "title", "bdate", "pid", catalogue_ref(F.col("title")).alias("cat"), words.alias("words"), title_facts(F.col("title")).alias("facts"), performer_names(F.col("performers")).alias("names")).where("size(names) > 0"))
     tokens = single.select("ck", "wk", F.explode("words").alias("word"))
     frequency = tokens.groupBy("ck", "word").agg(F.count("*").alias("df"))
     listed = tokens.join(frequency, ["ck", "word"]).groupBy("ck", "wk").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("l"))
@@ -338,13 +359,13 @@ def reairing_pairs(air: DataFrame, percent: int = 55) -> DataFrame:
     index = index.unionByName(single.where("cat is not null").select("ck", "wk", F.concat(F.lit("c"), "cat").alias("at")))
     pairs = index.select("ck", F.col("wk").alias("a"), "at").join(index.select("ck", F.col("wk").alias("b"), "at"), ["ck", "at"]).where("a < b").select("ck", "a", "b").distinct()
     for side in "ab":
-        pairs = pairs.join(single.select("ck", F.col("wk").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("title", "bdate", "pid", "cat", "words", "names"))), ["ck", side])
+        pairs = pairs.join(single.select("ck", F.col("wk").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("title", "bdate", "pid", "cat", "words", "facts", "names"))), ["ck", side])
     alike = F.size(F.array_intersect("words_a", "words_b")) * 100 >= F.size(F.array_union("words_a", "words_b")) * percent
     same_work = F.when(F.col("cat_a").isNotNull() & F.col("cat_b").isNotNull(), F.col("cat_a") == F.col("cat_b")).otherwise(alike)
     shared = F.size(F.array_intersect("names_a", "names_b"))
     same_names = (shared > 0) & (shared * 2 >= F.least(F.size("names_a"), F.size("names_b")))
     apart = (F.col("pid_a") != F.col("pid_b")) & F.coalesce(F.col("bdate_a") != F.col("bdate_b"), F.lit(True))
-    kept = pairs.where(same_work & same_names & apart).where(~title_conflict(F.col("title_a"), F.col("title_b")))
+    kept = pairs.where(same_work & same_names & apart).where(~facts_conflict("facts_a", "facts_b"))
     return kept.select("ck", "a", "b", candidate_id(F.col("title_a"), F.col("title_b")).alias("pair_id"))
 
 
