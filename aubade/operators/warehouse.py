@@ -89,6 +89,48 @@ def browse(air: DataFrame, segments: DataFrame, top: int = 25) -> DataFrame:
     return R.top_per_group(rows, ["list"], top, F.col("airings").desc(), F.col("label"))
 
 
+#: References among the content tables, as (table, column, table, column); null links are allowed.
+REFERENCES = [
+    ("works", "composer_slug", "composers", "slug"), ("recordings", "work_slug", "works", "slug"), ("recordings", "broadcaster", "broadcasters", "key"), ("recordings", "country", "countries", "key"), ("airings", "episode", "episodes", "pid"), ("airings", "work_slug", "works", "slug"), ("airings", "composer_slug", "composers", "slug"),
+    ("airings", "recording", "recordings", "recording_pid"), ("forms", "work_slug", "works", "slug"), ("years", "top_work_slug", "works", "slug"), ("years", "top_composer_slug", "composers", "slug"), ("credits", "recording", "recordings", "recording_pid"), ("credits", "artist", "artists", "key"), ("episodes", "before", "episodes", "pid"), ("artists", "chief_recording", "recordings", "recording_pid"),
+]
+
+
+def content_tables(air: DataFrame, segments: DataFrame) -> tuple[dict[str, DataFrame], list[tuple[str, str, str, str]]]:
+    """(tables, references) of the whole content build, keys and links by slug: what ``publish`` takes."""
+    air, segs = pinned(air), pinned(S.with_work(segments))
+    keys = pinned(air.where("ck <> '' and wk <> ''").select("ck", "wk").union(segs.where("ck <> '' and wk <> ''").select("ck", "wk")).distinct())
+    composers = pinned(with_slugs(keys.select("ck").distinct(), "ck", ["ck"]))
+    slugged = pinned(with_slugs(keys.withColumn("full", F.concat_ws(" ", "ck", "wk")), "full", ["ck", "wk"]).drop("full"))
+    at = slugged.select("ck", "wk", F.col("slug").alias("work_slug"))
+    by = composers.select("ck", F.col("slug").alias("composer_slug"))
+    works = slugged.join(work_rows(air, segs), ["ck", "wk"], "left").join(by, "ck")
+    recordings = pinned(recording_rows(segs).join(at, ["ck", "wk"], "left").withColumns({"broadcaster": S.broadcaster(F.col("label"), True), "country": S.country(F.col("label"), True)}))
+    roles = S.identified(S.role_rows(segs)).where("recording_pid is not null")
+    listed = pinned(roles.select("identity", F.col("recording_pid").alias("recording"), "role").distinct().join(recordings.select(F.col("recording_pid").alias("recording"), "airings"), "recording", "left_semi"))
+    chief = listed.join(recordings.select(F.col("recording_pid").alias("recording"), "airings"), "recording").groupBy("identity").agg(F.max(F.struct("airings", "recording")).alias("c"), F.countDistinct("recording").alias("recordings"))
+    nights = air.select("pid", "bdate").distinct()
+    dated = nights.where("bdate is not null").groupBy("bdate").agg(F.min("pid").alias("pid"))
+    before = F.add_months("bdate", -12)
+    placed = air.join(at, ["ck", "wk"], "left").join(by, "ck", "left")
+    per_year = lambda key, out: R.top_per_group(placed.where(f"yr is not null and {key} is not null").groupBy("yr", key).agg(F.count("*").alias("n")), ["yr"], 1, F.col("n").desc(), F.col(key)).select("yr", F.col(key).alias(out))
+    own = segs.where("recording_pid is not null").groupBy(F.col("episode_pid").alias("pid"), (F.col("position") - 1).alias("position")).agg(F.min_by("recording_pid", "id").alias("recording")).join(recordings.select(F.col("recording_pid").alias("recording")), "recording", "left_semi")
+    tables = {
+        "composers": composers.join(composer_rows(air), "ck", "left"),
+        "works": works,
+        "recordings": recordings,
+        "episodes": nights.join(dated.select(F.col("bdate").alias("year_ago"), F.col("pid").alias("before")), before == F.col("year_ago"), "left").select("pid", "bdate", "before"),
+        "airings": placed.join(own, ["pid", "position"], "left").select("id", F.col("pid").alias("episode"), "position", "work_slug", "composer_slug", "recording"),
+        "broadcasters": S.broadcasters(segs, True).select(F.col("brc").alias("key"), "airings", "recordings", "share"),
+        "countries": S.countries(segs, True).select(F.col("country").alias("key"), "airings", "recordings"),
+        "forms": placed.where("work_slug is not null and title is not null").select("work_slug", F.explode(R.form_matches(F.col("title"))).alias("form")).distinct(),
+        "years": R.years(air).join(per_year("work_slug", "top_work_slug"), "yr", "left").join(per_year("composer_slug", "top_composer_slug"), "yr", "left"),
+        "credits": listed.select(F.col("identity").alias("artist"), "recording", "role"),
+        "artists": chief.select(F.col("identity").alias("key"), "recordings", F.col("c.recording").alias("chief_recording")),
+    }
+    return tables, REFERENCES
+
+
 def closure(tables: dict[str, DataFrame], references: list[tuple[str, str, str, str]]) -> DataFrame:
     """``reference, dangling``: how many non-null values of (table, column) are missing from (table, column)."""
     parts = []
