@@ -92,7 +92,7 @@ class Archive:
         o = self.options
         nights = self.episodes.select("pid", R.broadcast_day(F.col("broadcast_date")).alias("bdate"))
         rows = self.segment_events.join(nights, F.col("episode_pid") == F.col("pid")).drop("pid").withColumn("yr", F.year("bdate"))
-        from aubade.functions.text import composer_key
+        from aubade.functions.titlekey import composer_key
 
         rows = R.in_dates(rows, o.get("after"), o.get("before"), o.get("year")).withColumn("ck", composer_key(F.col("composer_name")))
         return S.duration_band(rows, *o["length"]) if o.get("length") else rows

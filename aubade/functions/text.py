@@ -164,9 +164,14 @@ def work_numbers(title: Column) -> Column:
 GENERIC_WORDS = ["a", "and", "for", "from", "in", "major", "minor", "no", "of", "on", "op", "the", "to", "with"]
 
 
+def tokens_of(canon: Column) -> Column:
+    """Distinct words of a canonical key without generic words."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(canon, " "), lambda w: (w != "") & ~w.isin(GENERIC_WORDS))))
+
+
 def significant_tokens(title: Column) -> Column:
-    """Distinct words of the canonical key without generic words."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(canonical_key(title), " "), lambda w: (w != "") & ~w.isin(GENERIC_WORDS))))
+    """``tokens_of`` of a title's canonical key."""
+    return tokens_of(canonical_key(title))
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:

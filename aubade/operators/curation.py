@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aubade.functions.stations import broadcaster, country, flag, note, station
-from aubade.functions.text import catalogue_refs, opus_numbers, plain_key, significant_tokens, slug, work_numbers
+from aubade.functions.text import catalogue_refs, opus_numbers, plain_key, slug, tokens_of, work_numbers
+from aubade.functions.titlekey import canonical_title
 from aubade.operators import matching as M
 from aubade.operators import segments as S
 from aubade.session import pinned
@@ -50,7 +51,7 @@ def resolve_work(air: DataFrame, phrase: str, near: int = 5) -> DataFrame:
     works = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.count("*").alias("airings"), F.min("title").alias("title"), F.max(plain_key(F.col("title")).contains(" ".join(phrase.lower().split())).cast("int")).alias("holds"))
     named = works.withColumn("slug", slug(F.concat_ws(" ", "ck", "title")))
     wanted = F.array(*(F.lit(w) for w in sorted(set(phrase.lower().split()))))
-    shared = F.size(F.array_intersect(significant_tokens(F.col("title")), wanted))
+    shared = F.size(F.array_intersect(tokens_of(canonical_title(F.col("title"))), wanted))
     graded = named.withColumn("grade", F.when(F.col("slug") == phrase, 3).when(F.col("holds") == 1, 2).when(shared > 0, 1).otherwise(0)).withColumn("shared", shared)
     top = graded.agg(F.max("grade").alias("top"))
     kept = graded.crossJoin(top).where((F.col("grade") == F.col("top")) & (F.col("grade") > 0))
@@ -73,7 +74,7 @@ def one_offs(air: DataFrame) -> DataFrame:
 def rare_tokens(air: DataFrame, most: int = 2) -> DataFrame:
     """``ck, word, works``: words in few of a composer's works."""
     titles = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.min("title").alias("title"))
-    return titles.select("ck", F.explode(significant_tokens(F.col("title"))).alias("word")).groupBy("ck", "word").agg(F.count("*").alias("works")).where(F.col("works") <= most)
+    return titles.select("ck", F.explode(tokens_of(canonical_title(F.col("title")))).alias("word")).groupBy("ck", "word").agg(F.count("*").alias("works")).where(F.col("works") <= most)
 
 
 def families(air: DataFrame) -> DataFrame:

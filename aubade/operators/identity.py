@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aubade.functions.text import composer_key
-from aubade.functions.titlekey import shown_title, title_key, without_staff_note
+from aubade.functions.titlekey import composer_key, shown_title, title_key, without_staff_note
 from aubade.operators.graph import with_alias
 
 

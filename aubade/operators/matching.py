@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aubade.functions.text import ascii_fold, candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, significant_tokens, surname, work_key, work_numbers
+from aubade.functions.text import ascii_fold, candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, surname, tokens_of, work_numbers
+from aubade.functions.titlekey import canonical_title, work_key
 from aubade.operators.segments import contributions, name_maps, role_rows
 from aubade.session import pinned
 
@@ -202,9 +203,9 @@ def composer_duplicates(air: DataFrame, lives: DataFrame, spanned: float = 0.74,
 
 def title_facts(title: Column) -> Column:
     """struct(words, numbers, modes, opus, items) of a title: what pairs are compared by, to be read once a title and not once a pair."""
-    canon = canonical_key(title)
+    canon = canonical_title(title)
     found = lambda p: F.array_distinct(F.regexp_extract_all(canon, F.lit(p), F.lit(1)))
-    return F.struct(significant_tokens(title).alias("words"), found(r"(\d+)").alias("numbers"), found(r"\b([a-g](?: flat| sharp)? (?:major|minor))\b").alias("modes"), opus_numbers(title).alias("opus"), work_numbers(title).alias("items"))
+    return F.struct(tokens_of(canon).alias("words"), found(r"(\d+)").alias("numbers"), found(r"\b([a-g](?: flat| sharp)? (?:major|minor))\b").alias("modes"), opus_numbers(title).alias("opus"), work_numbers(title).alias("items"))
 
 
 def facts_conflict(a: str, b: str) -> Column:
@@ -348,7 +349,7 @@ def reairing_pairs(air: DataFrame, percent: int = 55) -> DataFrame:
     both titles - as many as the percentage requires.
     """
     single = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.count("*").alias("n"), F.min("title").alias("title"), F.min("performers").alias("performers"), F.min("bdate").alias("bdate"), F.min("pid").alias("pid")).where("n = 1")
-    words = F.array_distinct(F.filter(F.split(canonical_key(F.col("title")), " "), lambda w: w != ""))
+    words = F.array_distinct(F.filter(F.split(canonical_title(F.col("title")), " "), lambda w: w != ""))
     single = pinned(single.select("ck", "wk", "title", "bdate", "pid", catalogue_ref(F.col("title")).alias("cat"), words.alias("words"), title_facts(F.col("title")).alias("facts"), performer_names(F.col("performers")).alias("names")).where("size(names) > 0"))
     tokens = single.select("ck", "wk", F.explode("words").alias("word"))
     frequency = tokens.groupBy("ck", "word").agg(F.count("*").alias("df"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aubade.functions.text import ascii_fold, canonical_key, composer_key, life_years, plain_key, work_key
+from aubade.functions.text import ascii_fold, canonical_key, life_years, plain_key
+from aubade.functions.titlekey import composer_key, work_key
 from aubade.operators.graph import with_alias
 from aubade.operators.instants import HOME, MONTHS
 from aubade.session import pinned

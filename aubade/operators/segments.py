@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aubade.functions.stations import broadcaster, country, pinned_last
-from aubade.functions.text import plain_key, work_key
+from aubade.functions.text import plain_key
+from aubade.functions.titlekey import work_key
 
 #: Fixed value: the contributors of a segment row as JSON.
 CREDITS = "array<struct<name:string,role:string,pid:string,musicbrainz_gid:string>>"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aubade.functions.text import AND_WORDS, CANONICAL_STEPS, DOUBLE_QUOTES, NUMBER_WORDS, SINGLE_QUOTES, NARROW, WIDE, composer_key
+from aubade.functions.text import AND_WORDS, CANONICAL_STEPS, DOUBLE_QUOTES, NUMBER_WORDS, SINGLE_QUOTES, NARROW, WIDE
+from aubade.functions.titlekey import composer_key
 from aubade.operators import ranking
 from aubade.operators.instants import MONTHS
 from aubade.operators.ranking import DAY_FORMS
