@@ -13,15 +13,16 @@ from aubade.operators import instants as I
 from aubade.operators import matching as M
 from aubade.operators import ranking as R
 from aubade.operators import temporal as T
+from aubade.session import pinned
 from aubade.plans.common import AIR, SEG, SEG_ONLY, SEG_WORK, air, segments, sql_canonical, sql_fold, sql_key
 from aubade.sources.tables import load
 
 
 def match_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-keeping alignment of all nights."""
-    rows = air(spark, sf_dir)
+    rows = pinned(air(spark, sf_dir))
     clocks = I.track_instants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "episodes"), undated=True)
-    return M.aligned(rows, T.instant_offsets(rows, clocks), segments(spark, sf_dir))
+    return M.aligned(rows, T.instant_offsets(rows, clocks), pinned(segments(spark, sf_dir)))
 
 
 def match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +70,10 @@ def match_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text recordings met by one recording."""
-    rows = air(spark, sf_dir)
+    """Text recordings met by one recording. Airings and segments are read several times, so they are made once."""
+    rows = pinned(air(spark, sf_dir))
     clocks = I.track_instants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "episodes"), undated=True)
-    return M.bridged(rows, segments(spark, sf_dir), T.instant_lengths(rows, clocks))
+    return M.bridged(rows, pinned(segments(spark, sf_dir)), T.instant_lengths(rows, clocks))
 
 
 def match_reairings(spark: SparkSession, sf_dir: str) -> DataFrame:
