@@ -302,26 +302,31 @@ def bridged(air: DataFrame, segments: DataFrame, lengths: DataFrame) -> DataFram
     sets = air.where("ck <> '' and wk <> '' and performers <> ''").join(lengths, "id", "left").select("id", "ck", "wk", "length_s", credit_sets(F.col("performers")).alias("c"))
     sets = sets.withColumn("credit_key", F.array_join(F.array_sort(F.array_distinct(F.concat("c.conductors", "c.soloists", "c.ensembles"))), ";"))
     keys = ["ck", "wk", "credit_key"]
-    groups = sets.groupBy(*keys).agg(F.min("c.degraded").alias("degraded"), F.median("length_s").alias("text_s"), F.collect_set("c").alias("cs"))
+    # Each side is written once and numbered; from then on its number stands for its long keys.
+    groups = pinned(sets.groupBy(*keys).agg(F.min("c.degraded").alias("degraded"), F.median("length_s").alias("text_s"), F.collect_set("c").alias("cs")).withColumn("gid", F.monotonically_increasing_id()))
     tag = lambda x, c: F.transform(x[c], lambda n: F.struct(F.lit(c[0]).alias("kind"), n.alias("nk")))
     # Credits without roles count only where no airing of the group has any.
     counted = F.filter("cs", lambda x: x["degraded"] == F.col("degraded"))
     tagged = F.array_distinct(F.flatten(F.transform(counted, lambda x: F.concat(*(tag(x, c) for c in ("conductors", "soloists", "ensembles"))))))
-    names = groups.select(*keys, "degraded", "text_s", F.explode(tagged).alias("p")).select(*keys, "degraded", "text_s", "p.kind", "p.nk")
+    names = groups.select("gid", F.explode(tagged).alias("p")).select("gid", "p.kind", "p.nk")
     names = names.join(known, "nk", "left").withColumn("mbid", F.lit(None).cast("string")).withColumn("identity", identity)
     of = lambda test: F.collect_set(F.when(test, F.col("identity")))
     kind = F.col("kind")
-    texts = names.groupBy(*keys, "degraded", "text_s").agg(of(kind == "c").alias("tc"), of(kind == "s").alias("ts"), of(kind == "e").alias("te"), of((kind == "e") & F.col("nk").rlike(_CHAMBER) & ~F.col("nk").rlike(_ORCHESTRA)).alias("tb"))
-    rows = segments.where("recording_pid is not null and ck <> ''").select("recording_pid", "ck", "duration_seconds", work_key(F.col("track_title")).alias("wk"), F.explode(contributions(F.col("contributions_json"))).alias("c")).where("wk <> ''")
+    texts = names.groupBy("gid").agg(of(kind == "c").alias("tc"), of(kind == "s").alias("ts"), of(kind == "e").alias("te"), of((kind == "e") & F.col("nk").rlike(_CHAMBER) & ~F.col("nk").rlike(_ORCHESTRA)).alias("tb"))
+    texts = texts.join(groups.select("gid", "ck", "wk", "degraded", "text_s"), "gid")
+    rows = segments.where("recording_pid is not null and ck <> ''").select("recording_pid", "ck", "duration_seconds", work_key(F.col("track_title")).alias("wk"), contributions(F.col("contributions_json")).alias("cs")).where("wk <> ''")
+    # Airings of one recording repeat their credits: each set of credits once.
+    rows = rows.groupBy("recording_pid", "ck", "wk", "cs").agg(F.max("duration_seconds").alias("duration_seconds")).select("recording_pid", "ck", "wk", "duration_seconds", F.explode("cs").alias("c"))
     people = rows.select("recording_pid", "ck", "wk", "duration_seconds", F.lower("c.role").alias("role"), F.col("c.musicbrainz_gid").alias("mbid"), plain_key(F.col("c.name")).alias("nk"))
     people = people.where("nk <> '' and nk <> ck").join(known, "nk", "left").withColumn("identity", identity)
     role = F.col("role")
     signed = people.groupBy("recording_pid", "ck", "wk").agg(of(role.rlike("conductor")).alias("pc"), of(role.rlike(f"performer|singer|{_SOLO}")).alias("ps"), of(role.rlike("orchestra|ensemble|choir")).alias("pe"), F.max("duration_seconds").alias("pid_s"))
     # Sides meet in a name of one kind that they share, as a link needs one; not all recordings of a work with all of its airings.
-    listed = lambda **kinds: F.explode(F.concat(*(F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("identity"))) for k, c in kinds.items()))).alias("m")
-    left, right = pinned(texts), pinned(signed)
-    meets = left.select(*keys, listed(c="tc", s="ts", e="te")).join(right.select("recording_pid", "ck", "wk", listed(c="pc", s="ps", e="pe")), ["ck", "wk", "m"]).select(*keys, "recording_pid").distinct()
-    pairs = meets.join(left, keys).join(right, ["recording_pid", "ck", "wk"])
+    met = lambda **kinds: F.explode(F.concat(*(F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("identity"))) for k, c in kinds.items()))).alias("m")
+    left, right = pinned(texts), pinned(signed.withColumn("rid", F.monotonically_increasing_id()))
+    place = F.xxhash64("ck", "wk", "m").alias("place")  # a first sieve; names are compared below
+    meets = left.select("gid", "ck", "wk", met(c="tc", s="ts", e="te")).select("gid", place).join(right.select("rid", "ck", "wk", met(c="pc", s="ps", e="pe")).select("rid", place), "place").select("gid", "rid").distinct()
+    pairs = meets.join(left.withColumnsRenamed({"ck": "t_ck", "wk": "t_wk"}), "gid").join(right, "rid").where("t_ck = ck and t_wk = wk")
     ids = lambda c: F.filter(c, lambda x: ~x.startswith("name:"))
     meet = lambda x, y: F.arrays_overlap(ids(x), ids(y))
     veto = lambda x, y: (F.size(ids(x)) > 0) & (F.size(ids(y)) > 0) & ~meet(x, y)
@@ -331,8 +336,9 @@ def bridged(air: DataFrame, segments: DataFrame, lengths: DataFrame) -> DataFram
     near = F.col("text_s").isNull() | (F.coalesce("pid_s", F.lit(0)) == 0) | (F.abs(F.col("pid_s") - F.col("text_s")) <= F.greatest(F.lit(240.0), F.col("pid_s") * 0.25))
     tier = F.when(veto("tc", "pc") | veto("ts", "ps") | ~any_shared, None).when(told & (~F.col("degraded") | chamber) & near, "trusted").otherwise("candidate")
     scored = pairs.withColumn("tier", tier).where("tier is not null")
-    best = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.min("recording_pid").alias("recording_pid"), F.min("tier").alias("tier"))
-    return best.where("n = 1").drop("n")
+    # A candidate's tier sorts before a trusted one's, but only groups with one recording stay.
+    best = scored.groupBy("gid").agg(F.count("*").alias("n"), F.min("recording_pid").alias("recording_pid"), F.min("tier").alias("tier")).where("n = 1")
+    return groups.select("gid", *keys).join(best, "gid").select(*keys, "recording_pid", "tier")
 
 
 def performer_names(performers: Column) -> Column:
