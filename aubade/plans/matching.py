@@ -20,9 +20,10 @@ from aubade.sources.tables import load
 
 def match_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-keeping alignment of all nights."""
-    rows = pinned(air(spark, sf_dir))
+    rows = pinned(air(spark, sf_dir).select("id", "pid", "position", "composer", "title"))
+    segs = pinned(segments(spark, sf_dir).select("id", "episode_pid", "position", "version_offset", "composer_name", "track_title"))
     clocks = I.track_instants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "episodes"), undated=True)
-    return M.aligned(rows, T.instant_offsets(rows, clocks), pinned(segments(spark, sf_dir)))
+    return M.aligned(rows, T.instant_offsets(rows, clocks), segs)
 
 
 def match_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +72,10 @@ def match_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text recordings met by one recording. Airings and segments are read several times, so they are made once."""
-    rows = pinned(air(spark, sf_dir))
+    rows = pinned(air(spark, sf_dir).select("id", "pid", "position", "ck", "wk", "performers"))
+    segs = pinned(segments(spark, sf_dir).select("id", "episode_pid", "recording_pid", "ck", "duration_seconds", "track_title", "contributions_json"))
     clocks = I.track_instants(load(spark, sf_dir, "tracks"), load(spark, sf_dir, "episodes"), undated=True)
-    return M.bridged(rows, pinned(segments(spark, sf_dir)), T.instant_lengths(rows, clocks))
+    return M.bridged(rows, segs, T.instant_lengths(rows, clocks))
 
 
 def match_reairings(spark: SparkSession, sf_dir: str) -> DataFrame:
