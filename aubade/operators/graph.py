@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aubade.session import pinned
+from aubade.session import pinned, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,13 +13,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours and jumps to the label's own label, so chains halve.
     """
-    edges = pinned(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = pinned(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+    edges = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = settled(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
     while True:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("root").alias("low"))
         stepped = labels.join(near, labels.id == near.a).select("id", "root", F.least("root", "low").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("root").alias("far"))
-        after = pinned(stepped.join(jump, "new", "left").select("id", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")))
+        after = settled(stepped.join(jump, "new", "left").select("id", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")))
         if after.where("old <> root").isEmpty():
             return after.select("id", "root")
         labels = after.drop("old")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from aubade.functions.text import ascii_fold, candidate_id, canonical_key, catalogue_ref, jaccard, opus_numbers, plain_key, surname, tokens_of, work_numbers
 from aubade.functions.titlekey import canonical_title, work_key
+from aubade.operators.graph import components
 from aubade.operators.segments import contributions, name_maps, role_rows
 from aubade.session import pinned
 
@@ -233,8 +234,29 @@ def work_duplicates(air: DataFrame, base: float = 0.5, low: float = 0.2, rare: i
     Candidates share one of the rarest words of both titles - as many as the base share requires - or a word rare with
     the composer; so frequent words of a composer with very many works never meet.
     """
+    return duplicate_titles(titles_of(air), base, low, rare).select("ck", "a", "b", "share", "reason")
+
+
+def work_components(air: DataFrame) -> DataFrame:
+    """``id, root``: works that duplicate pairs join, and the first of each group (I10); both as ``ck|wk``.
+
+    Groups are found over the works' numbers, so that no round carries keys.
+    """
+    titles = titles_of(air)
+    groups = components(duplicate_titles(titles).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    named = groups.join(titles.select(F.col("n").alias("id"), F.concat_ws("|", "ck", "wk").alias("key")), "id").select("root", "key")
+    first = named.groupBy("root").agg(F.min("key").alias("first"))
+    return named.join(first, "root").select(F.col("key").alias("id"), F.col("first").alias("root"))
+
+
+def titles_of(air: DataFrame) -> DataFrame:
+    """``ck, wk, facts, words, n``: all works with words in their titles, numbered."""
     titles = air.where("ck <> '' and wk <> '' and title is not null").groupBy("ck", "wk").agg(F.min("title").alias("title"))
-    titles = pinned(titles.withColumn("facts", title_facts(F.col("title"))).withColumn("words", F.col("facts.words")).where("size(words) > 0").drop("title"))
+    return pinned(titles.withColumn("facts", title_facts(F.col("title"))).withColumn("words", F.col("facts.words")).where("size(words) > 0").drop("title").withColumn("n", F.monotonically_increasing_id()))
+
+
+def duplicate_titles(titles: DataFrame, base: float = 0.5, low: float = 0.2, rare: int = 3) -> DataFrame:
+    """The pairs of ``work_duplicates``, and the numbers ``na, nb`` of both works."""
     tokens = titles.select("ck", "wk", F.explode("words").alias("word"))
     frequency = tokens.groupBy("ck", "word").agg(F.count("*").alias("df"))
     # Each title's words by rarity, and its rare ones, made once for the index and for both sides of the pairs.
@@ -247,12 +269,12 @@ def work_duplicates(air: DataFrame, base: float = 0.5, low: float = 0.2, rare: i
     sides = titles.join(listed.select("ck", "wk", "rare"), ["ck", "wk"])
     both = pairs
     for side in "ab":
-        both = both.join(sides.select("ck", F.col("wk").alias(side), F.col("facts").alias(f"f{side}"), F.col("rare").alias(f"r{side}")), ["ck", side])
+        both = both.join(sides.select("ck", F.col("wk").alias(side), F.col("n").alias(f"n{side}"), F.col("facts").alias(f"f{side}"), F.col("rare").alias(f"r{side}")), ["ck", side])
     share = F.round(jaccard(F.col("fa.words"), F.col("fb.words"), 0.0), 6)
     shared_rare = F.arrays_overlap("ra", "rb")
     sibling = (facts_differ("fa", "fb", "opus") | facts_differ("fa", "fb", "items")) & ~shared_rare
     reason = F.when(F.col("share") >= base, "base").when((F.col("share") >= low) & shared_rare, "boost")
-    return both.withColumn("share", share).where(~sibling).withColumn("reason", reason).where("reason is not null").select("ck", "a", "b", "share", "reason")
+    return both.withColumn("share", share).where(~sibling).withColumn("reason", reason).where("reason is not null")
 
 
 #: Roles that tell recordings apart.

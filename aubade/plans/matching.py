@@ -54,9 +54,7 @@ def match_work_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_work_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of works joined by duplicate pairs."""
-    pairs = match_work_duplicates(spark, sf_dir)
-    key = lambda c: F.concat_ws("|", "ck", c)
-    return G.components(pairs.select(key("a").alias("a"), key("b").alias("b")))
+    return M.work_components(air(spark, sf_dir))
 
 
 def match_text_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,16 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """As ``pinned``, for a table that is made anew each round: the planner's estimate of its size is dropped too.
+
+    A checkpoint keeps the estimate of its plan, and a join's is the product of both sides, so from round to round the
+    number of its digits doubles; after some twenty rounds such numbers fill the driver's memory.
+    """
+    fixed, session = pinned(df)._jdf, df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(fixed.toJavaRDD(), fixed.schema()), session)
+
+
 def local_session(cpus: str | int = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("aubade")

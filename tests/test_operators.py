@@ -131,6 +131,31 @@ def test_components_and_chains(spark):
     assert G.components(links.limit(0)).count() == 0
 
 
+def test_components_keep_small_estimates(spark):
+    name = lambda n: F.sha1((F.col("id") + n).cast("string"))
+    got = G.components(spark.range(300).select(name(0).alias("a"), name(1).alias("b")))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**80
+    assert len({r.root for r in got.collect()}) == 1 and got.count() == 301
+
+
+def test_work_components_equal_walks_over_pairs(spark, sf):
+    from aubade.plans.common import air
+
+    rows_ = air(spark, sf)
+    root, pairs = {}, [(f"{r.ck}|{r.a}", f"{r.ck}|{r.b}") for r in M.work_duplicates(rows_).collect()]
+    for pair in pairs:
+        for x in pair:
+            root.setdefault(x, x)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    assert rows(M.work_components(rows_).select("id", "root")) == sorted(root.items()) and root
+
+
 def test_walk_back_ends_in_loops(spark):
     episodes = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a"), ("a", "c"), ("e", None)], "pid string, previous_pid string")
     got = rows(landed.walk_back(episodes, episodes.where("pid in ('d', 'e')").select("pid")))
